@@ -126,7 +126,7 @@ def rules() -> list[tuple[str, str, str, int]]:
         out.append((label, keyword, _spaced(name), 4))
         out.append((label, keyword, _spaced(f"(licensed|released|distributed|available|covered)( under)?( the)?( terms of)?( the)? {name}"), 5))
         out.append((label, keyword, _spaced(f"spdx license identifier {name}"), 6))
-        out += [(f"{label}-{v.replace(' ', '.')}", keyword, _spaced(f"{name}( international| unported| generic)?( version| v)? {v}"), 6) for v in versions]
+        out += [(f"{label}-{v.replace(' ', '.')}", keyword, _spaced(f"{name}( international| unported| generic)?( version| v)? v?{v}"), 6) for v in versions]
     out += [(label, keyword, _spaced(words), p) for label, keyword, words, p in SINGLE]
     return out
 

@@ -7,8 +7,8 @@ gain, and the number and share of windows that pass each of three gains; a logis
 on training rows that the dictionaries haven't seen calibrates them to a score.
 
 Toxic texts are mostly ordinary prose, so whole toxic texts would make two dictionaries alike.
-The toxic dictionary is therefore trained on the passages of toxic text around words whose share
-of toxic documents is far above their share of ordinary ones, and ends with the content of the
+The toxic dictionary is therefore trained by contrast: it holds the words whose beginnings stand in
+a far larger share of toxic documents than of ordinary ones, and ends with the content of the
 ordinary dictionary, so that ordinary windows gain nothing.
 
 Training rows are bounded by ``PER_CLASS`` documents of each label and ``HEAD`` bytes of each in
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,12 +49,30 @@ def windows(raw: bytes, size: int = 64, stride: int = 48) -> list[bytes]:
     return [raw[k : k + size] for k in range(0, max(1, len(raw) - size + stride), stride)]
 
 
-def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float = 8.0, least: int = 3) -> list[bytes]:
-    """Words whose share of toxic documents is ``ratio`` times their share of ordinary ones."""
-    seen = [Counter(w for t in texts for w in set(WORD.findall(t))) for texts in (toxic, ordinary)]
-    share = lambda w: (seen[0][w] / len(toxic)) / ((seen[1][w] + 0.5) / len(ordinary))
-    found = [w for w, n in seen[0].items() if n >= least and len(w) >= 3 and share(w) >= ratio]
-    return sorted(found, key=lambda w: (-seen[0][w] * math.log(share(w)), w))
+def telling_beginnings(toxic: list[bytes], ordinary: list[bytes], ratio: float = 20.0, shortest: int = 4, longest: int = 12) -> list[bytes]:
+    """The shortest beginnings of words (or whole words) whose share of toxic documents is
+    ``ratio`` times their share of ordinary ones, the most frequent first."""
+    least = max(3, len(toxic) // 100)
+
+    def cut(w: bytes) -> Iterator[bytes]:
+        return (w[:n] for n in range(shortest, min(len(w), longest) + 1))
+
+    def shares(texts: list[bytes]) -> Counter:
+        return Counter(x for t in texts for x in {x for w in set(WORD.findall(t)) for x in cut(w)})
+
+    seen, other = shares(toxic), shares(ordinary)
+    telling = {x for x, n in seen.items() if n >= least and (n / len(toxic)) / ((other[x] + 0.5) / len(ordinary)) >= ratio}
+    # what only copies of a few texts share stands after few different words
+    after = defaultdict(set)
+    for t in toxic:
+        words = WORD.findall(t)
+        for before, w in zip([b"", *words], words):
+            for x in cut(w):
+                if x in telling:
+                    after[x].add(before)
+    telling = {x for x in telling if len(after[x]) >= least}
+    first = [x for x in telling if not any(x[:n] in telling for n in range(shortest, len(x)))]
+    return sorted(first, key=lambda x: (-seen[x], x))
 
 
 def _content(samples: list[bytes], size: int) -> bytes:
@@ -79,7 +98,7 @@ class Distance:
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         self.compress = []
-        for content in (toxic, ordinary):
+        for content in (toxic + ordinary, ordinary):
             d = z.ZstdCompressionDict(content or b" " * 16, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             self.compress.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
@@ -95,7 +114,7 @@ class Model:
 
     toxic: bytes
     ordinary: bytes
-    gates: tuple[int, ...] = (2, 3, 4)
+    gates: tuple[int, ...] = (1, 2, 4)
     weights: np.ndarray | None = None
 
     def __post_init__(self):
@@ -122,18 +141,22 @@ def fit(texts: list[str | None], labels: list[int], size: int = SIZE) -> Model:
     """Dictionaries from one half of the training texts, calibration on the other."""
     raw = [lowered(t)[:HEAD] for t in texts]
     y = np.array(labels, float)
-    half = [np.array([k % 2 == h for k in range(len(raw))]) for h in (0, 1)]
+    half = [np.arange(len(raw)) % 2 == h for h in (0, 1)]
     if not (half[0] & (y == 1)).any() or not (half[0] & (y == 0)).any():
         return Model(b"", b"")
     toxic = [r for r, u, v in zip(raw, half[0], y) if u and v == 1]
     ordinary = [r for r, u, v in zip(raw, half[0], y) if u and v == 0]
     base = _content([w for t in ordinary for w in windows(t, 128, 128)], size)
-    words = telling_words(toxic, ordinary)
-    chosen = set(words)
-    near = [t[max(0, m.start() - 1) : m.end() + 1] for t in toxic for m in WORD.finditer(t) if m[0] in chosen]
-    spelled = b"".join(b" " + w + b" " for w in reversed(words[: size // 16]))
-    own = _content(near, size // 4) + spelled
-    model = Model(own + base, base)
+    begin = telling_beginnings(toxic, ordinary)
+    # each with its commonest whole words, so that longer matches save more
+    whole = defaultdict(Counter)
+    for t in toxic:
+        for w in WORD.findall(t):
+            for n in range(4, min(len(w), 12) + 1):
+                if w[:n] in begin:
+                    whole[w[:n]][w] += 1
+    own = b"".join(b"".join(b" " + w for w, _ in whole[x].most_common(6))[:64] for x in begin)[: size // 4]
+    model = Model(own, base)
     x = np.array([model.features(r) for r, u in zip(raw, half[1]) if u])
     model.weights = _logistic(x, y[half[1]])
     return model
