@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .operators import ids, merge, pages, sequential, spatial, tasks  # noqa: F401
+from .plans.dialect import catalogue
+from .streaming import state  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.queries()["jn01_pipeline_merge"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return catalogue.queries()
 
 
 def oracle_sql():
-    return {}
+    return catalogue.oracle_sql()

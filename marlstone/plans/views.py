@@ -27,7 +27,7 @@ concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), ' nM') AS value, l_returnflag
 @view("v_tasks")
 def _tasks(d):
     return """SELECT CAST(o_orderkey AS STRING) AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'pending' END AS status,
-lower(o_orderpriority) AS type, least(1.0, o_totalprice / 400000) AS progress, CASE WHEN o_orderkey % 7 = 0 THEN 'Running step 3' WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('Order of ', CAST(o_custkey AS STRING)) END AS message,
+lower(o_orderpriority) AS type, least(1e0, o_totalprice / 400000) AS progress, CASE WHEN o_orderkey % 7 = 0 THEN 'Running step 3' WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('Order of ', CAST(o_custkey AS STRING)) END AS message,
 concat('{"pdf_id": "', CAST(o_custkey AS STRING), '", "lang": "en", "pages": [1, ', CAST(o_orderkey % 30 AS STRING), ']}') AS params,
 CAST(o_custkey AS STRING) AS pdf_id, concat('f', CAST(o_custkey % 100 AS STRING), '.pdf') AS filename, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE '' END AS error,
 o_orderkey AS n, o_orderdate AS updated_at FROM @orders"""
