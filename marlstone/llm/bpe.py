@@ -217,9 +217,10 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
             counts, digests, decoded, words = [], [], [], []
             for batch in tokens.batches(pdf["text"].tolist()):
                 table, number, per_text = coder.words(batch)
-                as_ids = [" ".join(map(str, x)) for x in (y.tolist() for y in table)]
-                as_text = [decode(y.tolist(), coder.tokens) for y in table]
-                sizes = np.array([len(x) for x in table], np.int64) if table else np.zeros(0, np.int64)
+                lists = [np.frombuffer(x, coder.kind).tolist() for x in table]
+                as_ids = [" ".join(map(str, x)) for x in lists]
+                as_text = [decode(x, coder.tokens) for x in lists]
+                sizes = np.array([len(x) for x in lists], np.int64)
                 at, order = 0, number.tolist()
                 for n in per_text.tolist():
                     own = order[at : at + n]

@@ -18,8 +18,8 @@ from collections.abc import Callable
 import numpy as np
 
 LETTER, DIGIT, OTHER = 1, 2, 3
-PIECE = 1 << 20  #: characters handled at once
-MEMORY = 300_000  #: distinct words remembered
+PIECE = 1 << 21  #: characters handled at once
+MEMORY = 800_000  #: distinct words remembered
 
 _CLASSES: np.ndarray | None = None
 _CODECS: dict[str, WordCodec] = {}
@@ -103,24 +103,24 @@ class WordCodec:
             library = Tokenizer.from_file(path)
             encode_words = lambda words: [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
         self.encode_words = encode_words
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.kind = np.dtype("<u2" if max(self.tokens) < 65536 else "<u4")
+        self.known: dict[int, bytes] = {}
 
-    def _lookup(self, hashes: np.ndarray, word_of: Callable[[int], str]) -> list[np.ndarray]:
-        """Ids of distinct words, by hash."""
+    def _lookup(self, hashes: np.ndarray, word_of: Callable[[int], str]) -> list[bytes]:
+        """Packed ids of distinct words, by hash."""
         if len(self.known) > MEMORY:
-            self.known, self.ids = {}, []
+            self.known = {}
+        known = self.known
         keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
+        new = [k for k, h in enumerate(keys) if h not in known]
         if new:
             for k, ids in zip(new, self.encode_words([word_of(k) for k in new])):
-                self.known[keys[k]] = len(self.ids)
-                self.ids.append(np.array(ids, np.uint16 if len(self.tokens) <= 65536 else np.uint32))
-        return [self.ids[self.known[h]] for h in keys]
+                known[keys[k]] = np.array(ids, self.kind).tobytes()
+        return [known[h] for h in keys]
 
     def words(self, texts: list[str]):
-        """For a batch: (ids of each distinct word, the distinct words' numbers in order of the
-        text, the number of words of each text).  A special token counts as a word."""
+        """For a batch: (packed ids of each distinct word, the distinct words' numbers in order of
+        the text, the number of words of each text).  A special token counts as a word."""
         pieces, owners = [], []
         for k, text in enumerate(texts):
             if "<|" in text and self.cut.search(text):
@@ -137,16 +137,16 @@ class WordCodec:
         bounds = np.cumsum([len(c) + 1 for c in clean])
         counts = np.diff(np.concatenate([[0], np.searchsorted(starts, bounds)]))
         if len(starts):
-            place = np.arange(len(cp)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(cp)]])))
-            inside = place < np.repeat(np.concatenate([[0], ends - starts]), np.diff(np.concatenate([[0], starts, [len(cp)]])))
+            cp = cp[starts[0] :]
+            place = np.arange(starts[0], starts[0] + len(cp)) - np.repeat(starts, np.diff(np.append(starts, starts[0] + len(cp))))
             power = np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
             power[0] = 1
             power = np.multiply.accumulate(power)
             mixed = (cp.astype(np.uint64) + np.uint64(0x51ED2701)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(29)
             mixed *= power[place]
-            mixed[~inside] = 0
-            hashes = np.add.reduceat(mixed, starts)
+            mixed *= char_classes()[cp] != 0  # white space between words counts nothing
+            hashes = np.add.reduceat(mixed, starts - starts[0])
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(0xD6E8FEB86659FD93)
             distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
@@ -159,7 +159,7 @@ class WordCodec:
             put = [s for _, s in owners if s is not None]
             base = len(table)
             for s in dict.fromkeys(put):
-                table.append(np.array([s], np.uint16))
+                table.append(np.array([s], self.kind).tobytes())
             code = {s: base + i for i, s in enumerate(dict.fromkeys(put))}
             number = np.insert(number, where, [code[s] for s in put])
             counts = counts + np.array([s is not None for _, s in owners])
@@ -172,10 +172,10 @@ class WordCodec:
         for batch in batches(texts):
             table, number, per_text = self.words(batch)
             if not len(number):
-                out += [np.zeros(0, np.uint16)] * len(batch)
+                out += [np.zeros(0, self.kind)] * len(batch)
                 continue
-            sizes = np.array([len(x) for x in table])
-            flat = np.concatenate(table)
+            sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+            flat = np.frombuffer(b"".join(table), self.kind)
             begin = np.cumsum(sizes) - sizes
             n = sizes[number]
             past = np.cumsum(n)
