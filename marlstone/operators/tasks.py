@@ -34,7 +34,7 @@ add("sm02_pop_next", lambda d: "SELECT task_id FROM (SELECT task_id, turn, parti
 add("sm03_requeue_front", lambda d: "SELECT task_id, row_number() OVER (PARTITION BY partition_ord ORDER BY CASE WHEN seq % 100 = 7 THEN -seq ELSE seq END) AS place FROM @v_queue")
 add("sm04_admission", lambda d: "SELECT task_id FROM (SELECT task_id, sum(CASE WHEN heavy > 2 THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS blocked, row_number() OVER (ORDER BY seq) AS n FROM (SELECT seq, task_id, sum(CASE WHEN task_name = 'structure' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS heavy FROM @v_queue) h) t WHERE blocked = 0 AND n <= 20")
 add("sm05_staleness", lambda d: f"SELECT task_id FROM @v_tasks WHERE status = 'running' AND updated_at < {NOW} - INTERVAL 300 SECOND")
-add("sm07_status_machine", lambda d: "SELECT user_id, max_by(event_type, event_id) AS status, CASE WHEN max_by(event_type, event_id) IN ('purchase', 'completed') THEN 1e0 ELSE round(max_by(value, event_id) / 1000, 4) END AS progress FROM @events GROUP BY user_id")
+add("sm07_status_machine", lambda d: "SELECT user_id, max_by(event_type, event_id) AS status, CASE WHEN max_by(event_type, event_id) IN ('purchase', 'completed') THEN 1e0 ELSE max_by(value, event_id) / 1000 END AS progress FROM @events GROUP BY user_id")
 add("sm08_progress_map", lambda d: "SELECT task_id, round(least(95e-2, CASE type WHEN '1-urgent' THEN 1e-1 + progress * 4e-1 ELSE 5e-1 + progress * 5e-1 END), 4) AS overall FROM @v_tasks")
 add("sm10_redelivery", lambda d: "SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM @events) t WHERE n = 1")
 add("sm11_reassembly", lambda d: "SELECT page, ord, row_number() OVER (ORDER BY page, ord) AS place FROM (SELECT page, ord FROM @v_assay_long WHERE flag = 'R') t")
