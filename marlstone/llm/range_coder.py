@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import materialise, ship_code, text_or_empty
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 512
+LANES = 8192
 FILE_IDS = BLOCK * LANES
 MAGIC = b"MLTK1\n"
-SLOTS = 12  #: bits of a context's hash
+SLOTS = 9  #: bits of a context's hash
 ONE = 1 << 16
 MASK = (1 << 48) - 1
 
