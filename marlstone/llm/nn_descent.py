@@ -1,16 +1,19 @@
 """Near-duplicate vectors by NN-descent.
 
-Each vector keeps a list of its nearest neighbours found so far (those with a cosine of at least
-``threshold - MARGIN``; ordinary vectors have none and cost nothing further).  Lists start from
-groups of equal signs under a few random hyperplanes and are then refined: for every vector, its
-neighbours and those that have it as a neighbour are compared with each other (neighbours of
-neighbours), and better ones are kept, until a round adds hardly any.  A list that is full of
-links is saturated and may grow.
-
-The graph's connected parts bound where links can be, so the links are then taken inside each
-part, exactly and in double precision, by tiles: a pair of tiles gives a count for each vector
-and a spanning forest of the links, never the pairs themselves.  A bounded, fixed set of rows is
-compared with all rows to audit recall; below ``RECALL`` the search goes on with more groups.
+Equal vectors are one vector with a weight.  Each keeps a list of its nearest neighbours found so
+far (those with a cosine of at least ``threshold - MARGIN``).  Vectors meet first in groups
+of equal signs under a few random hyperplanes.  A group is compared whole, by tiles, and gives
+a spanning forest of its links next to the lists, so that no full list can hide a link between two
+groups.  The lists are then refined: for every vector, its neighbours and those that have it as a
+neighbour are compared with each other (neighbours of neighbours), and better ones are kept, until
+a round adds hardly any.
+
+The connected parts of lists and forests bound where links can be, so the links are then taken
+inside each part, exactly and in double precision, by tiles: a pair of tiles gives a count for each
+vector and a spanning forest of the links, never the pairs themselves.
+
+All vectors are compared with all, by the same tiles, where the groups would save no comparisons,
+and where the audit of a bounded, fixed set of rows finds recall below ``RECALL``.
 
 Cases: vectors that are null, empty or zero or hold null or non-finite components, or differ in
 length from most others, link with nothing; equal vectors link with cosine one; rows with one
@@ -33,8 +36,8 @@ from .components import connected_components, forest
 MARGIN = 0.1
 NEIGHBOURS = 12
 GROWN = 48
-GROUP = 1024  #: vectors compared at once
-TILE = 1024
+GROUP = 2048  #: vectors of a group, about
+TILE = 2048
 SAMPLE = 128  #: vectors of the audit
 RECALL = 0.95
 TABLES = 4
@@ -91,24 +94,23 @@ def _best(rows: np.ndarray, x: np.ndarray, least: float, keep: int) -> pd.DataFr
     return pd.concat(out)
 
 
-def _grouped(units_: DataFrame, bits: int, table: int, least: float, keep: int) -> DataFrame:
-    """Neighbours within groups of equal signs; a group over GROUP is parted by hash."""
+def tables_for(count: int, threshold: float) -> tuple[int, int]:
+    """Hyperplanes of a table, and tables."""
+    return max(0, int(np.log2(max(count, 1) / GROUP))), TABLES
+
+
+def _buckets(units_: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(row, root): the groups of equal signs of each row, one for each table."""
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 x = _matrix(pdf["unit"])
-                planes = np.random.default_rng(1000 + table).standard_normal((x.shape[1], max(bits, 1)))
-                pdf["key"] = ((x @ planes > 0) @ (1 << np.arange(max(bits, 1)))) if bits else 0
-                yield pdf[["row", "unit", "key"]]
+                for table in range(tables):
+                    planes = np.random.default_rng(1000 + table).standard_normal((x.shape[1], bits))
+                    yield pd.DataFrame({"row": pdf["row"], "root": (x @ planes > 0) @ (1 << np.arange(bits)) + (table << 40)})
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _best(pdf["row"].to_numpy(), _matrix(pdf["unit"]), least, keep)
-
-    keyed = units_.select("row", "unit").mapInPandas(keys, "row long, unit binary, key long")
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("parts"))
-    parted = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("row", F.lit(table)), F.col("parts")))
-    return parted.groupBy("key", "part").applyInPandas(compare, "u long, v long, sim double")
+    return materialise(units_.select("row", "unit").mapInPandas(keys, "row long, root long"), "buckets")
 
 
 def _top(edges: DataFrame, threshold: float) -> DataFrame:
@@ -143,43 +145,72 @@ def _descend(graph: DataFrame, units_: DataFrame, least: float, threshold: float
     return graph
 
 
-def _exact(parts: DataFrame, threshold: float) -> DataFrame:
-    """(row, n, other): how many links a row has within its part, by tiles, and forest edges
-    (n null).  parts: (row, vec_id, unit, root)."""
+def _exact(parts: DataFrame, threshold: float, least: float | None = None) -> DataFrame:
+    """(row, n, other, sim) of all pairs within each part, by tiles: how many links a row has,
+    forest edges of the links (n null), and given ``least``, lists of nearest neighbours (with
+    sim).  parts: (row, unit, weight, root)."""
     sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("tiles"))
     tiled = parts.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("row", F.lit(3)), F.col("tiles")))
-    tiles = materialise(tiled.groupBy("root", "tile").agg(F.collect_list(F.struct("row", "unit")).alias("cells")), "vector-tiles")
-    right = tiles.select("root", F.col("tile").alias("other"), F.col("cells").alias("right"))
-    pairs = tiles.select("root", "tile", F.col("cells").alias("left")).join(right, "root").where("tile <= other").select("left", "right", (F.col("tile") == F.col("other")).alias("same"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = [pdf["row"].to_numpy(np.int64).tobytes(), pdf["weight"].to_numpy(np.int64).tobytes(), b"".join(map(bytes, pdf["unit"]))]
+        return pd.DataFrame([(pdf["root"].iloc[0], pdf["tile"].iloc[0], *cells)], columns=["root", "tile", "rows", "weights", "units"])
+
+    tiles = tiled.select("root", "tile", "row", "weight", "unit").groupBy("root", "tile").applyInPandas(pack, "root long, tile long, rows binary, weights binary, units binary")
+    tiles = materialise(tiles, "vector-tiles")
+    cells = F.struct("rows", "weights", "units")
+    right = tiles.select("root", F.col("tile").alias("other"), cells.alias("right"))
+    pairs = tiles.select("root", "tile", cells.alias("left")).join(right, "root").where("tile <= other")
+    pairs = pairs.select("left.*", *[F.col(f"right.{c}").alias(f"right_{c}") for c in ("rows", "weights", "units")], (F.col("tile") == F.col("other")).alias("same"))
+
+    def frame(rows, n=None, other=None, sim=None) -> pd.DataFrame:
+        gaps = [None] * len(rows)
+        return pd.DataFrame({"row": rows, "n": pd.array(gaps if n is None else n, "Int64"), "other": pd.array(gaps if other is None else other, "Int64"), "sim": np.full(len(rows), np.nan) if sim is None else sim})
+
+    def nearest(sims: np.ndarray, rows: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+        some = np.flatnonzero((sims >= least).any(1))
+        rows, sims = rows[some], sims[some]
+        keep = min(NEIGHBOURS, sims.shape[1])
+        part = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+        found = np.take_along_axis(sims, part, 1)
+        i, j = np.nonzero(found >= least)
+        return frame(rows[i], other=others[part[i, j]], sim=found[i, j])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for left, right_, same in zip(pdf["left"], pdf["right"], pdf["same"]):
-                a, b = (np.array([c["row"] for c in x], np.int64) for x in (left, right_))
-                x, y = _matrix([c["unit"] for c in left]), _matrix([c["unit"] for c in right_])
-                if x.shape[1] != y.shape[1]:
-                    continue
-                near = x @ y.T >= threshold
-                if same:
-                    np.fill_diagonal(near, False)
-                counts = [(a, near.sum(1))] if same else [(a, near.sum(1)), (b, near.sum(0))]
-                for rows, n in counts:
-                    if n.any():
-                        yield pd.DataFrame({"row": rows[n > 0], "n": pd.array(n[n > 0], "Int64"), "other": pd.array([None] * int((n > 0).sum()), "Int64")})
-                i, j = np.nonzero(np.triu(near) if same else near)
-                nodes = a if same else np.concatenate([a, b])
-                j = j if same else j + len(a)
-                if len(i) >= len(nodes):
-                    i, j = forest(i, j, len(nodes))
-                if len(i):
-                    yield pd.DataFrame({"row": nodes[i], "n": pd.array([None] * len(i), "Int64"), "other": pd.array(nodes[j], "Int64")})
-
-    return materialise(pairs.mapInPandas(run, "row long, n long, other long"), "links")
+            for t in pdf.itertuples():
+                a, b, v, w = (np.frombuffer(bytes(c), np.int64) for c in (t.rows, t.right_rows, t.weights, t.right_weights))
+                x, y = (np.frombuffer(bytes(c), np.float64).reshape(len(r), -1) for c, r in ((t.units, a), (t.right_units, b)))
+                sims = x @ y.T
+                if t.same:
+                    np.fill_diagonal(sims, -2)
+                near = sims >= threshold
+                if near.any() and least is None:
+                    counts = [(a, near @ w)] if t.same else [(a, near @ w), (b, v @ near)]
+                    for rows, n in counts:
+                        yield frame(rows[n > 0], n=n[n > 0])
+                if near.any():
+                    i, j = np.nonzero(np.triu(near) if t.same else near)
+                    nodes = a if t.same else np.concatenate([a, b])
+                    j = j if t.same else j + len(a)
+                    if len(i) >= len(nodes):
+                        i, j = forest(i, j, len(nodes))
+                    yield frame(nodes[i], other=nodes[j])
+                if least is not None and (sims >= least).any():
+                    yield nearest(sims, a, b)
+                    if not t.same:
+                        yield nearest(sims.T, b, a)
+
+    return materialise(pairs.mapInPandas(run, "row long, n long, other long, sim double"), "links")
+
+
+def _counts(links: DataFrame) -> DataFrame:
+    return links.where("n IS NOT NULL").groupBy("row").agg(F.sum("n").alias("n_links"))
 
 
 def recall(units_: DataFrame, counts: DataFrame, threshold: float) -> float:
     """Share of the true links of SAMPLE fixed rows that were found."""
-    chosen = units_.where("unit IS NOT NULL").orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
+    chosen = units_.orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
     got = chosen.join(counts, "row", "left").select("row", "unit", F.coalesce("n_links", F.lit(0)).alias("n")).collect()  # SAMPLE rows
     if not got:
         return 1.0
@@ -189,38 +220,49 @@ def recall(units_: DataFrame, counts: DataFrame, threshold: float) -> float:
         for pdf in frames:
             if len(pdf):
                 near = x @ _matrix(pdf["unit"]).T >= threshold
-                yield pd.DataFrame({"n": [int((near & (rows[:, None] != pdf["row"].to_numpy()[None, :])).sum())]})
+                near &= rows[:, None] != pdf["row"].to_numpy()[None, :]
+                yield pd.DataFrame({"n": [int((near @ pdf["weight"].to_numpy()).sum())]})
 
-    true = units_.where("unit IS NOT NULL").select("row", "unit").mapInPandas(run, "n long").agg(F.sum("n")).first()[0]
+    true = units_.select("row", "unit", "weight").mapInPandas(run, "n long").agg(F.sum("n")).first()[0]
     return 1.0 if not true else n / true
 
 
+def _searched(live: DataFrame, buckets: DataFrame, threshold: float, rounds: int) -> DataFrame:
+    """Links, from lists and forests of the groups, descent, and exact counting in the parts."""
+    least = threshold - MARGIN
+    found = _exact(buckets.join(live, "row"), threshold, least)
+    graph = found.where("sim IS NOT NULL AND NOT isnan(sim)").select(F.col("row").alias("u"), F.col("other").alias("v"), "sim")
+    graph = _descend(materialise(_top(graph, threshold), "graph"), live, least, threshold, rounds)
+    bonds = found.where("sim IS NULL OR isnan(sim)").select(F.col("row").alias("u"), F.col("other").alias("v"))
+    parts = connected_components(graph.select("u", "v").unionByName(bonds), "u", "v")
+    return _exact(parts.join(live, parts["node"] == live["row"]).select("row", "unit", "weight", "root"), threshold)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, rounds: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     whole = materialise(units(vectors, id_col, vector_col), "units")
-    live = whole.where("unit IS NOT NULL")
     # vectors of another length than most link with nothing
-    length = live.groupBy(F.length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    live = live.where(F.length("unit") == (length["n"] if length else 0))
+    length = whole.where("unit IS NOT NULL").groupBy(F.length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    played = F.length("unit") == (length["n"] if length else 0)
+    reps = whole.where(played).groupBy("unit").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.min("vec_id").alias("low_id"))
+    reps = materialise(reps, "distinct-units")
+    live = reps.select("row", "unit", "weight")
     count = live.count()
-    bits = max(0, int(np.log2(max(count, 1) / 128)))
-    least = threshold - MARGIN
-    graph = None
-    counts = links = None
-    for attempt in range(4):
-        for table in range(attempt * TABLES, (attempt + 1) * TABLES):
-            more = _grouped(live, max(0, bits - 2 * attempt), table, least, NEIGHBOURS)
-            graph = more if graph is None else graph.unionByName(more)
-        graph = _descend(materialise(_top(graph, threshold), "graph"), live, least, threshold, rounds)
-        parts = connected_components(graph, "u", "v")
-        placed = parts.join(live, parts["node"] == live["row"]).select("row", "vec_id", "unit", "root")
-        links = _exact(placed, threshold)
-        counts = links.where("n IS NOT NULL").groupBy("row").agg(F.sum("n").alias("n_links"))
-        if recall(live, counts, threshold) >= RECALL:
-            break
-    roots = connected_components(links.where("other IS NOT NULL"), "row", "other")
-    named = roots.join(whole.select("row", "vec_id"), roots["node"] == F.col("row")).groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    member = roots.join(named, "root").select(F.col("node").alias("row"), "component_id")
-    out = whole.select("row", "vec_id").join(counts, "row", "left").join(member, "row", "left")
+    bits, tables = tables_for(count, threshold)
+    links = None
+    if tables * (count / 2**bits) < count:
+        buckets = _buckets(live, bits, tables)
+        met = buckets.groupBy("root").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+        if met < float(count) ** 2:
+            links = _searched(live, buckets, threshold, rounds)
+            if recall(live, _counts(links), threshold) < RECALL:
+                links = None
+    if links is None:
+        links = _exact(live.withColumn("root", F.lit(0).cast("long")), threshold)
+    roots = connected_components(links.where("other IS NOT NULL"), "row", "other").withColumnRenamed("node", "row")
+    lowest = roots.join(reps, "row").groupBy("root").agg(F.min("low_id").alias("component_id"))
+    member = reps.join(roots.join(lowest, "root"), "row", "left").join(_counts(links), "row", "left")
+    member = member.select("unit", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "low_id").alias("component_id"))
+    out = whole.select("vec_id", F.when(played, F.col("unit")).alias("unit")).join(member, "unit", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

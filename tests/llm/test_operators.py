@@ -328,6 +328,43 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def _linked(x):
+    """(n_links, component_id) of each unit vector, by brute force."""
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    roots = brute_components(len(x), list(zip(*np.nonzero(near))))
+    low = {}
+    for i, r in enumerate(roots):
+        low[r] = min(low.get(r, i), i)
+    return {i: (int(n), low[r]) for i, (n, r) in enumerate(zip(near.sum(1), roots))}
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def _found(spark, x):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+
+
+@pytest.mark.parametrize("group", [nn_descent.GROUP, 16])
+def test_nn_descent_tight_groups(spark, monkeypatch, group):
+    """Two groups of near copies and two of exact copies, larger than any list, with links between."""
+    monkeypatch.setattr(nn_descent, "GROUP", group)
+    rng = np.random.default_rng(5)
+    parts = []
+    for spread in (0.01, 0.0):
+        a = _unit(rng.standard_normal(64))
+        b = _unit(rng.standard_normal(64))
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * _unit(b - (a @ b) * a)
+        parts += [np.stack([c + spread * rng.standard_normal(64) for _ in range(70)]) for c in (a, b)]
+    x = _unit(np.concatenate([*parts, rng.standard_normal((400, 64))]))
+    want = _linked(x)
+    assert want[0][0] == 139 and want[279] == (139, 140)
+    assert _found(spark, x) == want
+
+
 def test_gif(docs, rows, empty):
     got = {}
     for r in gif.media_columns(docs, with_media=True).collect():
