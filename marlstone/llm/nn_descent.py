@@ -1,8 +1,10 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors are one vector with a weight.  Each keeps a list of its nearest neighbours found so
-far (those with a cosine of at least ``threshold - MARGIN``).  Vectors meet first in groups
-of equal signs under a few random hyperplanes.  A group is compared whole, by tiles, and gives
+far (those with a cosine of at least ``threshold - MARGIN``).  Vectors meet first in groups of
+equal signs under random hyperplanes; there are as many tables of them as a pair that is just at
+the threshold needs to share a group in one of them but for a chance of ``MISS``, so pairs without
+other neighbours are found in a table of any size.  A group is compared whole, by tiles, and gives
 a spanning forest of its links next to the lists, so that no full list can hide a link between two
 groups.  The lists are then refined: for every vector, its neighbours and those that have it as a
 neighbour are compared with each other (neighbours of neighbours), and better ones are kept, until
@@ -13,7 +15,9 @@ inside each part, exactly and in double precision, by tiles: a pair of tiles giv
 vector and a spanning forest of the links, never the pairs themselves.
 
 All vectors are compared with all, by the same tiles, where the groups would save no comparisons,
-and where the audit of a bounded, fixed set of rows finds recall below ``RECALL``.
+and where the audit asks for it: it compares fixed rows with all rows and takes the mean share of
+links found for each row, apart for rows with few and with many of them; below ``RECALL`` the
+search is given up for the exact comparison.
 
 Cases: vectors that are null, empty or zero or hold null or non-finite components, or differ in
 length from most others, link with nothing; equal vectors link with cosine one; rows with one
@@ -38,9 +42,11 @@ NEIGHBOURS = 12
 GROWN = 48
 GROUP = 2048  #: vectors of a group, about
 TILE = 2048
-SAMPLE = 128  #: vectors of the audit
-RECALL = 0.95
-TABLES = 4
+MISS = 0.001  #: chance that a pair at the threshold shares no group
+SAMPLE = 1024  #: vectors of the audit, of either kind,
+ENOUGH = 32  #: and more until so many of them have links,
+AUDIT = 8192  #: or these are compared
+RECALL = 0.99
 
 
 def unit(values) -> np.ndarray | None:
@@ -96,7 +102,9 @@ def _best(rows: np.ndarray, x: np.ndarray, least: float, keep: int) -> pd.DataFr
 
 def tables_for(count: int, threshold: float) -> tuple[int, int]:
     """Hyperplanes of a table, and tables."""
-    return max(0, int(np.log2(max(count, 1) / GROUP))), TABLES
+    bits = max(0, int(np.log2(max(count, 1) / GROUP)))
+    shared = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return bits, 1 if shared >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-shared)))
 
 
 def _buckets(units_: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -209,22 +217,37 @@ def _counts(links: DataFrame) -> DataFrame:
 
 
 def recall(units_: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the true links of SAMPLE fixed rows that were found."""
-    chosen = units_.orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
-    got = chosen.join(counts, "row", "left").select("row", "unit", F.coalesce("n_links", F.lit(0)).alias("n")).collect()  # SAMPLE rows
-    if not got:
-        return 1.0
-    rows, x, n = np.array([r["row"] for r in got]), _matrix([r["unit"] for r in got]), sum(r["n"] for r in got)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                near = x @ _matrix(pdf["unit"]).T >= threshold
-                near &= rows[:, None] != pdf["row"].to_numpy()[None, :]
-                yield pd.DataFrame({"n": [int((near @ pdf["weight"].to_numpy()).sum())]})
-
-    true = units_.select("row", "unit", "weight").mapInPandas(run, "n long").agg(F.sum("n")).first()[0]
-    return 1.0 if not true else n / true
+    """Mean share of its true links that a row was given, over fixed rows that have some: the
+    lower of the means for rows with few links or none and for those with more.  units_: (row,
+    unit, weight)."""
+    found = units_.join(counts, "row", "left").withColumn("n", F.coalesce("n_links", F.lit(0)))
+    lowest = 1.0
+    for kind in (F.col("n") <= NEIGHBOURS, F.col("n") > NEIGHBOURS):
+        size = SAMPLE
+        while True:
+            got = found.where(kind).orderBy(F.xxhash64("row"), "row").limit(size).select("row", "unit", "n").collect()  # AUDIT rows at most
+            if not got:
+                break
+            rows, x, n = np.array([r["row"] for r in got]), _matrix([r["unit"] for r in got]), np.array([r["n"] for r in got])
+
+            def run(frames: Iterator[pd.DataFrame], rows=rows, x=x) -> Iterator[pd.DataFrame]:
+                true = np.zeros(len(rows), np.int64)
+                for pdf in frames:
+                    for k in range(0, len(pdf), TILE):
+                        some = pdf[k : k + TILE]
+                        near = x @ _matrix(some["unit"]).T >= threshold
+                        near &= rows[:, None] != some["row"].to_numpy()[None, :]
+                        true += near @ some["weight"].to_numpy()
+                at = np.flatnonzero(true)
+                yield pd.DataFrame({"at": at, "n": true[at]})
+
+            sums = units_.select("row", "unit", "weight").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+            if len(sums) >= ENOUGH or size >= AUDIT or len(got) < size:
+                break
+            size *= 2
+        if got and sums:
+            lowest = min(lowest, float(np.mean([min(1.0, n[r["at"]] / r["n"]) for r in sums])))
+    return lowest
 
 
 def _searched(live: DataFrame, buckets: DataFrame, threshold: float, rounds: int) -> DataFrame:

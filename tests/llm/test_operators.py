@@ -365,6 +365,33 @@ def test_nn_descent_tight_groups(spark, monkeypatch, group):
     assert _found(spark, x) == want
 
 
+def test_nn_descent_isolated_pairs(spark, monkeypatch):
+    """Pairs without other neighbours beside a large group, found by groups and not by comparing all."""
+    monkeypatch.setattr(nn_descent, "GROUP", 64)
+    rng = np.random.default_rng(6)
+    a = _unit(rng.standard_normal((1000, 64)))
+    b = _unit(rng.standard_normal((1000, 64)))
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * _unit(b - (a * b).sum(1, keepdims=True) * a)
+    hot = _unit(_unit(rng.standard_normal(64)) + 0.02 * rng.standard_normal((600, 64)))
+    x = np.concatenate([a, b, hot])
+    want, got = _linked(x), _found(spark, x)
+    assert sum(n == 1 for n, _ in want.values()) >= 2000
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= 10, len(wrong)
+
+
+def test_nn_descent_audit(spark):
+    """The audit sees lost pairs beside a large group whose links were all found."""
+    rng = np.random.default_rng(7)
+    a = _unit(rng.standard_normal((100, 64)))
+    hot = _unit(_unit(rng.standard_normal(64)) + 0.02 * rng.standard_normal((300, 64)))
+    x = np.concatenate([a, _unit(a + 0.01 * rng.standard_normal(a.shape)), hot])
+    live = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "row long, unit binary, weight long")
+    counts = spark.createDataFrame([(i, n) for i, (n, _) in _linked(x).items()], "row long, n_links long")
+    assert nn_descent.recall(live, counts, 0.9) == 1.0
+    assert nn_descent.recall(live, counts.where("n_links > 1 OR row % 100 >= 20"), 0.9) == pytest.approx(0.8)
+
+
 def test_gif(docs, rows, empty):
     got = {}
     for r in gif.media_columns(docs, with_media=True).collect():
