@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -67,3 +68,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """One key, never null, for the rows with the same id and the same text: what an operator
+    finds for a row follows from these two.  ``row_key_of`` is the same in Python."""
+    head = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return F.sha2(F.concat(head, F.lit(":"), text_or_empty(text_col)), 256)
+
+
+def row_key_of(doc_id: int | None, text: bytes) -> str:
+    return hashlib.sha256(b"%s:%s" % (b"null" if doc_id is None else b"%d" % doc_id, text)).hexdigest()

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_code
+from .common import materialise, row_key, ship_code
 from .components import connected_components, forest
 
 TILE = 2048
@@ -52,15 +52,15 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int.from_bytes(out, "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; and more columns of docs."""
     ship_code(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, size) for x in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"), *more)
 
 
 def _near(radius: int) -> list[int]:
@@ -125,21 +125,30 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_bits) for each row of docs."""
-    fps = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs; given more columns of docs, these
+    and the component's fingerprint_root."""
+    fps = materialise(fingerprints(docs, id_col, text_col, size, more), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(links(distinct, radius), "a", "b")
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
+    named = member.join(lowest, "root").select("fp", "component_id", "root")
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        *([*more, F.col("root").alias("fingerprint_root")] if more else []),
     )
 
 
 def keep_first(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of their component; all columns as they are."""
-    found = near_duplicates(docs, radius, size)
-    kept = found.where("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows whose id is the smallest of their own component, and of a component without ids
+    one row; all columns as they are."""
+    docs = docs.withColumn("_row_key", row_key())
+    found = near_duplicates(docs, radius, size, more=("_row_key",)).withColumnRenamed("_row_key", "_kept_key")
+    named = found.where("doc_id = component_id").select("_kept_key").distinct()
+    unnamed = found.where("component_id IS NULL").groupBy("fingerprint_root").agg(F.min("_kept_key").alias("_kept_key")).select("_kept_key")
+    match = F.col("_row_key") == F.col("_kept_key")
+    out = docs.where("doc_id IS NOT NULL").join(named, match, "left_semi")
+    # equal rows without an id are copies, too
+    alone = docs.where("doc_id IS NULL").join(unnamed, match, "left_semi").dropDuplicates(["_row_key"])
+    return out.unionByName(alone).drop("_row_key")

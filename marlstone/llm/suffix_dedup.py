@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder, ship_code
+from .common import materialise, row_key, row_key_of, shared_folder, ship_code
 
 CHUNK = 4 << 20  #: bytes of text in a chunk
 BUCKETS = 256  #: of ranks, at least
@@ -259,7 +259,7 @@ def _chunks(docs: DataFrame, threshold: int) -> DataFrame:
                 if texts and size + len(raw) > CHUNK:
                     yield close()
                     ids, texts, size, number = [], [], 0, number + 1
-                ids.append(LAST if pd.isna(name) else int(name))
+                ids.append(int(name))
                 texts.append(raw)
                 size += len(raw)
         if texts:
@@ -330,13 +330,15 @@ class Chunk:
         return gone, place, Entries(np.concatenate(rank), np.concatenate(name), np.concatenate(owner)), np.concatenate(owner)
 
 
-def removals(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row."""
+def removals(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row; if keyed, its
+    row_key too."""
     spark = docs.sparkSession
     ship_code(spark)
     if threshold < 2:
         raise ValueError("the threshold must be at least 2 bytes")
-    chunks = _chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold)
+    # no nulls: pandas would make large ids inexact
+    chunks = _chunks(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text")), threshold)
     total = chunks.agg(F.count("*")).first()[0] * CHUNK
     buckets = max(BUCKETS, total // 13 // ENTRIES)
 
@@ -363,13 +365,13 @@ def removals(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_
     def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
-                yield _cut(Chunk(row, threshold), row.one, row.two, buckets)
+                yield _cut(Chunk(row, threshold), row.one, row.two, buckets, keyed)
 
-    out = known.join(given(two, "two"), "chunk", "left").mapInPandas(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = known.join(given(two, "two"), "chunk", "left").mapInPandas(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + ", key string" * keyed)
     return out
 
 
-def _cut(c: Chunk, one, two, buckets: int) -> pd.DataFrame:
+def _cut(c: Chunk, one, two, buckets: int, keyed: bool) -> pd.DataFrame:
     gone, place, entries, owner = c.second(*c.answered(one, buckets, c.first))
     settled = c.answered(two, buckets, entries)[0]
     window_gone = settled[entries.group] | (owner > entries.low[entries.group]) if len(owner) else np.zeros(0, bool)
@@ -393,8 +395,11 @@ def _cut(c: Chunk, one, two, buckets: int) -> pd.DataFrame:
             own = covered[b : b + len(text)]
             kept = np.frombuffer(text, np.uint8)[~own].tobytes()
             spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if len(text) else 0
-            rows.append((None if c.ids[k] == LAST else int(c.ids[k]), len(text), len(text) - len(kept), spans, kept))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            name = None if c.ids[k] == LAST else int(c.ids[k])
+            rows.append((name, len(text), len(text) - len(kept), spans, kept, row_key_of(name, text) if keyed else None))
+    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "key"])
+    if not keyed:
+        del out["key"]
     out["doc_id"] = out["doc_id"].astype("Int64")
     return out
 
@@ -406,14 +411,19 @@ def digest(docs: DataFrame, threshold: int = 50) -> DataFrame:
 
 def deduplicated(docs: DataFrame, threshold: int = 50) -> DataFrame:
     """The documents without their repeated bytes; characters that were cut apart are dropped,
-    n_chars follows the text, other columns stay.  Rows must have distinct ids."""
+    n_chars follows the text, other columns stay.  Ids may repeat or be null: the cut of a row
+    follows from its id and text, and each row meets one cut by these two."""
     ship_code(docs.sparkSession)
 
     @F.pandas_udf("string")
     def text(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = removals(docs, threshold).select(F.col("doc_id").alias("_cut_id"), F.when(F.col("n_removed") > 0, text("kept")).alias("_cut_text"), "n_removed").where("n_removed > 0")
-    joined = docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(F.col("_cut_id")), "left")
-    new = F.when(F.col("n_removed") > 0, F.col("_cut_text")).otherwise(docs["text"])
-    return joined.select(*[new.alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length(new)).otherwise(docs[c]).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    cut = removals(docs, threshold, keyed=True).where("n_removed > 0").select(F.col("key").alias("_cut_key"), text("kept").alias("_cut_text")).dropDuplicates(["_cut_key"])
+    # an id of LAST counts as null in removals()
+    ids = F.when(docs["doc_id"].cast("long") != LAST, docs["doc_id"].cast("long"))
+    keyed = docs.withColumn("_row_id", ids)
+    joined = keyed.withColumn("_row_key", row_key("_row_id")).join(cut, F.col("_row_key") == F.col("_cut_key"), "left")
+    hit = F.col("_cut_key").isNotNull()
+    new = F.when(hit, F.col("_cut_text")).otherwise(F.col("text"))
+    return joined.select(*[new.alias(c) if c == "text" else F.when(hit, F.length(new)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

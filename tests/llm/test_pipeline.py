@@ -31,5 +31,27 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in pieces} == set(before) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
 
 
+def test_odd_rows(spark):
+    """Repeated and null ids: each row keeps its own text and stays one row."""
+    line = "this passage of well over fifty bytes stands in more than one of the documents "
+    rows = [(1, line), (7, "a" + line), (7, line + "b"), (7, "nothing here is a repeat"), (7, "a" + line)]
+    rows += [(None, line + f"tail {k}") for k in range(6)] + [(None, "alone"), (None, None), ((1 << 63) - 1, "c" + line)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_removed long").repartition(3)
+    got = {r["n_removed"]: (r["doc_id"], r["text"]) for r in suffix_dedup.deduplicated(df).collect()}
+    assert suffix_dedup.deduplicated(df).count() == len(rows) == len(got)
+    want = {0: line, 1: "a", 2: "b", 3: rows[3][1], 4: "a", 11: "alone", 12: None, 13: "c"} | {5 + k: f"tail {k}" for k in range(6)}
+    assert got == {k: (rows[k][0], t) for k, t in want.items()}
+
+
+def test_odd_rows_simhash(spark):
+    """A row goes by its own group; a group without ids keeps one row."""
+    one, two, three = ("".join(f"{w}{k} " for k in range(40)) for w in ("red", "blue", "green"))
+    rows = [(3, one), (7, one), (7, two), (None, one), (None, three), (None, three), (None, three.upper()), (None, "other words"), (9, three + "and quite a few more words that differ")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp long").repartition(3)
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"].lower()) for r in got.collect()) == sorted((str(i), t) for i, t in [(3, one), (7, two), (None, three), (None, "other words"), rows[8]])
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
