@@ -15,7 +15,7 @@ add("sp01_box_algebra", lambda d: f"SELECT page, a, b, round({INTER} / ({AREA_A}
 add("jn09_containment", lambda d: f"SELECT page, a, b FROM ({PAIRS}) p WHERE ay1 - 2 <= by1 AND ax1 - 2 <= bx1 AND ay2 + 2 >= by2 AND ax2 + 2 >= bx2")
 add("sp03_aggregate_suppression", lambda d: f"SELECT page, a, count(*) AS children FROM (SELECT page, a, {AREA_B} AS child, {AREA_A} AS own FROM (SELECT a.page, a.box_id AS a, a.y1 AS ay1, a.x1 AS ax1, a.y2 AS ay2, a.x2 AS ax2, b.y1 AS by1, b.x1 AS bx1, b.y2 AS by2, b.x2 AS bx2 FROM @v_boxes a JOIN @v_boxes b ON a.page = b.page AND a.box_id <> b.box_id) p WHERE ay1 <= by1 AND ax1 <= bx1 AND ay2 >= by2 AND ax2 >= bx2) c WHERE own >= 1.75 * child GROUP BY page, a, own HAVING count(*) >= 1 AND sum(child) >= 0.1 * own")
 add("sp05_mask_algebra", lambda d: f"SELECT record_id, {d.size(d.common('a', 'b'))} AS inter, {d.size(d.distinct('a'))} AS area FROM (SELECT record_id, {d.series('lo', 'hi')} AS a, {d.series('lo + 2', 'hi + 5')} AS b FROM (SELECT o_orderkey AS record_id, o_custkey % 20 AS lo, o_custkey % 20 + o_orderkey % 9 AS hi FROM @orders) o) t")
-add("sp06_tiling", lambda d: "SELECT b.page, b.box_id, t.dy, greatest(0, least(700, b.y1 + t.dy)) AS y1, greatest(0, least(500, b.x1)) AS x1 FROM @v_boxes b CROSS JOIN (SELECT r_regionkey * 100 AS dy FROM @region) t WHERE b.page < 20")
+add("sp06_tiling", lambda d: "SELECT b.page, b.box_id, t.dy, greatest(0, least(700, b.y1 + t.dy)) AS y1, greatest(0, least(500, b.x1)) AS x1 FROM @v_boxes b CROSS JOIN (SELECT r_regionkey * 100 AS dy FROM @region) t")
 add("sp08_resize", lambda d: "SELECT page, box_id, round(least(4e0, greatest(800e0 / least(y2 - y1, x2 - x1), 1e0)), 6) AS scale FROM @v_boxes")
 add("sp09_contact_sheet", lambda d: "SELECT page, i, CAST(floor(i / 4) AS BIGINT) AS grid_row, i % 4 AS grid_col, CAST(floor(i / 4) AS BIGINT) * 260 AS y, (i % 4) * 200 AS x FROM (SELECT page, row_number() OVER (ORDER BY page) - 1 AS i FROM (SELECT DISTINCT page FROM @v_boxes) p) t")
 add("sp10_rigid_pose", lambda d: "SELECT page, box_id, round(y1 * cos(radians(30e0)) - x1 * sin(radians(30e0)), 4) AS ry, round(y1 * sin(radians(30e0)) + x1 * cos(radians(30e0)), 4) AS rx FROM @v_boxes")

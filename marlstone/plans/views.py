@@ -52,8 +52,8 @@ FROM (SELECT l_orderkey AS doc_id, {d.join_rows(row, chr(10), 'l_linenumber, l_p
 
 @view("v_boxes")
 def _boxes(d):
-    return """SELECT l_orderkey % 500 AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS box_id,
-(l_partkey * 37) % 700 AS y1, (l_suppkey * 53) % 500 AS x1, (l_partkey * 37) % 700 + 10 + l_linenumber * 13 AS y2, (l_suppkey * 53) % 500 + 8 + CAST(l_quantity AS BIGINT) AS x2, l_discount * 10 AS score FROM @lineitem WHERE l_orderkey % 4 = 0"""
+    return """SELECT l_orderkey % 50 AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS box_id,
+(l_partkey * 37) % 700 AS y1, (l_suppkey * 53) % 500 AS x1, (l_partkey * 37) % 700 + 10 + l_linenumber * 13 AS y2, (l_suppkey * 53) % 500 + 8 + CAST(l_quantity AS BIGINT) AS x2, l_discount * 10 AS score FROM @lineitem"""
 
 
 @view("v_decisions")

@@ -120,3 +120,20 @@ def test_streams(spark, sf):
     n = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
     assert state.to_table(state.latest_status(events), "latest", "complete").count() == n
     assert state.to_table(state.deliveries(events), "once", "append").count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+BOXES = sorted(n for n in SQL if "l_discount * 10" in SQL[n])
+
+
+def test_boxes_cover_lineitem(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    boxes = catalogue.load(spark, sf, "v_boxes")
+    assert boxes.count() == lines.count()
+    assert boxes.select("page").distinct().count() == lines.selectExpr("l_orderkey % 50").distinct().count()
+    assert QUERIES["sp06_tiling"](spark, sf).count() == 5 * lines.count()
+    assert QUERIES["wn06_line_merge"](spark, sf).count() == lines.count()
+
+
+@pytest.mark.parametrize("name", BOXES)
+def test_boxes_against_sql(spark, sf, duck, name):
+    assert canon(QUERIES[name](spark, sf).toPandas()) == canon(duck.execute(SQL[name]).df())
