@@ -22,7 +22,7 @@ add("sp10_rigid_pose", lambda d: "SELECT page, box_id, round(y1 * cos(radians(30
 add("fl01_raw_detections", lambda d: "SELECT page, box_id FROM @v_boxes WHERE y2 - y1 >= 18 AND x2 - x1 >= 18 AND (y2 - y1) * (x2 - x1) >= 600 AND (y2 - y1) * (x2 - x1) <= 0.92 * 700 * 500")
 add("fl02_final_candidates", lambda d: "SELECT page, box_id FROM @v_boxes WHERE (y2 - y1) >= 20 AND (x2 - x1) >= 20 AND greatest((y2 - y1) * 1e0 / (x2 - x1), (x2 - x1) * 1e0 / (y2 - y1)) <= 6 AND score >= 1")
 add("so06_candidate_order", lambda d: "SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY (y2 - y1) * (x2 - x1) DESC, score DESC, box_id) AS place FROM @v_boxes")
-add("so04_even_tiles", lambda d: f"SELECT k, {d.round_even('i * 10e0 / 3')} AS pick FROM (SELECT k, i FROM (SELECT p_partkey AS k FROM @part WHERE p_partkey % 20 = 0) t {d.each(d.series('0', '3'), 'i')}) u")
+add("so04_even_tiles", lambda d: f"SELECT k, {d.round_even('i * 10e0 / 3')} AS pick FROM (SELECT k, i FROM (SELECT p_partkey AS k FROM @part) t {d.each(d.series('0', '3'), 'i')}) u")
 add("wn05_reading_rows", lambda d: "SELECT page, box_id, sum(CASE WHEN gap >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y1, box_id ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT page, box_id, y1, y1 - lag(y1) OVER (PARTITION BY page ORDER BY y1, box_id) AS gap FROM @v_boxes) t")
 add("tx34_coordinates", lambda d: "SELECT page, box_id, round((x1 - min(x1) OVER (PARTITION BY page)) / greatest(max(x1) OVER (PARTITION BY page) - min(x1) OVER (PARTITION BY page), 1e-6), 6) AS x, round((max(y1) OVER (PARTITION BY page) - y1) / greatest(max(y1) OVER (PARTITION BY page) - min(y1) OVER (PARTITION BY page), 1e-6), 6) AS y FROM @v_boxes")
 add("tx35_grid_codec", lambda d: f"SELECT box_id, CAST({d.round_even('score / 10 * 63')} AS BIGINT) AS token, round(CAST({d.round_even('score / 10 * 63')} AS BIGINT) / 63e0, 6) AS back FROM @v_boxes")

@@ -17,17 +17,17 @@ add("src14_registry", lambda d: "SELECT f.task_id, coalesce(s.status, f.status)
 add("src15_projected_json", lambda d: f"SELECT task_id, {d.json('params', 'pdf_id')} AS pdf_id, {d.json('params', 'lang')} AS lang FROM @v_tasks")
 add("src06_csv_blanks", lambda d: "SELECT task_id, coalesce(nullif(error, ''), '') AS error, coalesce(message, '') AS message FROM @v_tasks")
 add("tx25_hash_keys", lambda d: f"SELECT doc_id, {d.sha256("concat('{\"lang\":\"', lang, '\",\"source\":\"', source, '\"}')")} AS key FROM @documents")
-add("tx26_revision_hash", lambda d: f"SELECT type, sha1({d.join_rows("concat(task_id, ':', status)", '|', 'n')}) AS revision FROM @v_tasks WHERE n % 50 = 0 GROUP BY type")
+add("tx26_revision_hash", lambda d: f"SELECT type, sha1({d.join_rows("concat(task_id, ':', status)", '|', 'n')}) AS revision FROM @v_tasks GROUP BY type")
 add("tx27_date_bounds", lambda d: f"SELECT k, {d.timestamp('s')} AS day_start, {d.timestamp('s')} + INTERVAL 1 DAY AS day_end FROM (SELECT n AS k, CASE WHEN n % 4 = 0 THEN 'not a day' ELSE concat('1995-0', CAST(n % 9 + 1 AS STRING), '-1', CAST(n % 10 AS STRING)) END AS s FROM @v_tasks) t")
 add("tx39_params_compaction", lambda d: (f"SELECT task_id, {d.json('params', 'lang')} AS lang, CAST(size(from_json(get_json_object(params, '$.pages'), 'array<int>')) AS BIGINT) AS pages_count FROM @v_tasks" if d.spark else f"SELECT task_id, {d.json('params', 'lang')} AS lang, CAST(json_array_length(params, '$.pages') AS BIGINT) AS pages_count FROM @v_tasks"))
 add("tx40_terminal_state", lambda d: "SELECT task_id, CASE WHEN status = 'completed' THEN 1e0 ELSE round(progress, 3) END AS progress, CASE WHEN status = 'completed' AND message LIKE 'Running%' THEN 'Completed' ELSE message END AS message FROM @v_tasks")
 add("tx41_partition_key", lambda d: "SELECT k, coalesce(nullif(trim(split_part(fwd, ',', 1)), ''), host, 'unknown') AS partition_id FROM (SELECT n AS k, CASE n % 3 WHEN 0 THEN concat(' 10.0.0.', pdf_id, ', proxy') WHEN 1 THEN '' END AS fwd, CASE WHEN n % 2 = 0 THEN 'host' END AS host FROM @v_tasks) t")
 add("tx45_json_safe", lambda d: (f"SELECT task_id, to_json(named_struct('id', task_id, 'n', n)) AS payload FROM @v_tasks" if d.spark else "SELECT task_id, CAST(json_object('id', task_id, 'n', n) AS VARCHAR) AS payload FROM @v_tasks"))
 add("tx31_prompt_render", lambda d: "SELECT task_id, replace(replace('task {{ID}} is {{STATUS}}', '{{ID}}', coalesce(task_id, '')), '{{STATUS}}', coalesce(status, '')) AS prompt FROM @v_tasks")
-add("tx46_prompt_ids", lambda d: f"SELECT type, CASE WHEN count(*) > 128 THEN '' ELSE {d.join_rows('task_id', ',', 'n')} END AS ids FROM @v_tasks WHERE n % 97 = 0 GROUP BY type")
+add("tx46_prompt_ids", lambda d: f"SELECT type, CASE WHEN count(*) > 128 THEN '' ELSE {d.join_rows('task_id', ',', 'n')} END AS ids FROM @v_tasks GROUP BY type")
 add("tx37_artifact_paths", lambda d: "SELECT task_id, concat('/root/out/', filename) AS file_path, substring(concat('/root/out/', filename), 1, 10) = '/root/out/' AS inside FROM @v_tasks")
 add("tx42_list_parse", lambda d: f"SELECT k, x, min(i) AS place FROM (SELECT k, CAST(i AS BIGINT) AS i, lower(trim(p)) AS x FROM (SELECT n AS k, {d.replace_all("concat(type, '; ', status, ', ', upper(status))", '[;,]', ';')} AS s FROM @v_tasks) t {d.each_at(d.split('s', ';'), 'i', 'p')}) u WHERE x <> '' GROUP BY k, x")
-add("tx44_preserve", lambda d: f"SELECT doc_id, {d.replace_all('text', '[' + chr(13) + chr(10) + ']+$', '')} AS text FROM @documents WHERE doc_id % 10 = 0")
+add("tx44_preserve", lambda d: f"SELECT doc_id, {d.replace_all('text', '[' + chr(13) + chr(10) + ']+$', '')} AS text FROM @documents")
 add("wn04_fair_queue", lambda d: "SELECT task_id, row_number() OVER (ORDER BY turn, partition_ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY partition_ord ORDER BY seq) AS turn FROM @v_queue) q")
 add("sm01_enqueue", lambda d: "SELECT partition_ord, count(*) AS waiting, min(seq) AS head FROM @v_queue GROUP BY partition_ord")
 add("sm02_pop_next", lambda d: "SELECT task_id FROM (SELECT task_id, turn, partition_ord, row_number() OVER (ORDER BY turn, partition_ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY partition_ord ORDER BY seq) AS turn FROM @v_queue) q) r WHERE place = 1")
@@ -42,7 +42,7 @@ add("sm12_membership", lambda d: "SELECT q.task_id, i.task_id IS NOT NULL AS inf
 add("jn15_reconcile", lambda d: f"SELECT q.n, CASE WHEN t.task_id IS NULL THEN 'clear' WHEN t.status = 'completed' THEN 'clear' WHEN a.task_id IS NOT NULL THEN 'leave' WHEN t.updated_at < {NOW} - INTERVAL 300 SECOND THEN 'requeue' ELSE 'fail' END AS decision FROM (SELECT n, CAST(n + n % 2 AS STRING) AS task_id FROM @v_tasks) q LEFT JOIN @v_tasks t ON q.task_id = t.task_id LEFT JOIN (SELECT task_id FROM @v_tasks WHERE n % 5 = 0) a ON q.task_id = a.task_id")
 add("snk04_audit_rows", lambda d: "SELECT event_id, event_type AS task_name, value > 50 AS ok, substring(props, 1, 2000) AS preview FROM @events")
 add("snk05_zip_first_wins", lambda d: "SELECT filename, task_id FROM (SELECT filename, task_id, row_number() OVER (PARTITION BY filename ORDER BY n) AS k FROM @v_tasks) t WHERE k = 1")
-add("snk06_metadata_report", lambda d: f"SELECT type, {d.join_rows("concat('- ', task_id, chr(10), '  unit: ', coalesce(nullif(error, ''), 'not specified'))", chr(10), 'n')} AS report FROM @v_tasks WHERE n % 40 = 0 GROUP BY type")
+add("snk06_metadata_report", lambda d: f"SELECT type, {d.join_rows("concat('- ', task_id, chr(10), '  unit: ', coalesce(nullif(error, ''), 'not specified'))", chr(10), 'n')} AS report FROM @v_tasks GROUP BY type")
 add("snk08_warnings", lambda d: "SELECT event_id, 'contract' AS scope, payload AS error FROM @v_decisions WHERE payload = '{}'")
 add("snk09_markdown", lambda d: f"SELECT doc_id, {d.join_rows(d.replace_all('x', '([*_#])', '~$1'), chr(10), 'line')} AS markdown FROM @v_table_lines GROUP BY doc_id")
 add("so03_top_k", lambda d: "SELECT page, box_id FROM (SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS n FROM @v_boxes WHERE score > 0.05) t WHERE n <= 5")
