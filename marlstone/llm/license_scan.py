@@ -42,7 +42,8 @@ FAMILIES = [
     ("bsd-2", "bsd", "(bsd 2 clause|2 clause bsd|two clause bsd)( licen[cs]e)?", []),
     ("bsd-3", "bsd", "(bsd 3 clause|3 clause bsd|three clause bsd)( licen[cs]e)?", []),
     ("bsd-4", "bsd", "(bsd 4 clause|4 clause bsd|four clause bsd)( licen[cs]e)?", []),
-    ("bsd-0", "bsd", "(0bsd|zero clause bsd)( licen[cs]e)?", []),
+    ("bsd-0", "0bsd", "0bsd( licen[cs]e)?", []),
+    ("bsd-0", "bsd", "zero clause bsd( licen[cs]e)?", []),
     ("zlib", "zlib", "zlib( libpng)? licen[cs]e", []),
     ("unlicense", "unlicense", "unlicense", []),
     ("wtfpl", "wtfpl", "wtfpl", ["1", "2"]),
@@ -104,9 +105,19 @@ SINGLE = [
     ("grant", "redistribution", "redistribution and use in source and binary forms", 3),
     ("license", "licensed", "licensed under( the)?", 1),
     ("license", "released", "released under( the)?", 1),
-    ("license", "license", "licen[cs]e", 0),
+    ("license", "license", "license", 0),
+    ("license", "licence", "licence", 0),
 ]
 
+#: SPDX identifiers as words, without the version, where they differ from the name.
+SPDX = {
+    "mit": "mit", "isc": "isc", "zlib": "zlib", "ncsa": "ncsa", "openssl": "openssl", "postgresql": "postgresql", "ruby": "ruby", "ms-pl": "ms pl", "ms-rl": "ms rl",
+    "x11": "x11", "vim": "vim", "w3c": "w3c", "qpl": "qpl 1 0", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl", "mpl": "mpl", "epl": "epl", "cpl": "cpl",
+    "cddl": "cddl", "artistic": "artistic", "bsl": "bsl", "eupl": "eupl", "osl": "osl", "afl": "afl", "ecl": "ecl", "psf": "(psf|python)", "php": "php", "ofl": "ofl", "odbl": "odbl",
+    "odc-by": "odc by", "ogl": "ogl( uk)?", "apsl": "apsl", "ipl": "ipl", "npl": "npl", "sspl": "sspl", "busl": "busl", "elastic": "elastic", "upl": "upl", "zpl": "zpl", "mulan": "mulanpsl",
+    "cc-by": "cc by",
+}
+
 #: How far each kind of rule is trusted: priority 0 to 6.
 CONFIDENCE = {0: 0.2, 1: 0.3, 2: 0.5, 3: 0.7, 4: 0.8, 5: 0.9, 6: 1.0}
 
@@ -125,7 +136,11 @@ def rules() -> list[tuple[str, str, str, int]]:
     for label, keyword, name, versions in FAMILIES:
         out.append((label, keyword, _spaced(name), 4))
         out.append((label, keyword, _spaced(f"(licensed|released|distributed|available|covered)( under)?( the)?( terms of)?( the)? {name}"), 5))
-        out.append((label, keyword, _spaced(f"spdx license identifier {name}"), 6))
+        identifier = SPDX.get(label)
+        plain = f"({name}|{identifier})" if identifier and not versions else name
+        out.append((label, "spdx", _spaced(f"spdx license identifier {plain}"), 6))
+        if identifier:
+            out += [(f"{label}-{v.replace(' ', '.')}", "spdx", _spaced(f"spdx license identifier {identifier} {v}( 0)?( only| or later)?"), 6) for v in versions]
         out += [(f"{label}-{v.replace(' ', '.')}", keyword, _spaced(f"{name}( international| unported| generic)?( version| v)? v?{v}"), 6) for v in versions]
     out += [(label, keyword, _spaced(words), p) for label, keyword, words, p in SINGLE]
     return out

@@ -71,6 +71,21 @@ def test_license_suppression(spark):
     assert len(license_scan.rules()) > 200
 
 
+def test_license_identifiers(spark):
+    """SPDX identifiers as they are written, and each spelling that a rule accepts."""
+    import duckdb
+
+    tag = "SPDX-License-Identifier: "
+    want = {tag + "MIT": "mit", tag + "Apache-2.0": "apache-2.0", tag + "GPL-2.0-only": "gpl-2", tag + "LGPL-2.1-or-later": "lgpl-2.1", tag + "BSD-3-Clause": "bsd-3", tag + "CC-BY-4.0": "cc-by-4.0", tag + "0BSD": "bsd-0", "under 0BSD": "bsd-0", "a licence": "license", tag + "MIT License": "mit"}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for k, (text, label) in enumerate(want.items()):
+        assert label in got[k]["labels"].split(","), (text, got[k]["labels"])
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    assert {r[0]: r[6:] for r in con.execute(license_scan.oracle()).fetchall()} == {k: (r["labels"], r["score"], r["n_detections"]) for k, r in got.items()}
+
+
 def test_toxicity(spark, sf, docs, empty):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     out = toxicity.classify(docs, labels).toPandas()
