@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import ids, merge, pages, sequential, spatial, tasks  # noqa: F401
+from .operators import ids, merge, pages, rules, sequential, shipments, spatial, tables, tasks  # noqa: F401
 from .plans.dialect import catalogue
-from .streaming import state  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,12 @@ def _named(d):
     return normalised(d, "SELECT ord, compound_id FROM @v_structures", "compound_id")
 
 
+@catalogue.view("v_named_wide")
+def _named_wide(d):
+    """Structures with their normal form, in one pass."""
+    return normalised(d, "SELECT ord, compound_id, smiles FROM @v_structures", "compound_id")
+
+
 @catalogue.view("v_official")
 def _official(d):
     """Distinct officials in first-seen order, with their parts."""
@@ -128,10 +134,7 @@ def _remapped(d):
 
 
 add("id09_remap", lambda d: "SELECT assay, page, canonical, value, ord FROM @v_remapped")
-add("id10_model_ids", lambda d: f"SELECT event_id, nullif(nullif(lower({d.json('payload', 'reason')}), 'none'), 'null') AS id, coalesce(lower({d.json('payload', 'confidence')}), 'medium') AS confidence FROM @v_decisions")
 add("id11_final_predicates", lambda d: f"SELECT ord, compound_id, {d.matches('compound_id', '(?i)^(intermediate|int[.]|preparation|embodiment)')} AS nonfinal, (compound_id <> '' AND lower(compound_id) NOT IN ('none', 'null', 'unknown') AND NOT {d.matches('compound_id', '(?i)^(intermediate|int[.]|preparation|embodiment)')}) AS usable FROM @v_structures")
-add("id12_allow_list", lambda d: f"SELECT event_id, CASE WHEN lower(coalesce(c, '')) = 'low' OR coalesce(i, '') = '' THEN 'None' ELSE i END AS id, CASE WHEN coalesce(i, '') <> '' AND lower(coalesce(c, '')) <> 'low' AND a.id IS NULL THEN 'id outside the allow-list' END AS error FROM (SELECT event_id, {d.json('payload', 'reason')} AS i, {d.json('payload', 'confidence')} AS c FROM @v_decisions) e LEFT JOIN (SELECT 'ok' AS id UNION ALL SELECT 'seen') a ON e.i = a.id")
-add("id13_record_pages", lambda d: f"SELECT k, {d.join(d.map(d.distinct(d.map(d.extract_all('pages', '[0-9]+'), 'x', 'CAST(x AS BIGINT)')), 'x', 'CAST(x AS STRING)'), ',')} AS pages FROM (SELECT p_partkey AS k, concat('pages ', CAST(p_size AS STRING), ', ', CAST(p_partkey % 9 AS STRING), ' and ', CAST(p_size AS STRING)) AS pages FROM @part) t")
 add("id14_safe_casts", lambda d: "SELECT k, coalesce(TRY_CAST(raw AS INT), -1) AS as_int, CASE WHEN TRY_CAST(raw AS INT) > 0 THEN TRY_CAST(raw AS INT) ELSE 1 END AS positive, CASE WHEN lower(raw) IN ('yes', 'true', '1', 'y') THEN true WHEN lower(raw) IN ('no', 'false', '0', 'n') THEN false END AS as_bool FROM (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS STRING) WHEN 1 THEN 'yes' WHEN 2 THEN '-4' WHEN 3 THEN 'N' ELSE 'x1' END AS raw FROM @part) t")
 add("id15_type_synonyms", lambda d: "SELECT k, CASE WHEN t IN ('complete', 'full', 'complete_compound') THEN 'complete_compound' WHEN t IN ('markush', 'generic') THEN 'markush' WHEN contains(t, 'fragment') OR contains(t, 'substituent') THEN 'fragment' WHEN contains(t, 'reaction') THEN 'reaction' ELSE 'uncertain' END AS structure_type FROM (SELECT k, lower(structure_type) AS t FROM @v_candidates) c")
 add("jn04_dictionary_join", lambda d: f"SELECT l.ord, a.official FROM (SELECT ord, {token(d, 'norm')} AS alias FROM ({normalised(d, "SELECT ord, raw_id FROM @v_assay_long", "raw_id")}) n) l JOIN (SELECT alias, official FROM @v_alias WHERE n = 1) a ON l.alias = a.alias")

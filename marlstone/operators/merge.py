@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans.dialect import Dialect, catalogue
+from ..plans.views import ORD
 from . import ids  # noqa: F401
 
 add = catalogue.add
@@ -29,12 +30,11 @@ def column_of(d: Dialect, name: str, unit: str) -> str:
 def _values(d):
     q = "CAST(CAST(l_quantity AS BIGINT) AS STRING)"
     forms = [f"concat({q}, ' nM')", f"concat('< ', {q}, '.5 µM')", "'++'", "'ND'", q, f"concat('1.', {q}, ' x 10^-3 M')", f"concat({q}, '%')", "''"]
-    return f"SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ord, CASE l_partkey % 8 {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(forms))} END AS value, CASE l_linenumber % 3 WHEN 0 THEN 'IC50 (nM)' WHEN 1 THEN 'Ki' ELSE '' END AS assay FROM @lineitem"
+    return f"SELECT {ORD} AS ord, CASE l_partkey % 8 {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(forms))} END AS value, CASE l_linenumber % 3 WHEN 0 THEN 'IC50 (nM)' WHEN 1 THEN 'Ki' ELSE '' END AS assay FROM @lineitem"
 
 
 add("tx19_value_unit", lambda d: f"SELECT ord, {value_of(d, 'value')} AS value, {unit_of(d, 'value')} AS unit FROM @v_values")
 add("tx20_column_name", lambda d: f"SELECT ord, {column_of(d, 'assay', unit_of(d, 'value'))} AS name FROM @v_values")
-add("tx21_flatten", lambda d: f"SELECT ord, {value_of(d, 'value')} AS value, coalesce(nullif({unit_of(d, 'value')}, ''), {d.extract('assay', '[(]([^()]{1,24})[)]', 1)}) AS unit, trim(assay) AS method FROM @v_values")
 
 
 def _pivot(source: str, how: str) -> str:
@@ -43,10 +43,8 @@ def _pivot(source: str, how: str) -> str:
 
 
 WIDE = _pivot("@v_remapped", "max_by(CASE WHEN assay = '{a}' THEN value END, CASE WHEN assay = '{a}' THEN ord END)")
-add("ag01_assay_pivot", lambda d: WIDE)
 add("ag02_records_pivot", lambda d: f"SELECT canonical, name, max_by(value, ord) AS value, min_by(flag, ord) AS first_flag FROM (SELECT r.canonical, {column_of(d, 'l.assay', unit_of(d, 'l.value'))} AS name, {value_of(d, 'l.value')} AS value, l.ord, l.flag FROM @v_assay_long l JOIN @v_resolved r ON l.raw_id = r.raw WHERE r.canonical <> '') t GROUP BY canonical, name")
 add("ag03_structure_dedupe", lambda d: "SELECT ord, compound_id, smiles FROM (SELECT *, row_number() OVER (PARTITION BY concat(compound_id, '_', smiles) ORDER BY ord) AS n FROM (SELECT ord, compound_id, smiles FROM @v_structures UNION ALL SELECT ord + 5, compound_id, smiles FROM @v_structures WHERE k % 3 = 0) s) t WHERE n = 1")
-add("jn01_pipeline_merge", lambda d: f"SELECT s.ord, s.compound_id, s.smiles, {', '.join('w.' + a for a in ASSAYS)} FROM @v_named n JOIN @v_structures s ON n.ord = s.ord LEFT JOIN ({WIDE}) w ON n.norm = w.canonical")
 add("jn02_exact_merge", lambda d: "SELECT s.ord, s.compound_id, a.value FROM @v_structures s LEFT JOIN (SELECT raw_id, max_by(value, ord) AS value FROM @v_assay_long GROUP BY raw_id) a ON s.compound_id = a.raw_id")
 add("jn03_full_outer", lambda d: "SELECT coalesce(s.compound_id, a.raw_id) AS id, s.ord, a.value, s.compound_id IS NULL AS assay_only FROM @v_structures s FULL OUTER JOIN (SELECT raw_id, max_by(value, ord) AS value FROM @v_assay_long WHERE raw_id <> '' GROUP BY raw_id) a ON s.compound_id = a.raw_id")
 add("jn05_page_anchors", lambda d: "SELECT page, k, compound_id FROM (SELECT a.page, s.ord AS k, s.compound_id, row_number() OVER (PARTITION BY a.page ORDER BY s.ord) AS n FROM (SELECT DISTINCT page FROM @v_assay_long) a JOIN @v_structures s ON a.page = s.page_num) t WHERE n <= 12")
@@ -54,26 +52,17 @@ add("jn06_reference_keys", lambda d: "SELECT r.ord, r.scaffold_ref, c.structure_
 add("jn08_text_matches_id", lambda d: f"SELECT DISTINCT t.doc_id, t.page, o.r AS id FROM (SELECT doc_id, page, w FROM (SELECT doc_id, page, lower(text) AS x FROM @v_lines) l {d.each(d.extract_all('x', '[a-z0-9]+'), 'w')}) t JOIN (SELECT lower(n_name) AS r FROM @nation UNION SELECT 'license' UNION SELECT 'the') o ON t.w = o.r")
 add("jn10_allow_list", lambda d: "SELECT ord, raw_id, value FROM @v_assay_long l WHERE EXISTS (SELECT 1 FROM @v_structures s WHERE s.compound_id = l.raw_id)")
 
-FIXES = "SELECT l_orderkey AS doc_id, l_linenumber AS n, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ord, CASE WHEN l_returnflag = 'R' THEN 'replace' ELSE 'uncertain' END AS action, CASE WHEN l_tax < 0.03 THEN 'low' WHEN l_tax < 0.06 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN l_linestatus = 'O' THEN '' ELSE concat(CAST(l_partkey AS STRING), ' nM') END AS visual_value FROM @lineitem"
+FIXES = f"SELECT l_orderkey AS doc_id, l_linenumber AS n, {ORD} AS ord, CASE WHEN l_returnflag = 'R' THEN 'replace' ELSE 'uncertain' END AS action, CASE WHEN l_tax < 0.03 THEN 'low' WHEN l_tax < 0.06 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN l_linestatus = 'O' THEN '' ELSE concat(CAST(l_partkey AS STRING), ' nM') END AS visual_value FROM @lineitem"
 GOOD = f"SELECT doc_id, n, max_by(visual_value, ord) AS fixed FROM ({FIXES}) f WHERE action = 'replace' AND confidence = 'high' AND visual_value <> '' GROUP BY doc_id, n"
 add("jn13_corrections", lambda d: f"SELECT v.ord, coalesce(g.fixed, v.value) AS value, g.fixed IS NOT NULL AS changed FROM @v_assay_long v LEFT JOIN ({GOOD}) g ON v.doc_id = g.doc_id AND v.page = g.n")
 add("jn14_verifier_merge", lambda d: f"SELECT v.ord, coalesce(nullif(f.visual_value, ''), v.value) AS value, v.value AS original FROM @v_assay_long v JOIN ({FIXES}) f ON v.ord = f.ord WHERE f.confidence <> 'low'")
 add("ml09_visual_review", lambda d: f"SELECT ord, CASE WHEN action = 'replace' AND confidence <> 'high' THEN 'uncertain' ELSE action END AS action, confidence, visual_value FROM ({FIXES}) f")
 add("st04_report_concat", lambda d: f"SELECT doc_id, n, action FROM ({FIXES}) a WHERE action = 'replace' UNION ALL SELECT doc_id, n, action FROM ({FIXES}) b WHERE confidence = 'low'")
 add("wn09_writer_rules", lambda d: "SELECT assay, canonical, max_by(value, page) AS value FROM @v_remapped GROUP BY assay, canonical")
-add("jn16_linked_task", lambda d: f"SELECT task_id, coalesce(nullif(error, ''), {d.json('params', 'pdf_id')}) AS linked FROM @v_tasks")
-add("ag08_list_merges", lambda d: "SELECT id, count(*) AS n FROM (SELECT compound_id AS id FROM @v_structures UNION ALL SELECT compound_id FROM @v_structures WHERE k % 2 = 0) u GROUP BY id")
 add("ag09_column_set", lambda d: "SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'COMPOUND_ID' THEN 0 WHEN 'SMILES' THEN 1 ELSE 2 END, name) AS place FROM (SELECT DISTINCT assay AS name FROM @v_assay_long UNION SELECT 'SMILES' UNION SELECT 'COMPOUND_ID') t")
-add("ag10_match_metrics", lambda d: "SELECT p_brand AS brand, count(*) AS n, round(avg(CASE WHEN lower(p_name) = lower(p_type) THEN 1e0 ELSE 0e0 END), 6) AS exact, round(avg(CASE WHEN split_part(p_name, ' ', 1) = split_part(p_type, ' ', 1) THEN 1e0 ELSE 0e0 END), 6) AS head FROM @part GROUP BY p_brand")
 add("ag11_edge_argmax", lambda d: "SELECT a, b, max_by(k, p * 1000 - k) AS best, round(max(p), 6) AS p FROM (SELECT x.a, x.b, x.k, (x.p + coalesce(y.p, 0)) / 2 AS p FROM (SELECT p_size AS a, p_partkey % 10 AS b, p_partkey % 7 AS k, max(p_retailprice) AS p FROM @part GROUP BY p_size, p_partkey % 10, p_partkey % 7) x LEFT JOIN (SELECT p_size AS b, p_partkey % 10 AS a, CASE p_partkey % 7 WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE p_partkey % 7 END AS k, max(p_retailprice) AS p FROM @part GROUP BY p_size, p_partkey % 10, CASE p_partkey % 7 WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE p_partkey % 7 END, p_partkey % 7) y ON x.a = y.a AND x.b = y.b AND x.k = y.k) e GROUP BY a, b")
 add("ag12_confidence", lambda d: "SELECT l_orderkey AS id, round(exp(avg(ln((l_quantity + 1) / 60))), 6) AS geo FROM @lineitem GROUP BY l_orderkey")
 add("ag13_meters", lambda d: "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(sum(value * (event_id % 5 + 1)) / sum(event_id % 5 + 1), 6) AS weighted FROM @events GROUP BY event_type")
 add("ag14_bond_lengths", lambda d: f"SELECT l_orderkey AS id, coalesce(round(avg(x), 6), 1.2) AS mean_length, coalesce(round({d.median('x')}, 6), 1.2) AS median_length FROM (SELECT l_orderkey, CASE WHEN l_discount > 0.01 THEN l_discount END AS x FROM @lineitem) t GROUP BY l_orderkey")
-add("ag15_fill_ratio", lambda d: "SELECT p_brand AS brand, round(avg(CASE WHEN p_size > 10 THEN 1e0 ELSE 0e0 END), 6) AS ratio, min(coalesce(nullif(p_type, 'none'), p_name)) AS merged FROM @part GROUP BY p_brand")
-add("ag16_audit_rollup", lambda d: "SELECT event_type AS task, user_id % 3 AS channel, count(*) AS calls, round(avg(CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END), 6) AS ok_share, max(round(value, 4)) AS slowest FROM @events GROUP BY event_type, user_id % 3")
 add("ag07_multiplicity", lambda d: "SELECT compound_id, variable_position, count(*) AS n FROM @v_relations WHERE assembly_status = 'ready' GROUP BY compound_id, variable_position HAVING count(*) > 1")
-add("fl11_markush_candidates", lambda d: "SELECT page, ref, structure_type FROM (SELECT *, row_number() OVER (ORDER BY k) AS n FROM @v_candidates WHERE structure_type IN ('markush', 'fragment', 'text_substituent')) t WHERE n <= 80")
-add("fl12_assembly_blockers", lambda d: f"SELECT r.ord, {d.join(d.filter(d.array('CASE WHEN c.ref IS NULL THEN ' + d.lit('missing scaffold') + ' ELSE ' + d.lit('') + ' END', 'CASE WHEN c.structure_type <> ' + d.lit('markush') + ' THEN ' + d.lit('wrong type') + ' ELSE ' + d.lit('') + ' END', 'CASE WHEN r.confidence = ' + d.lit('low') + ' THEN ' + d.lit('low confidence') + ' ELSE ' + d.lit('') + ' END'), 'x', 'x <> ' + d.lit('')), '; ')} AS reasons FROM @v_relations r LEFT JOIN @v_candidates c ON r.scaffold_ref = c.ref")
-add("fl13_downgrade", lambda d: "SELECT ord, CASE WHEN assembly_status <> 'ready' THEN 'not ready' WHEN confidence = 'low' THEN 'downgraded' WHEN n > 8 THEN 'not reviewed' ELSE 'kept' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY record_id, assembly_status ORDER BY ord) AS n FROM @v_relations) r")
-add("wn10_back_references", lambda d: "SELECT g.page AS grp, c.ref FROM (SELECT DISTINCT page FROM @v_candidates) g JOIN (SELECT page, ref, row_number() OVER (ORDER BY page DESC, k DESC) AS n, count(*) OVER (ORDER BY page, k) AS upto FROM @v_candidates WHERE structure_type = 'markush') c ON c.page < g.page JOIN (SELECT g2.page, count(*) AS before FROM (SELECT DISTINCT page FROM @v_candidates) g2 JOIN @v_candidates c2 ON c2.structure_type = 'markush' AND c2.page < g2.page GROUP BY g2.page) b ON b.page = g.page WHERE c.upto > b.before - 8")
 add("st03_intersection", lambda d: f"SELECT record_id, {d.join(d.common('a', 'b'), ',')} AS shared FROM (SELECT record_id, {d.split('max(va)', ' ')} AS a, {d.split('max(vb)', ' ')} AS b FROM (SELECT record_id, concat('R', CAST(min(page) AS STRING), ' R', CAST(max(page) AS STRING)) AS va, concat('R', CAST(max(page) AS STRING), ' R9') AS vb FROM @v_relations GROUP BY record_id) s GROUP BY record_id) t")

@@ -20,7 +20,6 @@ def _parts(d, keep: str = "true") -> str:
     return f"SELECT k, trim(p) AS p, TRY_CAST({d.extract('trim(p)', '^(-?[0-9]+) *(?:- *[0-9]+)?$', 1)} AS BIGINT) AS lo, TRY_CAST({d.extract('trim(p)', '^-?[0-9]+ *- *([0-9]+)$', 1)} AS BIGINT) AS hi FROM @v_ranges {d.each(d.split('pages', ','), 'p')} WHERE {keep}"
 
 
-add("tx01_pages_cli", lambda d: f"SELECT DISTINCT k, page FROM (SELECT k, lo, coalesce(hi, lo) AS hi FROM ({_parts(d)}) p WHERE lo IS NOT NULL) q {d.each(d.series('lo', 'hi'), 'page')}")
 add("tx02_pages_api", lambda d: f"SELECT DISTINCT k, page FROM (SELECT k, least(lo, coalesce(hi, lo)) AS lo, greatest(lo, coalesce(hi, lo)) AS hi FROM ({_parts(d)}) p WHERE lo >= 0 AND p <> '') q {d.each(d.series('lo', 'hi'), 'page')}")
 add("tx03_pages_ui", lambda d: f"SELECT DISTINCT k, page FROM (SELECT k, least(abs(lo), coalesce(hi, CASE WHEN lo < 0 THEN 0 ELSE lo END)) AS lo, greatest(abs(lo), coalesce(hi, CASE WHEN lo < 0 THEN 0 ELSE lo END)) AS hi FROM ({_parts(d)}) p WHERE lo IS NOT NULL) q {d.each(d.series('lo', 'hi'), 'page')} WHERE page > 0")
 add("tx04_exact_name_dedupe", lambda d: f"SELECT name, pos FROM (SELECT p_type AS name, p_partkey AS pos, row_number() OVER (PARTITION BY lower(trim({d.replace_all('p_type', r'\s+', ' ')})) ORDER BY p_partkey) AS n FROM @part) t WHERE n = 1")
@@ -40,8 +39,6 @@ add("src01_page_text", lambda d: f"SELECT doc_id, page, trim({d.replace_all('tex
 add("src02_page_count", lambda d: "SELECT doc_id, count(*) AS n_pages FROM @v_lines GROUP BY doc_id")
 add("src04_cache_misses", lambda d: "SELECT DISTINCT r.doc_id, r.page FROM @v_lines r WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, page FROM @v_lines WHERE page % 3 <> 0) c WHERE c.doc_id = r.doc_id AND c.page = r.page)")
 add("src13_page_subset", lambda d: "SELECT doc_id, page, text FROM @v_lines WHERE page IN (1, 3, 4)")
-add("src17_plan_cache", lambda d: "SELECT n.doc_id, n.key FROM (SELECT doc_id, " + d.sha256("concat(lang, '|', source)") + " AS key FROM @documents) n LEFT JOIN (SELECT DISTINCT " + d.sha256("concat(lang, '|', source)") + " AS key FROM @documents WHERE doc_id % 13 = 0) c ON n.key = c.key WHERE c.key IS NULL")
-add("src18_page_offset", lambda d: "SELECT doc_id, page + 10 AS page, text FROM @v_lines")
 add("src11_layout_blocks", lambda d: "SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY y1, x1, box_id) AS place FROM @v_boxes")
 add("so05_block_order", lambda d: "SELECT page, box_id, y1, x1, rank() OVER (PARTITION BY page ORDER BY y1, x1) AS place FROM @v_boxes")
 add("tx43_page_delta", lambda d: "SELECT doc_id, page, CASE WHEN sum(a) > 0 AND sum(b) = 0 THEN 'removed' WHEN sum(a) = 0 THEN 'added' ELSE 'same' END AS change FROM (SELECT doc_id, page, CASE WHEN flag = 'A' THEN 1 ELSE 0 END AS a, CASE WHEN flag = 'A' THEN 0 ELSE 1 END AS b FROM @v_assay_long) t GROUP BY doc_id, page")
@@ -75,7 +72,6 @@ def _cells(d):
 
 add("src09_pipe_tables", lambda d: "SELECT doc_id, table_no, row_no, col_no, text FROM @v_cells")
 add("tx08_strip_tables", lambda d: "SELECT doc_id, line, CASE WHEN is_row OR is_rule THEN '[table]' ELSE x END AS x FROM (SELECT *, lag(is_row OR is_rule) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM @v_table_lines) t WHERE NOT ((is_row OR is_rule) AND coalesce(before, false))")
-add("tx09_header_rows", lambda d: "SELECT doc_id, table_no, min(row_no) AS header_row FROM @v_cells WHERE row_no <= 8 AND (contains(lower(text), 'id') OR contains(lower(text), 'ic50')) GROUP BY doc_id, table_no")
 add("tx10_line_predicates", lambda d: f"SELECT doc_id, line, is_row, is_rule, (length(x) - length(replace(x, '|', '')) >= 2 AND NOT {d.matches('x', '^(#|[*] )')}) AS is_table_line, {d.matches('x', '[0-9] *(nM|uM|%)')} AS has_value FROM @v_table_lines")
 add("tx11_block_validity", lambda d: "SELECT doc_id, island, n_lines, n_cells, (n_lines >= 2 AND agree >= greatest(2, floor(n_lines / 2)) AND (has_rule OR n_lines >= 3)) AS valid FROM (SELECT doc_id, island, sum(k) AS n_lines, max_by(cells, k * 1000 + cells) AS n_cells, max(k) AS agree, max(rule_) > 0 AS has_rule FROM (SELECT doc_id, island, length(x) - length(replace(x, '|', '')) - 1 AS cells, count(*) AS k, max(CASE WHEN is_rule THEN 1 ELSE 0 END) AS rule_ FROM @v_table_lines WHERE is_row GROUP BY doc_id, island, length(x) - length(replace(x, '|', '')) - 1) a GROUP BY doc_id, island) b")
 add("tx15_table_chunks", lambda d: "SELECT doc_id, table_no, row_no, CAST(floor((row_no - 2) / 12) AS BIGINT) AS chunk FROM (SELECT DISTINCT doc_id, table_no, row_no FROM @v_cells) t WHERE row_no >= 2")

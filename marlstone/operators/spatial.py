@@ -13,31 +13,13 @@ AREA_A, AREA_B = "((ay2 - ay1) * (ax2 - ax1))", "((by2 - by1) * (bx2 - bx1))"
 
 add("sp01_box_algebra", lambda d: f"SELECT page, a, b, round({INTER} / ({AREA_A} + {AREA_B} - {INTER}), 6) AS iou, round({INTER} / least({AREA_A}, {AREA_B}), 6) AS coverage, least(ay1, by1) AS uy1, greatest(ax2, bx2) AS ux2 FROM ({PAIRS}) p WHERE {INTER} > 0")
 add("jn09_containment", lambda d: f"SELECT page, a, b FROM ({PAIRS}) p WHERE ay1 - 2 <= by1 AND ax1 - 2 <= bx1 AND ay2 + 2 >= by2 AND ax2 + 2 >= bx2")
-add("sp03_aggregate_suppression", lambda d: f"SELECT page, a, count(*) AS children FROM (SELECT page, a, {AREA_B} AS child, {AREA_A} AS own FROM (SELECT a.page, a.box_id AS a, a.y1 AS ay1, a.x1 AS ax1, a.y2 AS ay2, a.x2 AS ax2, b.y1 AS by1, b.x1 AS bx1, b.y2 AS by2, b.x2 AS bx2 FROM @v_boxes a JOIN @v_boxes b ON a.page = b.page AND a.box_id <> b.box_id) p WHERE ay1 <= by1 AND ax1 <= bx1 AND ay2 >= by2 AND ax2 >= bx2) c WHERE own >= 1.75 * child GROUP BY page, a, own HAVING count(*) >= 1 AND sum(child) >= 0.1 * own")
-add("sp05_mask_algebra", lambda d: f"SELECT record_id, {d.size(d.common('a', 'b'))} AS inter, {d.size(d.distinct('a'))} AS area FROM (SELECT record_id, {d.series('lo', 'hi')} AS a, {d.series('lo + 2', 'hi + 5')} AS b FROM (SELECT o_orderkey AS record_id, o_custkey % 20 AS lo, o_custkey % 20 + o_orderkey % 9 AS hi FROM @orders) o) t")
-add("sp06_tiling", lambda d: "SELECT b.page, b.box_id, t.dy, greatest(0, least(700, b.y1 + t.dy)) AS y1, greatest(0, least(500, b.x1)) AS x1 FROM @v_boxes b CROSS JOIN (SELECT r_regionkey * 100 AS dy FROM @region) t")
-add("sp08_resize", lambda d: "SELECT page, box_id, round(least(4e0, greatest(800e0 / least(y2 - y1, x2 - x1), 1e0)), 6) AS scale FROM @v_boxes")
 add("sp09_contact_sheet", lambda d: "SELECT page, i, CAST(floor(i / 4) AS BIGINT) AS grid_row, i % 4 AS grid_col, CAST(floor(i / 4) AS BIGINT) * 260 AS y, (i % 4) * 200 AS x FROM (SELECT page, row_number() OVER (ORDER BY page) - 1 AS i FROM (SELECT DISTINCT page FROM @v_boxes) p) t")
-add("sp10_rigid_pose", lambda d: "SELECT page, box_id, round(y1 * cos(radians(30e0)) - x1 * sin(radians(30e0)), 4) AS ry, round(y1 * sin(radians(30e0)) + x1 * cos(radians(30e0)), 4) AS rx FROM @v_boxes")
 add("fl01_raw_detections", lambda d: "SELECT page, box_id FROM @v_boxes WHERE y2 - y1 >= 18 AND x2 - x1 >= 18 AND (y2 - y1) * (x2 - x1) >= 600 AND (y2 - y1) * (x2 - x1) <= 0.92 * 700 * 500")
-add("fl02_final_candidates", lambda d: "SELECT page, box_id FROM @v_boxes WHERE (y2 - y1) >= 20 AND (x2 - x1) >= 20 AND greatest((y2 - y1) * 1e0 / (x2 - x1), (x2 - x1) * 1e0 / (y2 - y1)) <= 6 AND score >= 1")
 add("so06_candidate_order", lambda d: "SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY (y2 - y1) * (x2 - x1) DESC, score DESC, box_id) AS place FROM @v_boxes")
-add("so04_even_tiles", lambda d: f"SELECT k, {d.round_even('i * 10e0 / 3')} AS pick FROM (SELECT k, i FROM (SELECT p_partkey AS k FROM @part) t {d.each(d.series('0', '3'), 'i')}) u")
 add("wn05_reading_rows", lambda d: "SELECT page, box_id, sum(CASE WHEN gap >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y1, box_id ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT page, box_id, y1, y1 - lag(y1) OVER (PARTITION BY page ORDER BY y1, box_id) AS gap FROM @v_boxes) t")
 add("tx34_coordinates", lambda d: "SELECT page, box_id, round((x1 - min(x1) OVER (PARTITION BY page)) / greatest(max(x1) OVER (PARTITION BY page) - min(x1) OVER (PARTITION BY page), 1e-6), 6) AS x, round((max(y1) OVER (PARTITION BY page) - y1) / greatest(max(y1) OVER (PARTITION BY page) - min(y1) OVER (PARTITION BY page), 1e-6), 6) AS y FROM @v_boxes")
-add("tx35_grid_codec", lambda d: f"SELECT box_id, CAST({d.round_even('score / 10 * 63')} AS BIGINT) AS token, round(CAST({d.round_even('score / 10 * 63')} AS BIGINT) / 63e0, 6) AS back FROM @v_boxes")
-add("tx36_atom_symbols", lambda d: f"SELECT p_partkey AS k, {d.replace_all("concat('[', CAST(p_size AS STRING), 'CH3]')", '[^A-Za-z]|H', '')} AS atom FROM @part")
-add("tx38_border_contact", lambda d: "SELECT page, round(avg(CASE WHEN y1 < 4 THEN 1e0 ELSE 0e0 END), 6) AS top, avg(CASE WHEN y1 < 4 THEN 1e0 ELSE 0e0 END) >= 35e-3 AS suspicious FROM @v_boxes GROUP BY page")
 add("tx33_flat_formula", lambda d: f"SELECT k, CAST(i AS BIGINT) AS i, {d.extract('t', '^[A-Z][a-z]?', 0)} AS element, coalesce(TRY_CAST({d.extract('t', '[0-9]+$', 0)} AS BIGINT), 1) AS n FROM (SELECT p_partkey AS k, concat('C', CAST(p_size AS STRING), 'H', CAST(p_partkey % 30 AS STRING), 'OCl2') AS f FROM @part) p {d.each_at(d.extract_all('f', '[A-Z][a-z]?[0-9]*', 0), 'i', 't')}")
-add("tx29_markush_tokens", lambda d: f"SELECT k, {d.join(d.slice(d.distinct(d.map(d.extract_all('s', '(?i)(R[0-9]+|Ar|Het|[XYZ])', 1), 'x', 'upper(x)')), 12), ' ')} AS tokens FROM (SELECT p_partkey AS k, concat('r', CAST(p_size % 7 AS STRING), ' and R1, Ar or het, X r1 ', CAST(p_size AS STRING)) AS s FROM @part) p")
-add("tx28_molblock", lambda d: f"SELECT k, {d.replace_all(d.replace_all('s', 'nan|inf', '0.0000'), '(M  END)(.|' + chr(10) + ')*$', 'M  END')} AS molblock FROM (SELECT p_partkey AS k, concat('V2000', chr(10), 'nan 1.0', chr(10), 'M  END', chr(10), 'x', CAST(p_size AS STRING)) AS s FROM @part) p")
-add("tx05_truncate", lambda d: "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS text FROM @documents")
 add("tx07_head_tail", lambda d: "SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 500), '[...]', right(text, 460)) ELSE text END AS text FROM @documents")
 add("tx06_budgeted_context", lambda d: "SELECT doc_id, page, substring(text, 1, CAST(least(length(text), 600 - before) AS INT)) AS text, length(text) > 600 - before AS cut FROM (SELECT doc_id, page, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM @v_lines) t WHERE before < 600")
-add("tx18_envelope", lambda d: "SELECT doc_id, page, concat('<chunk>', substring(text, 1, 300), '</chunk>', CASE WHEN length(text) > 120 THEN concat('<context>', substring(text, 1, 150), '</context>') ELSE '' END) AS content FROM @v_lines")
-add("tx22_context_lines", lambda d: "SELECT doc_id, page, text FROM (SELECT doc_id, page, text, hit, lag(hit) OVER (PARTITION BY doc_id ORDER BY page) AS p, lead(hit) OVER (PARTITION BY doc_id ORDER BY page) AS n FROM (SELECT doc_id, page, text, contains(lower(text), 'with') AS hit FROM @v_lines) a) t WHERE hit OR p OR n")
 add("tx23_page_candidates", lambda d: f"SELECT DISTINCT doc_id, page, w FROM (SELECT doc_id, page, lower(text) AS x FROM @v_lines) l {d.each(d.extract_all('x', '[0-9]+'), 'w')} WHERE length(w) <= 6")
-add("tx24_model_text", lambda d: f"SELECT k, {d.extract(d.replace_all('s', '(?is)<think>.*?</think>', ''), '(?s)[{].*[}]', 0)} AS payload FROM (SELECT p_partkey AS k, concat('<think>a', p_name, '</think> x {{\"id\": ', CAST(p_size AS STRING), '}} y') AS s FROM @part) p")
-add("tx30_title_levels", lambda d: "SELECT page, box_id, least(6, 1 + dense_rank() OVER (PARTITION BY page ORDER BY -CAST(floor((y2 - y1) / 6) AS BIGINT))) AS level FROM @v_boxes")
 add("src16_tanimoto", lambda d: f"SELECT a.k, round({d.size(d.common('a.s', 'b.s'))} * 1e0 / ({d.size('a.s')} + {d.size('b.s')} - {d.size(d.common('a.s', 'b.s'))}), 6) AS similarity FROM (SELECT p_partkey AS k, p_size AS z, {d.distinct(d.split('p_name', ' '))} AS s FROM @part) a JOIN (SELECT p_partkey AS k, p_size AS z, {d.distinct(d.split('p_name', ' '))} AS s FROM @part) b ON a.z = b.z AND b.k = a.k + 100")
-add("wn08_table_islands", lambda d: "SELECT page, box_id, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y1, box_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT page, box_id, y1, coalesce(abs(x1 - lag(x1) OVER (PARTITION BY page ORDER BY y1, box_id)) <= 20, false) AS joined FROM @v_boxes) t")

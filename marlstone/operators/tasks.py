@@ -12,33 +12,20 @@ SEARCH = "lower(concat_ws(' ', task_id, type, status, message, pdf_id, filename,
 add("fl06_task_filter", lambda d: f"SELECT task_id, status, type FROM @v_tasks WHERE contains({SEARCH}, 'step') AND status = 'running' AND updated_at >= CAST('1994-01-01' AS TIMESTAMP) AND updated_at < CAST('1997-12-31' AS TIMESTAMP) + INTERVAL 1 DAY")
 add("ag06_state_counts", lambda d: "SELECT type, count(CASE WHEN status = 'running' THEN 1 END) AS running, count(CASE WHEN status = 'pending' THEN 1 END) AS pending, count(*) AS total FROM @v_tasks GROUP BY type")
 add("so01_task_sort", lambda d: "SELECT task_id, row_number() OVER (PARTITION BY type ORDER BY updated_at DESC, n) AS place FROM @v_tasks")
-add("so02_paging", lambda d: "SELECT task_id, place FROM (SELECT task_id, row_number() OVER (ORDER BY updated_at DESC, n) AS place, count(*) OVER () AS total FROM @v_tasks) t WHERE place > 20 * (least(greatest(3, 1), CAST(ceil(total / 20) AS INT)) - 1) AND place <= 20 * least(greatest(3, 1), CAST(ceil(total / 20) AS INT))")
 add("src14_registry", lambda d: "SELECT f.task_id, coalesce(s.status, f.status) AS status, coalesce(s.message, f.message) AS message FROM @v_tasks f LEFT JOIN (SELECT task_id, upper(status) AS status, message FROM @v_tasks WHERE n % 3 = 0) s ON f.task_id = s.task_id")
 add("src15_projected_json", lambda d: f"SELECT task_id, {d.json('params', 'pdf_id')} AS pdf_id, {d.json('params', 'lang')} AS lang FROM @v_tasks")
-add("src06_csv_blanks", lambda d: "SELECT task_id, coalesce(nullif(error, ''), '') AS error, coalesce(message, '') AS message FROM @v_tasks")
-add("tx25_hash_keys", lambda d: f"SELECT doc_id, {d.sha256("concat('{\"lang\":\"', lang, '\",\"source\":\"', source, '\"}')")} AS key FROM @documents")
 add("tx26_revision_hash", lambda d: f"SELECT type, sha1({d.join_rows("concat(task_id, ':', status)", '|', 'n')}) AS revision FROM @v_tasks GROUP BY type")
 add("tx27_date_bounds", lambda d: f"SELECT k, {d.timestamp('s')} AS day_start, {d.timestamp('s')} + INTERVAL 1 DAY AS day_end FROM (SELECT n AS k, CASE WHEN n % 4 = 0 THEN 'not a day' ELSE concat('1995-0', CAST(n % 9 + 1 AS STRING), '-1', CAST(n % 10 AS STRING)) END AS s FROM @v_tasks) t")
 add("tx39_params_compaction", lambda d: (f"SELECT task_id, {d.json('params', 'lang')} AS lang, CAST(size(from_json(get_json_object(params, '$.pages'), 'array<int>')) AS BIGINT) AS pages_count FROM @v_tasks" if d.spark else f"SELECT task_id, {d.json('params', 'lang')} AS lang, CAST(json_array_length(params, '$.pages') AS BIGINT) AS pages_count FROM @v_tasks"))
 add("tx40_terminal_state", lambda d: "SELECT task_id, CASE WHEN status = 'completed' THEN 1e0 ELSE round(progress, 3) END AS progress, CASE WHEN status = 'completed' AND message LIKE 'Running%' THEN 'Completed' ELSE message END AS message FROM @v_tasks")
 add("tx41_partition_key", lambda d: "SELECT k, coalesce(nullif(trim(split_part(fwd, ',', 1)), ''), host, 'unknown') AS partition_id FROM (SELECT n AS k, CASE n % 3 WHEN 0 THEN concat(' 10.0.0.', pdf_id, ', proxy') WHEN 1 THEN '' END AS fwd, CASE WHEN n % 2 = 0 THEN 'host' END AS host FROM @v_tasks) t")
-add("tx45_json_safe", lambda d: (f"SELECT task_id, to_json(named_struct('id', task_id, 'n', n)) AS payload FROM @v_tasks" if d.spark else "SELECT task_id, CAST(json_object('id', task_id, 'n', n) AS VARCHAR) AS payload FROM @v_tasks"))
 add("tx31_prompt_render", lambda d: "SELECT task_id, replace(replace('task {{ID}} is {{STATUS}}', '{{ID}}', coalesce(task_id, '')), '{{STATUS}}', coalesce(status, '')) AS prompt FROM @v_tasks")
-add("tx46_prompt_ids", lambda d: f"SELECT type, CASE WHEN count(*) > 128 THEN '' ELSE {d.join_rows('task_id', ',', 'n')} END AS ids FROM @v_tasks GROUP BY type")
-add("tx37_artifact_paths", lambda d: "SELECT task_id, concat('/root/out/', filename) AS file_path, substring(concat('/root/out/', filename), 1, 10) = '/root/out/' AS inside FROM @v_tasks")
 add("tx42_list_parse", lambda d: f"SELECT k, x, min(i) AS place FROM (SELECT k, CAST(i AS BIGINT) AS i, lower(trim(p)) AS x FROM (SELECT n AS k, {d.replace_all("concat(type, '; ', status, ', ', upper(status))", '[;,]', ';')} AS s FROM @v_tasks) t {d.each_at(d.split('s', ';'), 'i', 'p')}) u WHERE x <> '' GROUP BY k, x")
-add("tx44_preserve", lambda d: f"SELECT doc_id, {d.replace_all('text', '[' + chr(13) + chr(10) + ']+$', '')} AS text FROM @documents")
-add("wn04_fair_queue", lambda d: "SELECT task_id, row_number() OVER (ORDER BY turn, partition_ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY partition_ord ORDER BY seq) AS turn FROM @v_queue) q")
 add("sm01_enqueue", lambda d: "SELECT partition_ord, count(*) AS waiting, min(seq) AS head FROM @v_queue GROUP BY partition_ord")
-add("sm02_pop_next", lambda d: "SELECT task_id FROM (SELECT task_id, turn, partition_ord, row_number() OVER (ORDER BY turn, partition_ord) AS place FROM (SELECT *, row_number() OVER (PARTITION BY partition_ord ORDER BY seq) AS turn FROM @v_queue) q) r WHERE place = 1")
 add("sm03_requeue_front", lambda d: "SELECT task_id, row_number() OVER (PARTITION BY partition_ord ORDER BY CASE WHEN seq % 100 = 7 THEN -seq ELSE seq END) AS place FROM @v_queue")
-add("sm04_admission", lambda d: "SELECT task_id FROM (SELECT task_id, sum(CASE WHEN heavy > 2 THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS blocked, row_number() OVER (ORDER BY seq) AS n FROM (SELECT seq, task_id, sum(CASE WHEN task_name = 'structure' THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS heavy FROM @v_queue) h) t WHERE blocked = 0 AND n <= 20")
 add("sm05_staleness", lambda d: f"SELECT task_id FROM @v_tasks WHERE status = 'running' AND updated_at < {NOW} - INTERVAL 300 SECOND")
 add("sm07_status_machine", lambda d: "SELECT user_id, max_by(event_type, event_id) AS status, CASE WHEN max_by(event_type, event_id) IN ('purchase', 'completed') THEN 1e0 ELSE max_by(value, event_id) / 1000 END AS progress FROM @events GROUP BY user_id")
-add("sm08_progress_map", lambda d: "SELECT task_id, round(least(95e-2, CASE type WHEN '1-urgent' THEN 1e-1 + progress * 4e-1 ELSE 5e-1 + progress * 5e-1 END), 4) AS overall FROM @v_tasks")
 add("sm10_redelivery", lambda d: "SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM @events) t WHERE n = 1")
-add("sm11_reassembly", lambda d: "SELECT page, ord, row_number() OVER (ORDER BY page, ord) AS place FROM (SELECT page, ord FROM @v_assay_long WHERE flag = 'R') t")
-add("sm12_membership", lambda d: "SELECT q.task_id, i.task_id IS NOT NULL AS inflight FROM @v_queue q LEFT JOIN (SELECT task_id FROM @v_queue WHERE seq % 6 = 0) i ON q.task_id = i.task_id")
 add("jn15_reconcile", lambda d: f"SELECT q.n, CASE WHEN t.task_id IS NULL THEN 'clear' WHEN t.status = 'completed' THEN 'clear' WHEN a.task_id IS NOT NULL THEN 'leave' WHEN t.updated_at < {NOW} - INTERVAL 300 SECOND THEN 'requeue' ELSE 'fail' END AS decision FROM (SELECT n, CAST(n + n % 2 AS STRING) AS task_id FROM @v_tasks) q LEFT JOIN @v_tasks t ON q.task_id = t.task_id LEFT JOIN (SELECT task_id FROM @v_tasks WHERE n % 5 = 0) a ON q.task_id = a.task_id")
 add("snk04_audit_rows", lambda d: "SELECT event_id, event_type AS task_name, value > 50 AS ok, substring(props, 1, 2000) AS preview FROM @events")
 add("snk05_zip_first_wins", lambda d: "SELECT filename, task_id FROM (SELECT filename, task_id, row_number() OVER (PARTITION BY filename ORDER BY n) AS k FROM @v_tasks) t WHERE k = 1")
@@ -46,7 +33,6 @@ add("snk06_metadata_report", lambda d: f"SELECT type, {d.join_rows("concat('- ',
 add("snk08_warnings", lambda d: "SELECT event_id, 'contract' AS scope, payload AS error FROM @v_decisions WHERE payload = '{}'")
 add("snk09_markdown", lambda d: f"SELECT doc_id, {d.join_rows(d.replace_all('x', '([*_#])', '~$1'), chr(10), 'line')} AS markdown FROM @v_table_lines GROUP BY doc_id")
 add("so03_top_k", lambda d: "SELECT page, box_id FROM (SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS n FROM @v_boxes WHERE score > 0.05) t WHERE n <= 5")
-add("so07_largest_fragment", lambda d: f"SELECT k, max_by(f, length(f) * 100 - i) AS main FROM (SELECT p_partkey AS k, CAST(i AS BIGINT) AS i, f FROM @part {d.each_at(d.split('p_name', ' '), 'i', 'f')}) t GROUP BY k")
 
 CONF = "lower(coalesce({}, ''))"
 
@@ -61,16 +47,9 @@ def violations(d) -> str:
 
 
 add("ml03_contract", lambda d: f"SELECT event_id, {violations(d)} AS violations FROM @v_decisions")
-add("ml04_payload_rules", lambda d: f"SELECT event_id, {d.json('payload', 'has_structure')} = 'true' AS complete, coalesce(lower({d.json('payload', 'confidence')}), 'medium') AS confidence FROM @v_decisions")
-add("ml06_planner_rules", lambda d: f"SELECT event_id, page, TRY_CAST({d.json('payload', 'page')} AS BIGINT) < page AS earlier FROM @v_decisions WHERE {d.json('payload', 'page')} IS NOT NULL")
 add("ml08_detection_batches", lambda d: "SELECT event_id, CAST(floor((row_number() OVER (PARTITION BY page_group ORDER BY event_id) - 1) / 6) AS BIGINT) AS batch FROM @v_decisions")
-add("ml10_id_passes", lambda d: f"SELECT a.event_id, coalesce({d.json('b.payload', 'reason')}, {d.json('a.payload', 'reason')}) AS id FROM @v_decisions a LEFT JOIN (SELECT event_id, payload FROM @v_decisions WHERE event_id % 2 = 0) b ON a.event_id = b.event_id")
 add("ml13_job_dedupe", lambda d: f"SELECT key, first_id FROM (SELECT {d.sha256('coalesce(text, ' + d.lit('') + ')')} AS key, min(doc_id) AS first_id FROM @documents GROUP BY {d.sha256('coalesce(text, ' + d.lit('') + ')')}) t")
-add("ml15_request_schema", lambda d: "SELECT task_id, (pages = '' ) AS auto_detect, trim(name) AS name FROM (SELECT task_id, CASE WHEN n % 3 = 0 THEN '' ELSE '1-3' END AS pages, concat(' ', type, ' ') AS name FROM @v_tasks) t WHERE trim(name) <> ''")
 add("fl08_routing", lambda d: "SELECT c.doc_id, c.page, a.assay FROM (SELECT DISTINCT doc_id, page FROM @v_assay_long) c JOIN (SELECT DISTINCT doc_id, assay FROM @v_assay_long WHERE flag = 'R') a ON a.doc_id = c.doc_id")
 add("fl09_value_validity", lambda d: f"SELECT event_id FROM @v_decisions WHERE lower({d.json('payload', 'confidence')}) IN ('low', 'medium', 'high') AND trim({d.json('payload', 'reason')}) <> '' AND {d.json('payload', 'has_structure')} = 'true'")
 add("fl10_page_support", lambda d: "SELECT DISTINCT a.doc_id, a.assay FROM @v_assay_long a WHERE NOT EXISTS (SELECT 1 FROM @v_assay_long m WHERE m.doc_id = a.doc_id AND m.assay = a.assay AND m.flag = 'R')")
-add("fl03_acceptance", lambda d: "SELECT ord, CASE WHEN k % 5 = 0 THEN 'filtered' WHEN k % 7 = 0 THEN 'filtered' ELSE 'kept' END AS side, concat_ws('; ', CASE WHEN k % 5 = 0 THEN 'incomplete' END, CASE WHEN k % 7 = 0 THEN 'low confidence' END) AS reason FROM @v_structures")
-add("fl04_final_gate", lambda d: "SELECT ord, compound_id, CASE WHEN compound_id LIKE 'Intermediate%' THEN 'non-final id' WHEN page_num % 9 = 0 THEN 'non-final role' ELSE '' END AS reason FROM @v_structures")
-add("fl05_strictness", lambda d: "SELECT k, s.strictness, CASE WHEN structure_type = 'complete' THEN true WHEN s.strictness = 'permissive' THEN structure_type <> 'text_substituent' WHEN s.strictness = 'balanced' THEN structure_type = 'markush' AND k % 3 <> 0 ELSE false END AS kept FROM @v_candidates CROSS JOIN (SELECT 'strict' AS strictness UNION ALL SELECT 'balanced' UNION ALL SELECT 'permissive') s")
 add("fl07_review_filter", lambda d: "SELECT ord FROM @v_structures WHERE trim(compound_id) <> '' AND (contains(lower(compound_id), 'exam') OR contains(lower(smiles), 'red'))")

@@ -6,6 +6,11 @@ from .dialect import catalogue
 
 view = catalogue.view
 
+#: A row number of lineitem from the row itself, without a window over the table: order, line,
+#: part and supplier tell its rows apart (up to 100,000 parts and 10,000 suppliers; beyond that
+#: two rows of one line could share a number).
+ORD = "(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey)"
+
 
 @view("v_structures")
 def _structures(d):
@@ -18,7 +23,7 @@ def _structures(d):
 @view("v_assay_long")
 def _assay_long(d):
     k = "CAST(l_partkey AS STRING)"
-    return f"""SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ord, CAST(l_linenumber AS BIGINT) AS page,
+    return f"""SELECT {ORD} AS ord, CAST(l_linenumber AS BIGINT) AS page,
 concat('IC', CAST(l_linenumber AS STRING)) AS assay,
 CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN {k} WHEN 1 THEN concat('Example ', {k}) WHEN 2 THEN concat('(', {k}, ')') ELSE concat('Compound ', {k}) END AS raw_id,
 concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), ' nM') AS value, l_returnflag AS flag, l_orderkey AS doc_id, l_partkey AS k FROM @lineitem"""
@@ -52,7 +57,8 @@ FROM (SELECT l_orderkey AS doc_id, {d.join_rows(row, chr(10), 'l_linenumber, l_p
 
 @view("v_boxes")
 def _boxes(d):
-    return """SELECT l_orderkey % 50 AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS box_id,
+    """Boxes of the lines of 1,500 orders to a document of 50 pages, so that pages don't grow with the data."""
+    return f"""SELECT CAST(floor(l_orderkey / 1500) AS BIGINT) * 50 + l_orderkey % 50 AS page, {ORD} AS box_id,
 (l_partkey * 37) % 700 AS y1, (l_suppkey * 53) % 500 AS x1, (l_partkey * 37) % 700 + 10 + l_linenumber * 13 AS y2, (l_suppkey * 53) % 500 + 8 + CAST(l_quantity AS BIGINT) AS x2, l_discount * 10 AS score FROM @lineitem"""
 
 
@@ -74,6 +80,6 @@ concat('R', CAST(p_partkey % 5 + 1 AS STRING)) AS variable_position, p_name AS s
 
 @view("v_relations")
 def _relations(d):
-    return """SELECT l_orderkey AS record_id, concat('Example ', CAST(l_suppkey AS STRING)) AS compound_id, concat('p', CAST(p.p_size AS STRING), '/s', CAST(l_partkey AS STRING)) AS scaffold_ref,
+    return f"""SELECT l_orderkey AS record_id, concat('Example ', CAST(l_suppkey AS STRING)) AS compound_id, concat('p', CAST(p.p_size AS STRING), '/s', CAST(l_partkey AS STRING)) AS scaffold_ref,
 concat('R', CAST(l_linenumber AS STRING)) AS variable_position, CASE WHEN l_returnflag = 'R' THEN 'ready' ELSE 'partial' END AS assembly_status, CASE WHEN l_tax < 0.03 THEN 'low' WHEN l_tax < 0.06 THEN 'medium' ELSE 'high' END AS confidence,
-CAST(l_linenumber AS BIGINT) AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ord FROM @lineitem JOIN @part p ON l_partkey = p.p_partkey"""
+CAST(l_linenumber AS BIGINT) AS page, {ORD} AS ord FROM @lineitem JOIN @part p ON l_partkey = p.p_partkey"""

@@ -45,3 +45,35 @@ def write_assays(df: DataFrame, path: str, assay: str = "assay") -> None:
 def append_audit(df: DataFrame, path: str) -> None:
     """Append-only JSON lines (SNK04)."""
     df.write.mode("append").json(path)
+
+
+def read_lists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of whole-file JSON lists; files with anything else at the top hold none (SRC07)."""
+    whole = spark.read.option("wholetext", True).text(path).where(F.col("value").rlike(r"(?s)^\s*\[.*\]\s*$"))
+    return whole.select(F.explode(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")).alias("r")).select("r.*")
+
+
+def write_named(files: DataFrame, path: str) -> None:
+    """A file for each (name, body), by the executors and Hadoop's file system alone."""
+    parts = files.withColumn("folder", F.element_at(F.split("name", "/"), 1)).withColumn("file", F.element_at(F.split("name", "/"), -1))
+    fs = files.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    conf = files.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target = fs.Path(path)
+    system = target.getFileSystem(conf)
+    for r in parts.distinct().toLocalIterator():  # a registry's folders: few, small files
+        out = system.create(fs.Path(f"{path}/{r['folder']}/{r['file']}"))
+        out.write(bytearray(r["body"], "utf-8"))
+        out.close()
+
+
+def replace_records(spark: SparkSession, path: str, edits: DataFrame, key: str) -> None:
+    """A table with the records of the edits in place of those with the same key (SNK07): the new
+    table is written whole beside the old one, which then gives way to it."""
+    old = spark.read.parquet(path)
+    new = old.join(edits.select(key), key, "left_anti").unionByName(edits.select(*old.columns))
+    beside = f"{path}-new"
+    new.write.mode("overwrite").parquet(beside)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(fs.Path(path), True)
+    system.rename(fs.Path(beside), fs.Path(path))

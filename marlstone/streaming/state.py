@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.dialect import catalogue
+from ..sources.shipping import scratch
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -28,15 +28,15 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is and give its result."""
+def drained(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over what there is and give its result, from the shared folder: a batch's rows
+    are written under the batch's number, so one that runs twice replaces itself."""
     spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return spark.table(name)
+    path = scratch(spark, "stream")
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
 
-catalogue.frame("sm05_stale_stream", lambda d: "SELECT user_id, max(event_id) AS last_event FROM @events GROUP BY user_id")(
-    lambda s, path: latest_status(s.read.parquet(f"{path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", "last_event")
-)
+    place = checkpoint or f"{path}/checkpoint"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

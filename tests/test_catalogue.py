@@ -7,13 +7,16 @@ import pandas as pd
 import pytest
 
 from marlstone import catalog
-from marlstone.operators import sequential
+from marlstone.functions import chemistry, columns, payloads, raster
+from marlstone.operators import sequential, shipments, tables
 from marlstone.plans.dialect import TABLES, catalogue
 
 SQL = catalog.oracle_sql()
 QUERIES = catalog.queries()
-#: A part of the queries here; the driver compares all of them.
-PART = sorted(SQL)[::7]
+#: Queries whose SQL is made from the operator's own text: a part of them here, as the driver compares
+#: all.  Those with SQL of their own are all compared.
+PART = sorted(set(SQL) - set(catalogue.frames))[::7]
+OWN = sorted(set(SQL) & set(catalogue.frames))
 
 
 @pytest.fixture(scope="module")
@@ -30,11 +33,11 @@ def canon(df: pd.DataFrame) -> list[tuple]:
             return "null"
         return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
-    df = df[sorted(df.columns)]
+    df = df[sorted(df.columns)].astype(object)
     return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", PART)
+@pytest.mark.parametrize("name", PART + OWN)
 def test_against_sql(spark, sf, duck, name):
     assert canon(QUERIES[name](spark, sf).toPandas()) == canon(duck.execute(SQL[name]).df())
 
@@ -49,10 +52,12 @@ def test_value_unit(spark):
     assert [got[k] for k in range(6)] == [("54", "nM"), ("<0.5", "µM"), ("++", ""), ("ND", ""), ("12", ""), ("1.2x10^-3", "M")]
 
 
-@pytest.mark.parametrize(("text", "cli", "api", "ui"), [("1-3,5", [1, 2, 3, 5], [1, 2, 3, 5], [1, 2, 3, 5]), ("5-3", [], [3, 4, 5], [3, 4, 5]), ("-3", [-3], [], [1, 2, 3]), ("0", [0], [0], []), ("x", [], [], [])])
+@pytest.mark.parametrize(("text", "cli", "api", "ui"), [("1-3,5", [1, 2, 3, 5], [1, 2, 3, 5], [1, 2, 3, 5]), ("5-3", [], [3, 4, 5], [3, 4, 5]), ("-3", [-3], [], [1, 2, 3]), ("0", [0], [0], []), ("x", None, [], []), ("1-2-3", None, [], [])])
 def test_page_ranges(spark, text, cli, api, ui):
     df = spark.createDataFrame([(1, text)], "k long, pages string")
-    for name, want in (("tx01_pages_cli", cli), ("tx02_pages_api", api), ("tx03_pages_ui", ui)):
+    got = df.select(columns.cli_pages(df["pages"]).alias("p")).first()["p"]
+    assert got["pages"] == cli and (got["error"] is None) == (cli is not None)
+    for name, want in (("tx02_pages_api", api), ("tx03_pages_ui", ui)):
         assert sorted(r["page"] for r in one(spark, name, v_ranges=df)) == want, name
 
 
@@ -63,7 +68,22 @@ def test_page_runs(spark):
 
 def test_fair_queue(spark):
     df = spark.createDataFrame([(k, t, p) for k, (t, p) in enumerate([("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 3), ("f", 3)])], "seq long, task_id string, partition_ord long")
-    assert [r["task_id"] for r in sorted(one(spark, "wn04_fair_queue", v_queue=df), key=lambda r: r["place"])] == list("adebfc")
+    assert [r["task_id"] for r in sorted(tables.fair_places(df).collect(), key=lambda r: r["place"])] == list("adebfc")
+    assert [r["task_id"] for r in tables.pop_next(df).collect()] == ["a"]
+
+
+def test_no_window_spans_lineitem(spark, sf):
+    """Numbers of rows come from the rows; a single-task window is left only where its input is a
+    table of turns, names or pages, or a page of a sorted list."""
+    fine = {"wn04_fair_queue", "so02_paging", "sm04_admission", "ag09_column_set", "sp09_contact_sheet"}
+    found = set()
+    for name, f in QUERIES.items():
+        if name in catalogue.texts or name in ("jn01_pipeline_merge", "ag01_assay_pivot", "fl12_assembly_blockers", "fl13_downgrade", "sp02_nms", *fine):
+            plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
+            lines = plan.split("\n")
+            if any("Window [" in x and any("SinglePartition" in y for y in lines[k + 1 : k + 4]) for k, x in enumerate(lines)):
+                found.add(name)
+    assert found <= fine
 
 
 def test_remap_is_order_free(spark, sf):
@@ -120,8 +140,8 @@ def test_streams(spark, sf):
 
     events = state.events_stream(spark, f"{sf}/events.parquet".replace("events.parquet", "event[s].parquet"))
     n = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
-    assert state.to_table(state.latest_status(events), "latest", "complete").count() == n
-    assert state.to_table(state.deliveries(events), "once", "append").count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert state.drained(state.latest_status(events), "complete").count() == n
+    assert state.drained(state.deliveries(events.unionByName(events)), "append").count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
 BOXES = sorted(n for n in SQL if "l_discount * 10" in SQL[n])
@@ -132,7 +152,7 @@ def test_boxes_cover_lineitem(spark, sf):
     boxes = catalogue.load(spark, sf, "v_boxes")
     assert boxes.count() == lines.count()
     assert boxes.select("page").distinct().count() == lines.selectExpr("l_orderkey % 50").distinct().count()
-    assert QUERIES["sp06_tiling"](spark, sf).count() == 5 * lines.count()
+    assert QUERIES["sp06_tiling"](spark, sf).groupBy("page").count().where("count > 80").count() == 0
     assert QUERIES["wn06_line_merge"](spark, sf).count() == lines.count()
 
 
@@ -141,7 +161,7 @@ def test_boxes_against_sql(spark, sf, duck, name):
     assert canon(QUERIES[name](spark, sf).toPandas()) == canon(duck.execute(SQL[name]).df())
 
 
-WHOLE = {"tx26_revision_hash": None, "tx46_prompt_ids": None, "tx44_preserve": "documents", "snk06_metadata_report": None, "so04_even_tiles": "part", "jn04_dictionary_join": None}
+WHOLE = ["tx26_revision_hash", "tx44_documents", "snk06_metadata_report", "jn04_dictionary_join"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -150,9 +170,7 @@ def test_whole_tables(spark, sf, duck, name):
     assert canon(got.toPandas()) == canon(duck.execute(SQL[name]).df())
     tasks = catalogue.load(spark, sf, "v_tasks").selectExpr("type", "task_id", "status", "n", "error").toPandas().sort_values("n")
     out = got.toPandas()
-    if name == "so04_even_tiles":
-        assert out["k"].nunique() == spark.read.parquet(f"{sf}/part.parquet").count()
-    elif name == "tx44_preserve":
+    if name == "tx44_documents":
         docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
         assert dict(zip(out["doc_id"], out["text"])) == {k: None if t is None else t.rstrip("\r\n") for k, t in docs.items()}
     elif name == "jn04_dictionary_join":
@@ -163,7 +181,71 @@ def test_whole_tables(spark, sf, duck, name):
             row = out[out["type"] == kind].iloc[0]
             if name == "tx26_revision_hash":
                 assert row["revision"] == hashlib.sha1("|".join(f"{t}:{s}" for t, s in zip(g["task_id"], g["status"])).encode()).hexdigest()
-            elif name == "tx46_prompt_ids":
-                assert row["ids"] == ("" if len(g) > 128 else ",".join(g["task_id"]))
             else:
                 assert row["report"].count("- ") == len(g)
+
+
+def test_files_round_trip(spark):
+    from marlstone.sources import files
+    from marlstone.sources.shipping import scratch
+
+    df = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 2)], "k long, s string, n int")
+    for bom in (True, False):
+        path = scratch(spark, "t")
+        files.write_csv(df, path, bom)
+        assert sorted(map(tuple, files.read_csv(spark, path, "k long, s string, n int").collect())) == [(1, 'a "b", c', None), (2, "", 2)]
+    path = scratch(spark, "t")
+    df.write.parquet(path)
+    files.replace_records(spark, path, spark.createDataFrame([(2, "new", 5), (9, "no row", 1)], "k long, s string, n int").where("k = 2"), "k")
+    assert sorted(r["s"] for r in spark.read.parquet(path).collect()) == ['a "b", c', "new"]
+
+
+def test_range_cache(spark):
+    rows = [(1, k, key, n, bad) for k, (key, n, bad) in enumerate([("a", 1, False), ("a", 1, False), ("b", 65, False), ("b", 65, False), ("c", 1, True), ("c", 1, True), ("d", 1, False), ("e", 1, False), ("f", 1, False), ("a", 1, False), ("g", 1, False), ("d", 1, False), ("a", 1, False)])]
+    got = shipments.cached_ranges(spark.createDataFrame(rows, "session long, seq long, key string, n_pages int, failed boolean")).orderBy("seq")
+    assert [r["hit"] for r in got.collect()] == [False, True, False, False, False, False, False, False, False, True, False, False, True]
+
+
+def test_admission_stops_at_a_heavy_head(spark):
+    queue = spark.createDataFrame([(k, f"t{k}", 0, kind) for k, kind in enumerate(["light", "heavy", "light", "heavy", "light"])], "seq long, task_id string, partition_ord long, task_name string")
+    none = queue.where("false")
+    go = lambda most, cap, busy=none: sorted(r["task_id"] for r in tables.admitted(queue, busy, ["heavy"], most, cap).collect())
+    assert go(9, 2) == ["t0", "t1", "t2", "t3", "t4"] and go(9, 1) == ["t0", "t1", "t2"] and go(2, 2) == ["t0", "t1"] and go(9, 0) == ["t0"]
+    assert go(9, 1, queue.where("task_id = 't1'")) == ["t0", "t2"]
+
+
+def test_payload_rules():
+    assert payloads.merged({"a": {"b": 1}}, {"a": {"c": 2}, "d": [1]}) == {"a": {"b": 1, "c": 2}, "d": [1]}
+    assert payloads.indel_ratio("abc", "abc") == 1 and payloads.indel_ratio("ab", "cd") == 0 and round(payloads.indel_ratio("abcd", "abxd"), 3) == 0.75
+    assert payloads.beams([[-1.0, -0.5], [-0.1, -2.0]], 1, 9) == [([1, 0], -0.6)]
+    assert payloads.violations('{"keep": true, "x": 1}', [("string", "x", None, True), ("string", "x", None, False)]) == ["x must be string"]
+
+
+def test_rasters():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mask = rng.random((9, 11)) < 0.5
+        label, n = raster.labelled(mask)
+        seen = np.zeros(mask.shape, int)
+        count = 0
+        for y, x in zip(*np.nonzero(mask)):  # flood fill
+            if seen[y, x]:
+                continue
+            count += 1
+            stack = [(y, x)]
+            while stack:
+                a, b = stack.pop()
+                if 0 <= a < 9 and 0 <= b < 11 and mask[a, b] and not seen[a, b]:
+                    seen[a, b] = count
+                    stack += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
+        assert n == count and (label == seen).all()
+
+
+def test_molecules():
+    assert chemistry.graph("C1CC1")[1] == [(0, 1, 1), (1, 2, 1), (0, 2, 1)]
+    for broken in ("C1CC", "C(C", "C)C", "C$"):
+        with pytest.raises(ValueError):
+            chemistry.graph(broken)
+    assert chemistry.flipped("[C@H][C@@H]", [0, 1]) == "[C@@H][C@H]"
