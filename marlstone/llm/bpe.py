@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import ship_code, text_or_empty
+from .common import release, ship_code, text_or_empty
 
-PREFIXES = 400_000  #: prefixes remembered
-PAIRS = 1_000_000  #: compatibility answers remembered
+PREFIXES = 300_000  #: prefixes remembered
+PAIRS = 300_000  #: compatibility answers remembered
 
 
 def byte_letters() -> list[str]:
@@ -230,6 +230,8 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
                     words.append(n)
                     at += n
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": digests, "decoded_sha256": decoded, "n_words": words})
+        coder.forget()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long"

@@ -1,48 +1,40 @@
-"""Shared by the operators of this folder: shared storage, code shipping, small helpers."""
+"""Shared by the operators of this folder: shared storage, code shipping, memory, small helpers."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
-_SHIPPED: set[str] = set()
+from ..sources.shipping import shared_folder, ship
+
+
+#: Bytes of an Arrow batch, where the session has Spark's own default: texts may be long.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this package, whatever the driver's path is."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    target = Path(tempfile.mkdtemp()) / f"marlstone_{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((ROOT / "marlstone").rglob("*.py")):
-            z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(str(target))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    """Let Python workers import this package, whatever the driver's path is, and keep their
+    batches small."""
+    name, default, small = BATCH
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, small)
+    ship(spark)
+
+
+def release() -> None:
+    """At a task's end: give its memory back, as the worker waits for other tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -57,7 +49,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing will read it again."""
     sc = df.sparkSession.sparkContext
-    for f in df.inputFiles()[:1]:
+    for f in df.inputFiles()[:1]:  # an empty table has a file, too
         path = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -66,6 +58,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -73,7 +73,11 @@ def text_or_empty(name: str = "text"):
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """One key, never null, for the rows with the same id and the same text: what an operator
     finds for a row follows from these two.  ``row_key_of`` is the same in Python."""
-    head = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return row_key_from(F.col(id_col), text_col)
+
+
+def row_key_from(known: Column, text_col: str = "text") -> Column:
+    head = F.coalesce(known.cast("string"), F.lit("null"))
     return F.sha2(F.concat(head, F.lit(":"), text_or_empty(text_col)), 256)
 
 

@@ -2,9 +2,10 @@
 
 The vocabulary's own rules are: canonical composition, white space dropped, lower case, then
 words (contractions, letter runs, single digits, runs of anything else), each encoded for
-itself.  So a batch is cut into words with numpy over code points, equal words are found by
-hash, and each distinct word is encoded once by the tokenizers library (or by any function
-given).  Texts that hold the strings of special tokens are cut at them first.
+itself.  So a batch is cut into words with numpy over code points, equal words are grouped by
+hash and then compared letter by letter with the first of their group, and each distinct word is
+encoded once by the tokenizers library (or by any function given).  Texts that hold the strings
+of special tokens are cut at them first.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 
 LETTER, DIGIT, OTHER = 1, 2, 3
 PIECE = 1 << 21  #: characters handled at once
-MEMORY = 800_000  #: distinct words remembered
+MEMORY = 200_000  #: distinct words remembered
 
 _CLASSES: np.ndarray | None = None
 _CODECS: dict[str, WordCodec] = {}
@@ -104,19 +105,22 @@ class WordCodec:
             encode_words = lambda words: [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
         self.encode_words = encode_words
         self.kind = np.dtype("<u2" if max(self.tokens) < 65536 else "<u4")
-        self.known: dict[int, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _lookup(self, hashes: np.ndarray, word_of: Callable[[int], str]) -> list[bytes]:
-        """Packed ids of distinct words, by hash."""
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words."""
         if len(self.known) > MEMORY:
             self.known = {}
         known = self.known
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in known]
+        new = [w for w in words if w not in known]
         if new:
-            for k, ids in zip(new, self.encode_words([word_of(k) for k in new])):
-                known[keys[k]] = np.array(ids, self.kind).tobytes()
-        return [known[h] for h in keys]
+            for w, ids in zip(new, self.encode_words(new)):
+                known[w] = np.array(ids, self.kind).tobytes()
+        return [known[w] for w in words]
+
+    def forget(self) -> None:
+        """Let go of the words of a task that has ended."""
+        self.known = {}
 
     def words(self, texts: list[str]):
         """For a batch: (packed ids of each distinct word, the distinct words' numbers in order of
@@ -149,8 +153,19 @@ class WordCodec:
             hashes = np.add.reduceat(mixed, starts - starts[0])
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(0xD6E8FEB86659FD93)
-            distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-            table = self._lookup(distinct, lambda k: whole[starts[first[k]] : ends[first[k]]])
+            _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+            # a group's words are compared with its first one; those that differ stand alone
+            inside = char_classes()[cp] != 0
+            at = np.repeat(starts[first][number] - starts[0], np.diff(np.append(starts, starts[0] + len(cp)))) + place
+            unlike = inside & (cp[np.minimum(at, len(cp) - 1)] != cp)
+            wrong = np.add.reduceat(unlike, starts - starts[0]).astype(bool) | (ends - starts != (ends - starts)[first][number])
+            words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            if wrong.any():
+                own: dict[str, int] = {}
+                for w in np.flatnonzero(wrong).tolist():
+                    number[w] = own.setdefault(whole[starts[w] : ends[w]], len(first) + len(own))
+                words += own
+            table = self._lookup(words)
         else:
             table, number = [], np.zeros(0, np.int64)
         if any(s is not None for _, s in owners):
