@@ -1,18 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one of toxic and one of ordinary training text.  A text is
-cut into overlapping windows; each window is compressed under either dictionary,
-and the bytes that the toxic one saves are the window's gain.  A text's features are its largest
-gain, and the number and share of windows that pass each of three gains; a logistic model fitted
-on training rows that the dictionaries haven't seen calibrates them to a score.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  A text is
+cut into overlapping windows; each window is compressed under either dictionary, and the bytes
+that the toxic one saves are the window's gain.  A text's features are its largest gain, and the
+number and share of windows that pass each of three gains; a logistic model fitted on training
+rows that the dictionaries haven't seen calibrates them to a score.
 
-Toxic texts are mostly ordinary prose, so whole toxic texts would make two dictionaries alike.
-The toxic dictionary is therefore trained by contrast: it holds the words whose beginnings stand in
-a far larger share of toxic documents than of ordinary ones, and ends with the content of the
-ordinary dictionary, so that ordinary windows gain nothing.
+Toxic texts are mostly ordinary prose, so dictionaries trained on whole texts of either kind would
+be alike.  The toxic one's samples are therefore the places that tell the two kinds apart: the
+words whose beginnings stand in a far larger share of toxic training documents than of ordinary
+ones, each occurrence one sample.  Both dictionaries end with the one trained on ordinary
+windows, so that ordinary prose gains nothing under either.
 
-Training rows are bounded by ``PER_CLASS`` documents of each label and ``HEAD`` bytes of each in
-training only; scoring reads whole texts.  Labels, language, source and id are never inputs.
+Training documents are whole and bounded in number: ``PER_CLASS`` of each label.  Scoring reads
+whole texts.  Labels, language, source and id are never inputs.
 
 Cases: null and empty texts score as a text without windows; a text shorter than a window is one
 window; equal texts score equally; without training rows of both labels every score is 0;
@@ -32,11 +33,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import fresh, release, ship_code
 
-PER_CLASS = 4000  #: labelled documents used for training, for each label
-HEAD = 1 << 16  #: bytes of a training document used
-SIZE = 16 << 10  #: bytes of a dictionary
+PER_CLASS = 2000  #: labelled documents used for training, for each label
+SIZE = 16 << 10  #: bytes of the ordinary dictionary
+TOXIC_SIZE = 4 << 10  #: bytes, at most, of the toxic one before the ordinary content
 WORD = re.compile(rb"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -75,16 +76,15 @@ def telling_beginnings(toxic: list[bytes], ordinary: list[bytes], ratio: float =
     return sorted(first, key=lambda x: (-seen[x], x))
 
 
-def _content(samples: list[bytes], size: int) -> bytes:
-    """A dictionary trained on samples, as content; all of it where there is too little to train on."""
+def trained(samples: list[bytes], size: int, segment: int, piece: int) -> bytes:
+    """A dictionary's content, trained by zstandard.  Few samples are given to the trainer several
+    times over, as it asks for eight times the size of the dictionary."""
     import zstandard
 
-    if sum(map(len, samples)) < 8 * size or len(samples) < 64:
-        return b"".join(samples)[-size:]
-    try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    return zstandard.train_dictionary(size, samples * max(1, -(-8 * size // total)), k=segment, d=piece).as_bytes()
 
 
 class Distance:
@@ -128,7 +128,7 @@ class Model:
             self.distance = Distance(self.toxic, self.ordinary)
         g = self.distance.gains(raw)
         hits = [int((g >= x).sum()) for x in self.gates]
-        return np.array([1.0, min(int(g.max()), 8), *[math.log1p(h) for h in hits], *[min(1.0, 4 * h / len(g)) for h in hits]])
+        return np.array([1.0, int(g.max()), *[math.log1p(h) for h in hits], *[min(1.0, 4 * h / len(g)) for h in hits]])
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -139,24 +139,17 @@ class Model:
 
 def fit(texts: list[str | None], labels: list[int], size: int = SIZE) -> Model:
     """Dictionaries from one half of the training texts, calibration on the other."""
-    raw = [lowered(t)[:HEAD] for t in texts]
+    raw = [lowered(t) for t in texts]
     y = np.array(labels, float)
     half = [np.arange(len(raw)) % 2 == h for h in (0, 1)]
     if not (half[0] & (y == 1)).any() or not (half[0] & (y == 0)).any():
         return Model(b"", b"")
     toxic = [r for r, u, v in zip(raw, half[0], y) if u and v == 1]
     ordinary = [r for r, u, v in zip(raw, half[0], y) if u and v == 0]
-    base = _content([w for t in ordinary for w in windows(t, 128, 128)], size)
-    begin = telling_beginnings(toxic, ordinary)
-    # each with its commonest whole words, so that longer matches save more
-    whole = defaultdict(Counter)
-    for t in toxic:
-        for w in WORD.findall(t):
-            for n in range(4, min(len(w), 12) + 1):
-                if w[:n] in begin:
-                    whole[w[:n]][w] += 1
-    own = b"".join(b"".join(b" " + w for w, _ in whole[x].most_common(6))[:64] for x in begin)[: size // 4]
-    model = Model(own, base)
+    base = trained([w for t in ordinary for w in windows(t, 128, 128)], size, 64, 8)
+    begin = set(telling_beginnings(toxic, ordinary))
+    telling = [b" %s " % w for t in toxic for w in WORD.findall(t) if any(w[:n] in begin for n in range(4, 13))]
+    model = Model(trained(telling, TOXIC_SIZE, 16, 6), base)
     x = np.array([model.features(r) for r, u in zip(raw, half[1]) if u])
     model.weights = _logistic(x, y[half[1]])
     return model
@@ -187,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     for y in (0, 1):  # a bounded number of ids of each label, by a hash of the id
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, HEAD).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class texts of HEAD characters
+    got = sorted(rows.collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class documents
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
 
 
@@ -200,8 +193,11 @@ def scored(docs: DataFrame, model: Model, column: str = "score", text_col: str =
     shared = spark.sparkContext.broadcast(model)  # two dictionaries and eight weights
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.score).astype("float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        for texts in batches:
+            yield texts.map(model.score).astype("float64")
+        release()
 
     return docs.withColumn(column, score(F.col(text_col)))
 
@@ -214,5 +210,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold; all columns as they are."""
-    name = "_toxicity_score"
+    name = fresh(docs, "_toxicity_score")
     return scored(docs, train(docs, labels), name).where(F.col(name) < threshold).drop(name)
