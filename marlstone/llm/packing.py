@@ -1,10 +1,12 @@
 """Vector bin packing of token sequences by the dot-product heuristic.
 
 An item is what is left of a document, with demands on three dimensions: tokens, segments (one)
-and loss-bearing tokens.  A bin takes, again and again, the fitting item whose demand has the
-largest dot product with what the bin still has, both in units of the limits.  Where none fits,
-an item is cut to fill the bin, so sequences are full.  What cannot fill a last sequence is cut
-to sequences whose lengths are powers of two, which need no padding.
+and loss-bearing tokens.  The first ``PROMPT`` tokens of a document are its prompt and bear no
+loss; a sequence holds at most ``LOSS`` tokens that do.  So a sequence from the middle of a long
+document is full at ``LOSS`` tokens, unless the beginnings of others fill it up.  A bin takes, again
+and again, the fitting item whose demand has the largest dot product with what the bin still has,
+both in units of the limits.  Where none fits, an item is cut to fill the bin.  What cannot fill a
+last sequence is cut to sequences whose lengths are powers of two, which need no padding.
 
 Each partition packs what it reads, in windows of ``WINDOW`` documents whose part-filled bins
 go back to the pool: no shuffle, memory bounded by a window, and a lost task packs its own rows
@@ -26,36 +28,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import ship_code, text_or_empty
+from .common import release, ship_code, text_or_empty
 
 WINDOW = 4096
+PROMPT = 16  #: tokens at a document's start that bear no loss
+LOSS = 2032  #: loss-bearing tokens of a sequence, at most
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 class Packer:
     """Gives places to items; sequences are numbered as they open."""
 
-    def __init__(self, limit: int = 2048, segments: int = 256, loss: int | None = None):
-        self.limit, self.segments, self.loss = limit, segments, loss or limit
+    def __init__(self, limit: int = 2048, segments: int = 256, loss: int = LOSS, prompt: int = PROMPT):
+        if min(limit, segments, loss) < 1 or prompt < 0:
+            raise ValueError("limits must be positive")
+        self.limit, self.segments, self.loss, self.prompt = limit, segments, loss, prompt
         self.opened = 0
         self.pool: list[tuple[int, int, int]] = []  #: (document, start, tokens left)
 
-    @staticmethod
-    def _loss(start: int, length: int) -> int:
-        """A document's first token has nothing before it to be predicted from."""
-        return length - (start == 0)
+    def bearing(self, start, length):
+        """Loss-bearing tokens of a piece: those past its document's prompt."""
+        return length - np.minimum(length, np.maximum(0, self.prompt - start))
+
+    def _most(self, start: int, room: int, loss: int) -> int:
+        """Tokens that a piece from ``start`` may have."""
+        return min(room, loss + max(0, self.prompt - start))
 
     def _open(self) -> int:
         self.opened += 1
         return self.opened - 1
 
     def add(self, document: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, start, length, sequence, offset) of the whole sequences that a document
-        fills; the rest waits for fill()."""
+        """(document, start, length, sequence, offset) of the sequences that a long document
+        fills by itself; the rest waits for fill()."""
         start = 0
-        while length - start >= self.limit and self.loss >= self.limit:
-            yield document, start, self.limit, self._open(), 0
-            start += self.limit
+        while length - start >= self.limit:
+            n = self._most(start, self.limit, self.loss)
+            yield document, start, n, self._open(), 0
+            start += n
         if length > start:
             self.pool.append((document, start, length - start))
 
@@ -72,7 +82,7 @@ class Packer:
             placed: list[tuple[int, int, int]] = []
             while room and seats and loss > 0 and alive.any():
                 own = np.flatnonzero(alive)
-                need, bears = left[own], left[own] - (start[own] == 0)
+                need, bears = left[own], self.bearing(start[own], left[own])
                 fits = (need <= room) & (bears <= loss)
                 if fits.any():
                     score = need * (room / self.limit**2) + bears * (loss / self.loss**2) + seats / self.segments**2
@@ -80,9 +90,9 @@ class Packer:
                     n = int(left[k])
                 else:
                     k = own[int(np.argmax(need))]
-                    n = min(room, loss + int(start[k] == 0), int(left[k]))
+                    n = min(self._most(int(start[k]), room, loss), int(left[k]))
                 placed.append((int(k), int(start[k]), n))
-                room, seats, loss = room - n, seats - 1, loss - self._loss(int(start[k]), n)
+                room, seats, loss = room - n, seats - 1, loss - int(self.bearing(int(start[k]), n))
                 start[k] += n
                 left[k] -= n
                 total -= n
@@ -113,8 +123,8 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, segments: int = 256, loss: int | None = None,
-    end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, segments: int = 256, loss: int = LOSS,
+    prompt: int = PROMPT, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row for each piece of a document."""
     ship_code(docs.sparkSession)
@@ -125,7 +135,7 @@ def pack(
 
         first = TaskContext.get().partitionId() << 32
         codec = tokens.codec(vocabulary)
-        packer = Packer(limit, segments, loss)
+        packer = Packer(limit, segments, loss, prompt)
         held: dict[int, tuple[object, np.ndarray]] = {}
         count = 0
 
@@ -134,7 +144,7 @@ def pack(
             for k, start, n, seq, at in places:
                 name, ids = held[k]
                 crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-                out.append((name, start, n, crc, len(ids), first + seq, at, n - (start == 0)))
+                out.append((name, start, n, crc, len(ids), first + seq, at, int(packer.bearing(start, n))))
             done = set(held) - {k for k, _, _ in packer.pool}
             for k in done:
                 del held[k]
@@ -153,5 +163,7 @@ def pack(
                 places += packer.fill(last=False)
                 yield rows(places)
         yield rows(list(packer.fill(last=True)))
+        codec.forget()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, SCHEMA)
