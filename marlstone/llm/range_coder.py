@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise, ship_code, text_or_empty
+from .common import materialise, release, ship_code, text_or_empty
 
 BLOCK = 512
 LANES = 8192
@@ -335,6 +335,8 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
                     held, names, size, number = [], [], 0, number + 1
         if held:
             yield close()
+        codec.forget()
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_col).alias("_tie"))
     placed = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
@@ -366,6 +368,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["run", "file", "doc_id", "at", "n_tokens", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
+        release()
 
     found = files.select("run", "file", "documents", "data").mapInPandas(run, "run int, file int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(places, ["run", "file"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, ship_code
+from .common import forget, fresh, materialise, release, row_key, ship_code
 from .components import connected_components, forest
 
 TILE = 2048
@@ -57,8 +57,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_code(docs.sparkSession)
 
     @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x, size) for x in texts], dtype="int64")
+    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(x, size) for x in texts], dtype="int64")
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"), *more)
 
@@ -141,14 +143,20 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, id_col: str
 
 
 def keep_first(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """The rows whose id is the smallest of their own component, and of a component without ids
-    one row; all columns as they are."""
-    docs = docs.withColumn("_row_key", row_key())
-    found = near_duplicates(docs, radius, size, more=("_row_key",)).withColumnRenamed("_row_key", "_kept_key")
-    named = found.where("doc_id = component_id").select("_kept_key").distinct()
-    unnamed = found.where("component_id IS NULL").groupBy("fingerprint_root").agg(F.min("_kept_key").alias("_kept_key")).select("_kept_key")
-    match = F.col("_row_key") == F.col("_kept_key")
-    out = docs.where("doc_id IS NOT NULL").join(named, match, "left_semi")
-    # equal rows without an id are copies, too
-    alone = docs.where("doc_id IS NULL").join(unnamed, match, "left_semi").dropDuplicates(["_row_key"])
-    return out.unionByName(alone).drop("_row_key")
+    """One row of each component: that with its smallest id, or of a component without ids any one;
+    of rows with the same id and text one stays.  All columns as they are."""
+    key, kept, n = (fresh(docs, c) for c in ("_row_key", "_kept_key", "_kept_n"))
+    docs = docs.withColumn(key, row_key())
+    found = near_duplicates(docs, radius, size, more=(key,)).groupBy(F.col(key).alias(kept)).agg(
+        F.count("*").alias(n), F.first("doc_id").alias("id"), F.first("component_id").alias("component"), F.first("fingerprint_root").alias("root")
+    )
+    found = materialise(found, "keys")
+    named = found.where("id = component").select(kept, n)
+    unnamed = found.where("component IS NULL").groupBy("root").agg(F.min_by(kept, kept).alias(kept), F.min_by(n, kept).alias(n)).select(kept, n)
+    chosen = named.unionByName(unnamed)
+    match = F.col(key) == F.col(kept)
+    out = docs.join(chosen.where(F.col(n) == 1), match, "left_semi")
+    repeated = chosen.where(F.col(n) > 1)
+    if not repeated.isEmpty():  # equal rows of one id, or without one
+        out = out.unionByName(docs.join(repeated, match, "left_semi").dropDuplicates([key]))
+    return out.drop(key)

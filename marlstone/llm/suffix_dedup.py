@@ -33,19 +33,19 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, row_key_of, shared_folder, ship_code
+from .common import forget, fresh, materialise, release, row_key_from, row_key_of, shared_folder, ship_code
 
-CHUNK = 4 << 20  #: bytes of text in a chunk
+CHUNK = 2 << 20  #: bytes of text in a chunk
 BUCKETS = 256  #: of ranks, at least
 ENTRIES = 1 << 20  #: of a bucket, about
-LAST = (1 << 63) - 1  #: stands for a null id
+LAST = (1 << 63) - 1  #: the place of a null id in the order
 PAD = 256
 
 _RNG = np.random.default_rng(20240229)
@@ -237,8 +237,8 @@ def _answers(entries: DataFrame, two: bool) -> DataFrame:
     return entries.groupBy("bucket").applyInPandas(run, "chunk long, bucket int, settled binary, waiting binary")
 
 
-def _chunks(docs: DataFrame, threshold: int) -> DataFrame:
-    """A bucketed table (chunk, ids, sizes, texts) in the shared folder."""
+def _chunks(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A bucketed table (chunk, ids, nulls, sizes, texts) in the shared folder, and its name."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -247,31 +247,34 @@ def _chunks(docs: DataFrame, threshold: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         number = TaskContext.get().partitionId() << 32
         ids: list[int] = []
+        nulls: list[bool] = []
         texts: list[bytes] = []
         size = 0
 
         def close() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": [number], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "texts": [pack(b"".join(texts))]})
+            return pd.DataFrame({"chunk": [number], "ids": [np.array(ids, np.int64).tobytes()], "nulls": [np.packbits(nulls).tobytes()], "sizes": [np.array([len(t) for t in texts], np.int64).tobytes()], "texts": [pack(b"".join(texts))]})
 
         for pdf in frames:
-            for name, text in zip(pdf["doc_id"], pdf["text"]):
+            for name, null, text in zip(pdf["doc_id"], pdf["null"], pdf["text"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if texts and size + len(raw) > CHUNK:
                     yield close()
-                    ids, texts, size, number = [], [], 0, number + 1
+                    ids, nulls, texts, size, number = [], [], [], 0, number + 1
                 ids.append(int(name))
+                nulls.append(bool(null))
                 texts.append(raw)
                 size += len(raw)
         if texts:
             yield close()
+        release()
 
     spark = docs.sparkSession
-    rows = docs.mapInPandas(run, "chunk long, ids binary, sizes binary, texts binary")
+    rows = docs.mapInPandas(run, "chunk long, ids binary, nulls binary, sizes binary, texts binary")
     name = f"chunks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(parts, "chunk").option("path", path).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _load(row) -> tuple[np.ndarray, list[bytes]]:
@@ -288,11 +291,12 @@ class Chunk:
 
     def __init__(self, row, threshold: int):
         self.ids, self.texts = _load(row)
+        self.nulls = np.unpackbits(np.frombuffer(bytes(row.nulls), np.uint8), count=len(self.ids)).astype(bool)
         self.pieces: list[tuple[int, Piece]] = []
         at = size = 0
         for k, t in enumerate(self.texts):
             size += len(t)
-            if size >= 1 << 20 or k + 1 == len(self.texts):
+            if size >= 1 << 19 or k + 1 == len(self.texts):
                 self.pieces.append((at, Piece(self.texts[at : k + 1], threshold)))
                 at, size = k + 1, 0
         keys = [p.keys() for _, p in self.pieces]
@@ -330,15 +334,19 @@ class Chunk:
         return gone, place, Entries(np.concatenate(rank), np.concatenate(name), np.concatenate(owner)), np.concatenate(owner)
 
 
-def removals(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row; if keyed, its
-    row_key too."""
+def removals(
+    docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, wanted: Callable[[DataFrame], DataFrame] = lambda cut: cut
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row, and if keyed its
+    row_key; or what is wanted of these.  That is written to the shared folder, and the tables that
+    it came from are deleted."""
     spark = docs.sparkSession
     ship_code(spark)
     if threshold < 2:
         raise ValueError("the threshold must be at least 2 bytes")
+    known = F.col(id_col).cast("long")
     # no nulls: pandas would make large ids inexact
-    chunks = _chunks(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text")), threshold)
+    chunks, name = _chunks(docs.select(F.coalesce(known, F.lit(LAST)).alias("doc_id"), known.isNull().alias("null"), F.col(text_col).alias("text")))
     total = chunks.agg(F.count("*")).first()[0] * CHUNK
     buckets = max(BUCKETS, total // 13 // ENTRIES)
 
@@ -347,11 +355,12 @@ def removals(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_
             for row in pdf.itertuples():
                 e = Chunk(row, threshold).first
                 yield pd.DataFrame([(row.chunk, *x) for x in e.dealt(buckets)], columns=["chunk", "bucket", "entries", "n"])
+        release()
 
     sent = "chunk long, bucket int, entries binary, n int"
     one = materialise(_answers(chunks.mapInPandas(first, sent), True), "round-1")
     given = lambda answers, name: answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "settled", "waiting")).alias(name))
-    known = chunks.join(given(one, "one"), "chunk", "left")
+    opened = chunks.join(given(one, "one"), "chunk", "left")
 
     def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -359,15 +368,21 @@ def removals(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_
                 c = Chunk(row, threshold)
                 e = c.second(*c.answered(row.one, buckets, c.first))[2]
                 yield pd.DataFrame([(row.chunk, *x) for x in e.dealt(buckets)], columns=["chunk", "bucket", "entries", "n"])
+        release()
 
-    two = materialise(_answers(known.mapInPandas(second, sent), False), "round-2")
+    two = materialise(_answers(opened.mapInPandas(second, sent), False), "round-2")
 
     def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
                 yield _cut(Chunk(row, threshold), row.one, row.two, buckets, keyed)
+        release()
 
-    out = known.join(given(two, "two"), "chunk", "left").mapInPandas(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + ", key string" * keyed)
+    out = opened.join(given(two, "two"), "chunk", "left").mapInPandas(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + ", key string" * keyed)
+    out = materialise(wanted(out), "removals")
+    for table in (one, two, chunks):
+        forget(table)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
 
 
@@ -395,7 +410,7 @@ def _cut(c: Chunk, one, two, buckets: int, keyed: bool) -> pd.DataFrame:
             own = covered[b : b + len(text)]
             kept = np.frombuffer(text, np.uint8)[~own].tobytes()
             spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if len(text) else 0
-            name = None if c.ids[k] == LAST else int(c.ids[k])
+            name = None if c.nulls[k] else int(c.ids[k])
             rows.append((name, len(text), len(text) - len(kept), spans, kept, row_key_of(name, text) if keyed else None))
     out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "key"])
     if not keyed:
@@ -405,8 +420,7 @@ def _cut(c: Chunk, one, two, buckets: int, keyed: bool) -> pd.DataFrame:
 
 
 def digest(docs: DataFrame, threshold: int = 50) -> DataFrame:
-    cut = removals(docs, threshold)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return removals(docs, threshold, wanted=lambda cut: cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 def deduplicated(docs: DataFrame, threshold: int = 50) -> DataFrame:
@@ -419,11 +433,10 @@ def deduplicated(docs: DataFrame, threshold: int = 50) -> DataFrame:
     def text(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = removals(docs, threshold, keyed=True).where("n_removed > 0").select(F.col("key").alias("_cut_key"), text("kept").alias("_cut_text")).dropDuplicates(["_cut_key"])
-    # an id of LAST counts as null in removals()
-    ids = F.when(docs["doc_id"].cast("long") != LAST, docs["doc_id"].cast("long"))
-    keyed = docs.withColumn("_row_id", ids)
-    joined = keyed.withColumn("_row_key", row_key("_row_id")).join(cut, F.col("_row_key") == F.col("_cut_key"), "left")
-    hit = F.col("_cut_key").isNotNull()
-    new = F.when(hit, F.col("_cut_text")).otherwise(F.col("text"))
-    return joined.select(*[new.alias(c) if c == "text" else F.when(hit, F.length(new)).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    own, key, new = (fresh(docs, c) for c in ("_row_key", "_cut_key", "_cut_text"))
+    cut = removals(docs, threshold, keyed=True, wanted=lambda x: x.where("n_removed > 0").select(F.col("key").alias(key), text("kept").alias(new)))
+    cut = cut.dropDuplicates([key])
+    joined = docs.withColumn(own, row_key_from(F.col("doc_id").cast("long"))).join(cut, F.col(own) == F.col(key), "left")
+    hit = F.col(key).isNotNull()
+    now = F.when(hit, F.col(new)).otherwise(F.col("text"))
+    return joined.select(*[now.alias(c) if c == "text" else F.when(hit, F.length(now)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
