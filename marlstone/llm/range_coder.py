@@ -1,28 +1,29 @@
 """Token ids as compressed, checksummed blocks.
 
 A block codes up to ``BLOCK`` ids by itself: its model starts empty, so any block can be read
-alone or lost alone.  The model predicts ids by context: order 2 and order 1 remember, for a
-hash of the previous two ids or of the previous one, the id that came last and how often it was
-right; order 0 and the magnitude of the previous id give the odds of the next id's magnitude.
-Yes-or-no decisions ("is it the order-2 id", "is it the order-1 id", then four bits of
-magnitude) are coded by an adaptive binary range coder with probabilities mixed from several
-counters under weights that follow whichever counter did better.  The bits below the leading
-one are stored as they are.  All arithmetic is on integers, so any machine reads what any other
-wrote.
-
-Blocks run in lockstep: the same step of up to ``LANES`` blocks is one numpy operation.
-
-A file is a run of blocks: magic, number of blocks and ids, then for each block its count,
-sizes and crc32, then the payloads.  A dataset holds one file in each row, written in ascending
+alone or lost alone.  A file holds a table of its ids and the lengths of their prefix codes, made
+from their counts; the model codes an id as the yes-or-no decisions along its code, so every bit
+of it is predicted.  Three predictions are mixed: order 0, a counter for each node of the code's
+tree; order 1 and order 2, the id that last followed the previous one, or the previous two, each
+with a counter for each degree of past success.  They are added in the logistic domain under
+weights that learn from every decision, and the mixed probability drives a binary range coder.
+All arithmetic is on integers, so any machine reads what any other wrote.
+
+Blocks run in lockstep: each step codes one decision of up to ``LANES`` blocks by numpy operations.
+
+A file is: magic, number of blocks and ids, the table, for each block its count, size and crc32,
+a crc32 of all that, then the payloads.  A dataset holds one file in each row, written in ascending
 order of the documents' ids, with the table of the documents that it holds.
 
 Cases: null and empty texts are one end id; an empty table writes no file; equal ids stay
-separate documents in text-hash order; a null id comes first; extra columns are ignored; a
-damaged block raises ValueError.
+separate documents in text-hash order; a null id comes first; extra columns are ignored; ids may be
+any below 2**32, others raise ValueError; a damaged head raises ValueError; of a file with damaged
+blocks read_blocks() gives all others, and read_file() raises ValueError with their numbers.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,272 +36,307 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import materialise, release, ship_code, text_or_empty
 
-BLOCK = 512
-LANES = 8192
+BLOCK = 2048
+LANES = 2048
 FILE_IDS = BLOCK * LANES
-MAGIC = b"MLTK1\n"
-SLOTS = 9  #: bits of a context's hash
+MAGIC = b"MLTK2\n"
+NODES = 12  #: bits of a tree node's place in a lane's counters
+SLOTS = 11  #: bits of a context's place among a lane's guesses
+DEEPEST = 28  #: bits of a code, at most
+LIMIT = 127  #: sightings after which a counter learns no slower
 ONE = 1 << 16
 MASK = (1 << 48) - 1
 
 
-class _Model:
-    """What the lanes have seen so far.  Rows are lanes; a step works on the first ``n``."""
-
-    def __init__(self, lanes: int):
-        size = 1 << SLOTS
-        self.id1, self.id2 = (np.zeros(lanes * size, np.int32) for _ in range(2))
-        self.sure1, self.sure2 = (np.zeros(lanes * size, np.int8) for _ in range(2))
-        # counters: probability of "yes" in 16 bits
-        self.odds = np.full(lanes * 512, ONE // 2, np.int64)
-        self.tree0 = np.full(lanes * 16, ONE // 2, np.int64)
-        self.tree1 = np.full(lanes * 17 * 16, ONE // 2, np.int64)
-        self.weight = np.full((8, lanes), 64, np.int64)
-        self.lane = np.arange(lanes)
-        self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
-
-    def slots(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.last1[:n], self.last2[:n]
-        h1 = (a * 40503 >> 4) & ((1 << SLOTS) - 1)
-        h2 = ((a * 40503 ^ b * 30011 + 977) >> 5) & ((1 << SLOTS) - 1)
-        base = self.lane[:n] << SLOTS
-        return base + h1, base + h2
-
-    def learn(self, n: int, s1: np.ndarray, s2: np.ndarray, ids: np.ndarray) -> None:
-        for slot, guess, sure in ((s1, self.id1, self.sure1), (s2, self.id2, self.sure2)):
-            right = guess[slot] == ids + 1
-            had = sure[slot]
-            now = np.where(right, np.minimum(had + 1, 7), had >> 1)
-            change = ~right & (now == 0)
-            now[change] = 1
-            sure[slot] = now
-            guess[slot[change]] = ids[change] + 1
-        self.last2[:n] = self.last1[:n]
-        self.last1[:n] = ids
-
-
-def _mix(p: list[np.ndarray], w: list[np.ndarray]) -> np.ndarray:
-    total = sum(w)
-    mixed = sum(a * b for a, b in zip(p, w)) // total
-    return np.clip(mixed, 48, ONE - 48)
-
-
-class _Coder:
-    """Range coder of many lanes; writes if given no data, else reads."""
-
-    def __init__(self, lanes: int, most: int, data: list[np.ndarray] | None = None):
-        self.low = np.zeros(lanes, np.int64)
-        self.high = np.full(lanes, MASK, np.int64)
-        self.at = np.zeros(lanes, np.int64)
-        self.reading = data is not None
-        if data is None:
-            self.words = np.zeros((lanes, most), np.uint16)
-        else:
-            self.words = np.zeros((lanes, max(map(len, data)) + 4), np.uint16)
-            for k, x in enumerate(data):
-                self.words[k, : len(x)] = x
+def _logistic() -> tuple[np.ndarray, np.ndarray]:
+    """ln(p / (1 - p)) in 1/256 of a 12-bit probability, and its inverse in 16 bits."""
+    p = (np.arange(4096) + 0.5) / 4096
+    back = 65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256.0))
+    return np.rint(np.log(p / (1 - p)) * 256).astype(np.int64), np.clip(np.rint(back), 32, ONE - 32).astype(np.int64)
+
+
+STRETCH, SQUASH = _logistic()
+RATE = (65536 / (np.arange(256) + 1.6)).astype(np.int64)
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a prefix code for symbols of these counts, none over DEEPEST."""
+    n = len(counts)
+    while True:
+        heap = [(int(c), k) for k, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent = np.zeros(2 * n - 1, np.int64)
+        for made in range(n, 2 * n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = made
+            heapq.heappush(heap, (a + b, made))
+        depth = np.zeros(2 * n - 1, np.int64)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[:n].max(initial=0) <= DEEPEST:
+            return depth[:n]
+        counts = (counts >> 2) + 1
+
+
+class Code:
+    """A canonical prefix code: at each depth the codes that end there come first, so a node is its
+    path, written as a number with a leading one."""
+
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        order = np.lexsort((symbols, lengths))
+        self.symbols, self.length = symbols[order], lengths[order].astype(np.int64)
+        deepest = int(self.length.max())
+        counts = np.bincount(self.length, minlength=deepest + 2)
+        first, before = np.zeros(deepest + 2, np.int64), np.cumsum(counts) - counts
+        for d in range(1, deepest + 2):
+            first[d] = (first[d - 1] + counts[d - 1]) << 1
+        lead = 1 << np.arange(deepest + 2)
+        self.stop = first + counts + lead  # paths below this end at their depth
+        self.shift = before - first - lead  # from such a path to the symbol's place
+        self.path = first[self.length] + np.arange(len(symbols)) - before[self.length] + (1 << self.length)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Code, np.ndarray]:
+        """The code made for some ids, and the places of these."""
+        symbols, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        if len(symbols) == 1:  # a tree needs two leaves
+            symbols, counts = np.append(symbols, symbols[0] ^ 1), np.append(counts, 1)
+        lengths = code_lengths(counts)
+        code = cls(symbols, lengths)
+        place = np.empty(len(symbols), np.int64)
+        place[np.lexsort((symbols, lengths))] = np.arange(len(symbols))
+        return code, place[number]
+
+    def table(self) -> bytes:
+        return zlib.compress(self.symbols.astype("<u4").tobytes() + self.length.astype(np.uint8).tobytes())
+
+    @classmethod
+    def read(cls, table: bytes) -> Code:
+        raw = zlib.decompress(table)
+        n = len(raw) // 5
+        return cls(np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64))
+
+
+class Coder:
+    """Binary range coder of many lanes; reads if given words, else writes."""
+
+    def __init__(self, lanes: int, words: np.ndarray | None = None, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
+        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, MASK, np.int64)
+        self.reading = words is not None
+        if self.reading:
+            self.words, self.at, self.ends = np.append(words, 0), starts.copy(), ends
             self.value = np.zeros(lanes, np.int64)
-            for k in range(3):
-                self.value = self.value << 16 | self.words[:, k]
-            self.at += 3
-
-    def code(self, idx, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code "yes" with probability p / 65536 in the lanes idx; gives the bits."""
-        low, high = self.low[idx], self.high[idx]
-        span = high - low
-        mid = low + (span >> 16) * p + ((span & 0xFFFF) * p >> 16)
+            for _ in range(3):
+                self.value = self.value << 16 | self._next(np.arange(lanes))
+        else:
+            self.lane = np.arange(lanes)
+            self.out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _next(self, who) -> np.ndarray:
+        """The next word of some lanes, zero past the end."""
+        at, ends = self.at[who], self.ends[who]
+        self.at[who] = at + 1
+        return np.where(at < ends, self.words[np.minimum(at, ends)], 0)
+
+    def code(self, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code "yes" with probability p / 65536; gives the bits."""
+        mid = self.low + ((self.high - self.low) >> 16) * p
         if self.reading:
-            bit = self.value[idx] <= mid
-        high = np.where(bit, mid, high)
-        low = np.where(bit, low, mid + 1)
-        self.low[idx], self.high[idx] = low, high
-        same = (low ^ high) >> 32 == 0
-        while same.any():
-            who = np.flatnonzero(same)
-            lanes = idx[who] if isinstance(idx, np.ndarray) else who
-            at = self.at[lanes]
+            bit = self.value <= mid
+        self.high = np.where(bit, mid, self.high)
+        self.low = np.where(bit, self.low, mid + 1)
+        who = np.flatnonzero((self.low ^ self.high) < (1 << 32))
+        while len(who):
+            low = self.low[who]
             if self.reading:
-                self.value[lanes] = (self.value[lanes] << 16 & MASK) | self.words[lanes, at]
+                self.value[who] = (self.value[who] << 16 & MASK) | self._next(who)
             else:
-                self.words[lanes, at] = self.low[lanes] >> 32
-            self.at[lanes] = at + 1
-            a = self.low[lanes] << 16 & MASK
-            b = (self.high[lanes] << 16 & MASK) | 0xFFFF
-            self.low[lanes], self.high[lanes] = a, b
-            same = np.zeros(len(same), bool)
-            same[who] = (a ^ b) >> 32 == 0
+                self.out.append((self.lane[who], low >> 32))
+            low = low << 16 & MASK
+            high = (self.high[who] << 16 & MASK) | 0xFFFF
+            self.low[who], self.high[who] = low, high
+            who = who[(low ^ high) < (1 << 32)]
         return bit
 
-    def finish(self) -> list[np.ndarray]:
-        n = len(self.low)
-        lane = np.arange(n)
-        for k in (32, 16, 0):
-            self.words[lane, self.at + (32 - k) // 16] = self.low >> k & 0xFFFF
-        return [self.words[k, : self.at[k] + 3] for k in range(n)]
-
-
-def _nudge(table: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray, rate: int) -> None:
-    table[at] = p + ((np.where(bit, ONE - 1, 0) - p) >> rate)
-
-
-def _favour(weights: list[np.ndarray], p: list[np.ndarray], mixed: np.ndarray, bit: np.ndarray) -> list[np.ndarray]:
-    return [np.clip(w + np.where((q >= mixed) == bit, 2, -2), 1, 255) for w, q in zip(weights, p)]
-
-
-def _step(model: _Model, coder: _Coder, n: int, ids: np.ndarray | None, low_bits) -> np.ndarray:
-    """One id of each of the first n lanes."""
-    s1, s2 = model.slots(n)
-    g1, g2 = model.id1[s1].astype(np.int64) - 1, model.id2[s2].astype(np.int64) - 1
-    c1, c2 = model.sure1[s1].astype(np.int64), model.sure2[s2].astype(np.int64)
-    base = model.lane[:n] * 512
-    agree = (g1 == g2).astype(np.int64)
-    # is it the id that order 2 expects?
-    at = [base + c2, base + 16 + (c2 << 4 | c1 << 1 | agree), base + 160 + np.minimum(model.last1[:n] >> 8, 191)]
-    p = [model.odds[a] for a in at]
-    w = [model.weight[k, :n] for k in range(3)]
-    mixed = _mix(p, w)
-    hit = coder.code(slice(0, n), mixed, None if ids is None else ids == g2)
-    for a, q in zip(at, p):
-        _nudge(model.odds, a, q, hit, 4)
-    for k, x in enumerate(_favour(w, p, mixed, hit)):
-        model.weight[k, :n] = x
-    out = np.where(hit, g2, 0)
-    # or the one that order 1 expects?
-    who = np.flatnonzero(~hit & (agree == 0))
-    found = hit
-    if len(who):
-        at = [base[who] + 352 + c1[who], base[who] + 368 + (c1[who] << 3 | c2[who])]
-        p = [model.odds[a] for a in at]
-        w = [model.weight[k, who] for k in (3, 4)]
-        mixed = _mix(p, w)
-        yes = coder.code(who, mixed, None if ids is None else ids[who] == g1[who])
-        for a, q in zip(at, p):
-            _nudge(model.odds, a, q, yes, 4)
-        for k, x in zip((3, 4), _favour(w, p, mixed, yes)):
-            model.weight[k, who] = x
-        out[who[yes]] = g1[who[yes]]
-        found = hit.copy()
-        found[who[yes]] = True
-    # else its magnitude by four mixed bits, and the bits below as they are
-    who = np.flatnonzero(~found)
-    if len(who):
-        kind = None if ids is None else _magnitude(ids[who])
-        node = np.ones(len(who), np.int64)
-        context = _magnitude(model.last1[who])
-        for k in range(3, -1, -1):
-            at = [model.lane[who] * 16 + node, (model.lane[who] * 17 + context) * 16 + node]
-            p = [model.tree0[at[0]], model.tree1[at[1]]]
-            w = [model.weight[j, who] for j in (5, 6)]
-            mixed = _mix(p, w)
-            bit = coder.code(who, mixed, None if kind is None else (kind >> k & 1).astype(bool))
-            _nudge(model.tree0, at[0], p[0], bit, 5)
-            _nudge(model.tree1, at[1], p[1], bit, 4)
-            for j, x in zip((5, 6), _favour(w, p, mixed, bit)):
-                model.weight[j, who] = x
-            node = node << 1 | bit
-        kind = node & 15
-        out[who] = low_bits(who, kind, None if ids is None else ids[who])
-    model.learn(n, s1, s2, out if ids is None else ids)
-    return out
-
-
-def _magnitude(ids: np.ndarray) -> np.ndarray:
-    """The place of the leading bit of id + 1: 0 to 15 for ids below 65535."""
-    return np.frexp((ids + 1).astype(np.float64))[1].astype(np.int64) - 1
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """(range-coded words, plain bits) of each block of ids below 65535."""
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    sizes = np.array([len(blocks[k]) for k in order])
-    most = int(sizes[0])
-    ids = np.zeros((most, len(blocks)), np.int64)
-    for lane, k in enumerate(order):
-        ids[: len(blocks[k]), lane] = blocks[k]
-    model, coder = _Model(len(blocks)), _Coder(len(blocks), most * 5 + 8)
-    plain: list[list] = []
-
-    def low_bits(who, kind, own):
-        plain.append((who, kind, own + 1 - (1 << kind)))
-        return own
-
-    for t in range(most):
-        n = int(np.searchsorted(-sizes, -t, side="left"))  # lanes longer than t
-        _step(model, coder, n, ids[t, :n], low_bits)
-    words = coder.finish()
-    who, kind, value = (np.concatenate(x) if plain else np.zeros(0, np.int64) for x in (zip(*plain) if plain else ((), (), ())))
-    by_lane = np.argsort(who, kind="stable")
-    kind, value = kind[by_lane], value[by_lane]
-    cuts = np.searchsorted(who[by_lane], np.arange(len(blocks) + 1))
-    out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(blocks)
-    for lane, k in enumerate(order):
-        a, b = cuts[lane], cuts[lane + 1]
-        bits = value[a:b, None] >> np.arange(15) & 1
-        keep = np.arange(15) < kind[a:b, None]
-        out[k] = (words[lane].astype("<u2").tobytes(), np.packbits(bits[keep].astype(np.uint8), bitorder="little").tobytes())
+    def keep(self, which: np.ndarray) -> None:
+        """Go on with some of the lanes; the others' ends are written."""
+        if not self.reading:
+            over = np.ones(len(self.low), bool)
+            over[which] = False
+            for k in (32, 16, 0):
+                self.out.append((self.lane[over], self.low[over] >> k & 0xFFFF))
+            self.lane = self.lane[which]
+        else:
+            self.value, self.at, self.ends = self.value[which], self.at[which], self.ends[which]
+        self.low, self.high = self.low[which], self.high[which]
+
+    def written(self, lanes: int) -> list[bytes]:
+        lane, word = (np.concatenate(x) for x in zip(*self.out))
+        cuts = np.cumsum(np.bincount(lane, minlength=lanes))
+        flat = word[np.argsort(lane, kind="stable")].astype("<u2")
+        return [x.tobytes() for x in np.split(flat, cuts[:-1])]
+
+
+def _run(code: Code, sizes: np.ndarray, places: np.ndarray | None, coder: Coder) -> np.ndarray:
+    """Code the blocks of these sizes; gives the places of their ids, one block after the other."""
+    lanes = len(sizes)
+    writing = places is not None
+    out = places if writing else np.zeros(int(sizes.sum()), np.int64)
+    path, length, stop, shift = code.path, code.length, code.stop, code.shift
+    # what the lanes have learned: counters (22 bits of probability, 8 of sightings), guesses (place + 1
+    # and three bits of success) after one and two ids, trust in them, and weights
+    nodes = np.full(lanes << NODES, 1 << 29, np.int32)
+    guesses = [np.zeros(lanes << SLOTS, np.int32) for _ in range(2)]
+    trust = [np.full(lanes * 8, ONE // 2, np.int64), np.full(lanes * 8, 3 * ONE // 4, np.int64)]
+    weights = [np.full(lanes * 16, w, np.int64) for w in (45000, 30000, 30000)]
+    lane = np.arange(lanes)
+    end = np.cumsum(sizes)
+    at = end - sizes
+    base = lane << NODES
+    node, depth = np.ones(lanes, np.int64), np.zeros(lanes, np.int64)
+    last1, last2, slot1, slot2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), lane << SLOTS, lane << SLOTS
+    # the guessed ids' paths, their lengths and past success, and which of them still agree (bits)
+    way1, way2, size1, size2 = (np.ones(lanes, np.int64) for _ in range(4))
+    luck1, luck2, live = (np.zeros(lanes, np.int64) for _ in range(3))
+    goal, left = (path[out[at]], length[out[at]]) if writing else (lane, lane)
+    while len(lane):
+        place = node * 40503
+        place >>= 2
+        place &= (1 << NODES) - 1
+        place += base
+        counter = nodes[place].astype(np.int64)
+        odds = counter >> 8
+        p = odds >> 6
+        np.maximum(p, 32, out=p)
+        np.minimum(p, ONE - 32, out=p)
+        some = np.flatnonzero(live)
+        if len(some):
+            own, alive, next_ = lane[some], live[some], depth[some] + 1
+            on1, on2 = alive & 1, alive >> 1
+            bit1, bit2 = way1[some] >> (size1[some] - next_) & 1, way2[some] >> (size2[some] - next_) & 1
+            at1, at2 = own * 8 + luck1[some], own * 8 + luck2[some]
+            trust1, trust2 = trust[0][at1], trust[1][at2]
+            x0, x1, x2 = STRETCH[p[some] >> 4], STRETCH[trust1 >> 4] * (2 * bit1 - 1) * on1, STRETCH[trust2 >> 4] * (2 * bit2 - 1) * on2
+            set_ = own * 16 + on2 * (1 + np.minimum(luck2[some], 2)) * 4 + on1 * (1 + np.minimum(luck1[some], 2))
+            w0, w1, w2 = (w[set_] for w in weights)
+            sum_ = (w0 * x0 + w1 * x1 + w2 * x2 >> 16) + 2048
+            mixed = SQUASH[np.minimum(np.maximum(sum_, 1), 4095)]
+            p[some] = mixed
+        if writing:
+            left -= 1
+            y = goal >> left & 1
+            coder.code(p, y == 1)
+        else:
+            y = coder.code(p, None).astype(np.int64)
+        if len(some):
+            err = ((y[some] << 16) - mixed) * 10
+            for w, old, x in zip(weights, (w0, w1, w2), (x0, x1, x2)):
+                w[set_] = old + (x * err >> 20)
+            right1, right2 = (bit1 == y[some]) * on1, (bit2 == y[some]) * on2
+            trust[0][at1] = trust1 + on1 * (right1 * (ONE - 1) - trust1 >> 5)
+            trust[1][at2] = trust2 + on2 * (right2 * (ONE - 1) - trust2 >> 5)
+            live[some] = right1 | right2 << 1
+        seen = counter & 255
+        odds += (y * ((1 << 22) - 1) - odds) * RATE[seen] >> 16
+        odds <<= 8
+        odds |= np.minimum(seen + 1, LIMIT)
+        nodes[place] = odds
+        node <<= 1
+        node |= y
+        depth += 1
+        done = np.flatnonzero(node < stop[depth])
+        if not len(done):
+            continue
+        found = node[done] + shift[depth[done]]
+        here = at[done]
+        if not writing:
+            out[here] = found
+        for table, slot in zip(guesses, (slot1[done], slot2[done])):
+            guess = table[slot]
+            luck = guess & 7
+            table[slot] = np.where(guess >> 3 == found + 1, guess + (luck < 7), np.where(luck == 0, found + 1 << 3, (guess & ~7) | luck >> 1))
+        last2[done] = last1[done]
+        last1[done] = found + 1
+        a, own = (found + 1) * 40503, lane[done] << SLOTS
+        slot1[done] = next1 = own + (a >> 3 & (1 << SLOTS) - 1)
+        slot2[done] = next2 = own + ((a ^ last2[done] * 210077) >> 4 & (1 << SLOTS) - 1)
+        guess1, guess2 = guesses[0][next1].astype(np.int64), guesses[1][next2].astype(np.int64)
+        id1, id2 = np.maximum((guess1 >> 3) - 1, 0), np.maximum((guess2 >> 3) - 1, 0)
+        way1[done], size1[done], luck1[done] = path[id1], length[id1], guess1 & 7
+        way2[done], size2[done], luck2[done] = path[id2], length[id2], guess2 & 7
+        # after one id a guess counts once it was right
+        live[done] = (guess1 & 7 > 0) | (guess2 > 0) << 1
+        node[done], depth[done] = 1, 0
+        here += 1
+        at[done] = here
+        if writing:
+            after = out[np.minimum(here, len(out) - 1)]
+            goal[done], left[done] = path[after], length[after]
+        over = here == end[done]
+        if over.any():
+            stays = np.ones(len(lane), bool)
+            stays[done[over]] = False
+            k = np.flatnonzero(stays)
+            coder.keep(k)
+            lane, base, node, depth, at, end, last1, last2 = (x[k] for x in (lane, base, node, depth, at, end, last1, last2))
+            slot1, slot2, way1, way2, size1, size2, luck1, luck2, live = (x[k] for x in (slot1, slot2, way1, way2, size1, size2, luck1, luck2, live))
+            goal, left = goal[k], left[k]
     return out
 
 
-def decode_blocks(payloads: list[tuple[bytes, bytes]], counts: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(counts)), key=lambda k: -counts[k])
-    sizes = np.array([counts[k] for k in order])
-    model = _Model(len(counts))
-    coder = _Coder(len(counts), 0, [np.frombuffer(payloads[k][0], "<u2") for k in order])
-    plain = [np.frombuffer(payloads[k][1] + b"\0\0\0\0", np.uint8) for k in order]
-    begin = np.cumsum([0, *map(len, plain)])[:-1] * 8
-    plain = np.concatenate(plain).astype(np.int64)
-    at = begin.copy()
-
-    def low_bits(who, kind, _):
-        bit = at[who]
-        byte = bit >> 3
-        word = plain[byte] | plain[byte + 1] << 8 | plain[byte + 2] << 16
-        at[who] = bit + kind
-        return (word >> (bit & 7) & (1 << kind) - 1) + (1 << kind) - 1
-
-    out = np.zeros((int(sizes[0]), len(counts)), np.int64)
-    for t in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        out[t, :n] = _step(model, coder, n, None, low_bits)
-    result = [np.zeros(0, np.int64)] * len(counts)
-    for lane, k in enumerate(order):
-        result[k] = out[: counts[k], lane]
-    return result
-
-
 def write_file(ids: np.ndarray) -> bytes:
-    blocks = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
-    coded = []
-    for k in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[k : k + LANES])
-    head = [MAGIC, struct.pack("<IQ", len(blocks), len(ids))]
-    for b, (words, plain) in zip(blocks, coded):
-        head.append(struct.pack("<IIII", len(b), len(words), len(plain), zlib.crc32(np.asarray(b).astype("<u4").tobytes())))
-    return b"".join(head) + b"".join(w + p for w, p in coded)
+    ids = np.asarray(ids, np.int64)
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must be from 0 to 2**32 - 1")
+    cuts = np.arange(0, len(ids), BLOCK)
+    sizes = np.diff(np.append(cuts, len(ids)))
+    table, coded = b"", []
+    if len(ids):
+        code, places = Code.of(ids)
+        table = code.table()
+        for k in range(0, len(cuts), LANES):
+            own = sizes[k : k + LANES]
+            coder = Coder(len(own))
+            _run(code, own, places[cuts[k] : cuts[k] + int(own.sum())], coder)
+            coded += coder.written(len(own))
+    head = [MAGIC, struct.pack("<IQI", len(cuts), len(ids), len(table)), table]
+    for a, n, words in zip(cuts, sizes, coded):
+        head.append(struct.pack("<III", n, len(words), zlib.crc32(ids[a : a + n].astype("<u4").tobytes())))
+    front = b"".join(head)
+    return b"".join([front, struct.pack("<I", zlib.crc32(front)), *coded])
+
+
+def read_blocks(data: bytes) -> list[np.ndarray | None]:
+    """The ids of each block, None for a damaged one."""
+    first = len(MAGIC) + 16
+    if data[: len(MAGIC)] != MAGIC or len(data) < first:
+        raise ValueError("not a token file")
+    count, total, size = struct.unpack_from("<IQI", data, len(MAGIC))
+    at = first + size + 12 * count
+    if len(data) < at + 4 or zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+        raise ValueError("the file's head is damaged")
+    heads = np.frombuffer(data, "<u4", 3 * count, first + size).reshape(count, 3).astype(np.int64)
+    if not count:
+        return []
+    code = Code.read(data[first : first + size])
+    body = np.frombuffer(data[at + 4 :][: (len(data) - at - 4) // 2 * 2], "<u2").astype(np.int64)
+    ends = np.cumsum(heads[:, 1] // 2)
+    out: list[np.ndarray | None] = []
+    for k in range(0, count, LANES):
+        own, stop = heads[k : k + LANES], np.minimum(ends[k : k + LANES], len(body))
+        start = np.minimum(ends[k : k + LANES] - own[:, 1] // 2, len(body))
+        ids = code.symbols[_run(code, own[:, 0], None, Coder(len(own), body, start, stop))]
+        for block, crc in zip(np.split(ids, np.cumsum(own[:, 0])[:-1]), own[:, 2]):
+            out.append(block if zlib.crc32(block.astype("<u4").tobytes()) == crc else None)
+    return out
 
 
 def read_file(data: bytes) -> np.ndarray:
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token file")
-    count, total = struct.unpack_from("<IQ", data, len(MAGIC))
-    at = len(MAGIC) + 12
-    heads = [struct.unpack_from("<IIII", data, at + 16 * k) for k in range(count)]
-    at += 16 * count
-    payloads = []
-    for _, w, p, _ in heads:
-        payloads.append((data[at : at + w], data[at + w : at + w + p]))
-        at += w + p
-    out = []
-    for k in range(0, count, LANES):
-        out += decode_blocks(payloads[k : k + LANES], [h[0] for h in heads[k : k + LANES]])
-    for ids, (_, _, _, crc) in zip(out, heads):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
-            raise ValueError("a block fails its checksum")
-    ids = np.concatenate(out) if out else np.zeros(0, np.int64)
-    if len(ids) != total:
-        raise ValueError("ids are missing")
-    return ids
+    blocks = read_blocks(data)
+    lost = [k for k, b in enumerate(blocks) if b is None]
+    if lost:
+        raise ValueError(f"blocks fail their checksum: {lost}")
+    return np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
