@@ -3,12 +3,18 @@
 A text is reduced to its words, each between two spaces (" mit  license "), so that a phrase
 matches on word borders and neighbouring matches never share a character.  An ordered list of
 signature rules (regexes over that form) runs behind a keyword prefilter: a rule's regex is
-tried only where its keyword stands in the text.  Detections are intervals of the spaced form; one that
-lies inside a detection of higher priority is suppressed.  No row leaves its partition: the
-whole operator is one projection.
+tried only where one of its keywords is a word of the text.  Detections are intervals of the spaced
+form.  One that lies inside another is suppressed if the other has a higher priority, or the same
+priority and is longer, or has the same priority and interval and stands earlier in the list.  No
+row leaves its partition: the whole operator is one projection, and its work grows with the text
+and with its detections, not with their square.
+
+Rules are of two kinds: SIGNATURES, sentences and names that stand in license texts and notices,
+written one by one; and those for the names in FAMILIES, made for each by the same few shapes.
 
 Cases: null and empty texts have no word and score 0; a text without any keyword costs one
-pass; equal intervals of the same priority both stay; extra columns are ignored.
+pass; detections at equal intervals leave one for each priority's first rule at most; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -109,6 +115,163 @@ SINGLE = [
     ("license", "licence", "licence", 0),
 ]
 
+#: Sentences and names of license texts: label, keyword, words, priority.
+SIGNATURES = [
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software", 5),
+    ("mit", "substantial", "this permission notice shall be included in all copies or substantial portions of the software", 5),
+    ("mit", "noninfringement", "merchantability fitness for a particular purpose and noninfringement", 3),
+    ("mit", "deal", "to deal in the software without restriction", 4),
+    ("mit-0", "mit", "mit no attribution", 5),
+    ("isc", "isc", "internet systems consortium", 4),
+    ("isc", "hereby", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted", 5),
+    ("bsd", "endorse", "may be used to endorse or promote products derived from this software", 4),
+    ("bsd-3", "endorse", "neither the name of( the)? [a-z0-9]+ nor the names of its contributors may be used to endorse", 5),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software", 5),
+    ("bsd", "retain", "redistributions of source code must retain the above copyright notice", 4),
+    ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice", 4),
+    ("bsd", "regents", "(the )?regents of the university of california", 3),
+    ("bsd-patent", "bsd", "bsd 2 clause plus patent", 5),
+    ("apache", "apache", "apache org licenses", 4),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0", 6),
+    ("apache", "apache", "the apache software foundation", 3),
+    ("apache", "compliance", "you may not use this file except in compliance with the license", 4),
+    ("apache", "basis", "distributed on an as is basis without warranties or conditions of any kind", 4),
+    ("gpl", "gnu", "gnu gpl", 4),
+    ("gpl", "gpl", "gpl( version| v)? v?[123]( 0)?( only| or later)?", 4),
+    ("gpl-2.0", "gpl", "gplv2( only| or later)?", 5),
+    ("gpl-3.0", "gpl", "gplv3( only| or later)?", 5),
+    ("gpl-2.0", "gplv2", "gplv2", 5),
+    ("gpl-3.0", "gplv3", "gplv3", 5),
+    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 6),
+    ("gpl", "copyleft", "copyleft", 2),
+    ("gpl", "gnu", "www gnu org licenses", 4),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license", 5),
+    ("lgpl", "gnu", "you should have received a copy of the gnu lesser general public license", 5),
+    ("agpl", "gnu", "you should have received a copy of the gnu affero general public license", 5),
+    ("lgpl", "lgpl", "lgpl( version| v)? ?v?[23]?( [01])?", 4),
+    ("lgpl-2.1", "lgplv2", "lgplv2( 1)?", 5),
+    ("lgpl-3.0", "lgplv3", "lgplv3", 5),
+    ("agpl", "agpl", "agpl( version| v)? ?v?3?( 0)?", 4),
+    ("agpl-3.0", "agplv3", "agplv3", 5),
+    ("gpl-classpath", "classpath", "classpath exception", 5),
+    ("gpl-linking", "linking", "(special|linking) exception", 3),
+    ("gfdl", "invariant", "no invariant sections no front cover texts and no back cover texts", 5),
+    ("gfdl", "gfdl", "gfdl", 4),
+    ("mpl-2.0", "mozilla", "if a copy of the mpl was not distributed with this file", 5),
+    ("mpl", "mozilla", "mozilla org mpl", 4),
+    ("mpl", "mpl", "mpl( version| v)? ?v?[12]( [01])?", 4),
+    ("mpl-exhibit-b", "incompatible", "incompatible with secondary licenses", 4),
+    ("epl", "epl", "epl( version| v)? ?v?[12]( 0)?", 4),
+    ("epl", "eclipse", "www eclipse org (legal|org documents) epl", 5),
+    ("cddl", "cddl", "cddl( version| v)? ?v?1?( [01])?", 4),
+    ("artistic", "artistic", "perl artistic", 4),
+    ("bsl", "boost", "www boost org license", 5),
+    ("bsl", "boost", "boost software", 3),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 5),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 5),
+    ("libpng", "libpng", "libpng( license)?", 4),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 6),
+    ("wtfpl", "fuck", "do what the fuck you want to", 5),
+    ("cc0", "cc0", "cc0( 1 0)?( universal)?", 4),
+    ("cc0", "publicdomain", "creativecommons org publicdomain zero", 5),
+    ("public-domain", "pdm", "public domain mark", 3),
+    ("cc-by", "creativecommons", "creativecommons org licenses by [1-4] [05]", 5),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1-4] [05]", 6),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1-4] [05]", 6),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1-4] [05]", 6),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1-4] [05]", 6),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] [05]", 6),
+    ("cc", "creative", "creative commons", 2),
+    ("cc", "creativecommons", "creativecommons org", 2),
+    ("ofl", "ofl", "ofl( version| v)? ?v?1?( [01])?", 4),
+    ("ofl", "sil", "scripts sil org ofl", 5),
+    ("odbl", "odbl", "odbl", 4),
+    ("pddl", "pddl", "pddl|public domain dedication and license", 4),
+    ("odc-by", "opendatacommons", "opendatacommons org licenses (by|odbl|pddl)", 5),
+    ("ogl", "crown", "crown copyright", 3),
+    ("ms-pl", "ms", "ms pl", 4),
+    ("ms-rl", "ms", "ms rl", 4),
+    ("ms-eula", "microsoft", "microsoft software license terms", 4),
+    ("apsl", "apsl", "apsl", 4),
+    ("oracle-bcl", "oracle", "oracle binary code license( agreement)?", 4),
+    ("oracle-otn", "oracle", "oracle technology network license( agreement)?", 4),
+    ("nvidia", "nvidia", "nvidia( software| cuda)? license( agreement)?", 4),
+    ("intel", "intel", "intel simplified software license", 4),
+    ("json", "evil", "the software shall be used for good not evil", 6),
+    ("beerware", "beer", "beer ware license|buy me a beer", 5),
+    ("ftl", "freetype", "(the )?freetype (project )?license", 4),
+    ("ijg", "jpeg", "independent jpeg group( s)?", 3),
+    ("tcl", "tcl", "tcl tk license", 4),
+    ("curl", "curl", "curl license", 4),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 5),
+    ("ssleay", "cryptsoft", "eric young eay cryptsoft com", 4),
+    ("icu", "icu", "icu license", 4),
+    ("unicode", "unicode", "unicode (license|inc license agreement|terms of use)", 4),
+    ("ncsa", "llvm", "llvm (release )?license", 4),
+    ("llvm-exception", "llvm", "llvm exceptions?", 5),
+    ("python", "psf", "psf license( agreement)?", 4),
+    ("cnri", "cnri", "cnri( open source)? license( agreement)?", 4),
+    ("hpnd", "supporting", "both that copyright notice and this permission notice appear in supporting documentation", 4),
+    ("ntp", "ntp", "ntp license", 4),
+    ("bzip2", "bzip2", "bzip2 license", 4),
+    ("info-zip", "info", "info zip license", 4),
+    ("lppl", "latex", "latex project public license", 5),
+    ("lppl", "lppl", "lppl", 4),
+    ("sleepycat", "sleepycat", "sleepycat( software)? license", 4),
+    ("sunpro", "sunpro", "developed at sunpro", 4),
+    ("eupl", "eupl", "eupl( version| v)? ?v?1?( [012])?", 4),
+    ("cecill", "cea", "cea cnrs inria", 4),
+    ("etalab", "etalab", "licence ouverte|etalab", 4),
+    ("dl-de", "datenlizenz", "datenlizenz deutschland", 4),
+    ("sspl", "sspl", "sspl", 4),
+    ("elastic", "elastic", "elastic co licensing", 4),
+    ("commons-clause", "commons", "commons clause", 5),
+    ("polyform", "polyform", "polyform (noncommercial|shield|perimeter|strict|free trial|small business|internal use)( license)?", 5),
+    ("prosperity", "prosperity", "prosperity public license", 5),
+    ("parity", "parity", "parity public license", 5),
+    ("hippocratic", "hippocratic", "hippocratic license", 5),
+    ("openrail", "openrail", "(creativeml )?open ?rail( m)?", 5),
+    ("openrail", "responsible", "responsible ai license", 4),
+    ("bigscience", "bigscience", "bigscience( bloom)? rail", 5),
+    ("llama", "llama", "llama( 2| 3)? community license( agreement)?", 5),
+    ("gemma", "gemma", "gemma terms of use", 4),
+    ("non-commercial", "commercial", "(for )?non commercial use only", 3),
+    ("non-commercial", "noncommercial", "(for )?noncommercial use only", 3),
+    ("research-only", "research", "for research (purposes|use) only", 3),
+    ("evaluation", "evaluation", "for evaluation purposes only", 3),
+    ("no-derivatives", "derivative", "no derivative works", 3),
+    ("share-alike", "alike", "share ?alike", 2),
+    ("attribution", "attribution", "attribution required", 2),
+    ("proprietary", "unauthorized", "unauthorized (copying|use|reproduction|distribution)( or distribution)?( of this (file|work|material))?( via any medium)? is( strictly)? prohibited", 4),
+    ("proprietary", "confidential", "(strictly|company) confidential", 3),
+    ("proprietary", "permission", "without( the)?( prior)?( express)? written (permission|consent)", 2),
+    ("proprietary", "trade", "trade secrets?", 2),
+    ("eula", "end", "end user licen[cs]e agreement", 4),
+    ("eula", "eula", "eula", 3),
+    ("terms", "terms", "terms (of use|of service|and conditions)", 1),
+    ("fair-use", "fair", "fair (use|dealing)", 1),
+    ("dmca", "dmca", "dmca", 1),
+    ("trademark", "trademark", "(registered )?trademarks?( of)?", 1),
+    ("patent", "patent", "patent (license|grant|pending)", 1),
+    ("source-available", "source", "source available", 2),
+    ("open-source", "open", "open source", 0),
+    ("dual", "dual", "dual licensed( under)?", 3),
+    ("copyright", "reproduced", "no part of this (publication|work|book) may be reproduced", 3),
+    ("copyright", "rightsholder", "rights ?holders?", 1),
+    ("copyright", "permission", "(used|reprinted|reproduced) (with|by)( kind)? permission", 2),
+    ("license", "licence", "licensed under( the)? licence", 1),
+    ("license", "terms", "subject to the terms( and conditions)? of", 1),
+    ("license", "see", "see( the)? (license|copying|notice)( file| txt| md)?( for details)?", 1),
+    ("license", "licensing", "licensing( terms| information)?", 0),
+    ("license", "relicensed", "relicen[cs]ed( under)?( the)?", 1),
+    ("license", "sublicense", "sublicen[cs]e", 0),
+    ("notice", "retained", "this notice (must|shall) be retained", 2),
+    ("notice", "notice", "this (copyright )?notice may not be removed", 2),
+    ("warranty", "disclaimer", "disclaimer of warrant(y|ies)", 1),
+    ("warranty", "liable", "in no event shall( the)? [a-z0-9]+( [a-z0-9]+){0,6} be liable", 2),
+    ("warranty", "provided", "(is )?provided (as is|as available|by the copyright holders?)", 1),
+]
+
 #: SPDX identifiers as words, without the version, where they differ from the name.
 SPDX = {
     "mit": "mit", "isc": "isc", "zlib": "zlib", "ncsa": "ncsa", "openssl": "openssl", "postgresql": "postgresql", "ruby": "ruby", "ms-pl": "ms pl", "ms-rl": "ms rl",
@@ -131,8 +294,8 @@ def _spaced(words: str) -> str:
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regex, priority), in order; made from FAMILIES by four shapes each, one
-    more for each version, and from SINGLE."""
-    out = []
+    more for each version, and from SIGNATURES and SINGLE."""
+    out = [(label, keyword, _spaced(words), p) for label, keyword, words, p in SIGNATURES]
     for label, keyword, name, versions in FAMILIES:
         out.append((label, keyword, _spaced(name), 4))
         out.append((label, keyword, _spaced(f"(licensed|released|distributed|available|covered)( under)?( the)?( terms of)?( the)? {name}"), 5))
@@ -148,26 +311,43 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 def spaced_words(text: Column) -> Column:
     """Every word between two spaces; "" when there is no word."""
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    inner = F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ")
+    whole = F.coalesce(text, F.lit(""))
+    # only A-Z change; lower() is the quick way for texts without other letters
+    lower = F.when(F.octet_length(whole) == F.char_length(whole), F.lower(whole)).otherwise(F.translate(whole, string.ascii_uppercase, string.ascii_lowercase))
     # after this, words are parted by two spaces; the ends have two or none
-    inner = F.trim(inner)
+    inner = F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
     return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
+RUN = 256  #: steps after which a running list is set aside, so that it is never copied whole; even
+MARK = "\x01"  #: stands in no spaced form
+SPAN = "array<struct<a:int,b:int>>"
+
+
+def _folded(items: Column, kind: str, start: Column, step, after) -> Column:
+    """A fold over an array that gives a list: step(state, item) -> (state, list), over runs of
+    RUN items; after(state, lists) shifts a run's list by the state before it."""
+    def run(acc: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(items, k, F.lit(RUN)), F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("out")), step)
+        return F.struct(part["state"].alias("state"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), run, after)
+
+
 def _hits(s: Column, regex: Column) -> Column:
     """Intervals of characters [a, b) of a regex's matches in the spaced form s, in order."""
-    found = F.regexp_extract_all(s, regex, F.lit(0))
-    gaps = F.split(s, regex, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    # gap, match, gap, match ... gap
+    pieces = F.split(F.regexp_replace(s, regex, F.lit(f"{MARK}$0{MARK}")), MARK)
 
-    def step(acc, pair):
-        a = acc["at"] + F.length(pair["gap"])
-        b = a + F.length(pair["hit"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+    def step(acc: Column, piece: Column) -> Column:
+        to = acc["state"]["at"] + F.length(piece)
+        hit = acc["state"]["hit"]
+        out = F.when(hit, F.concat(acc["out"], F.array(F.struct(acc["state"]["at"].alias("a"), to.alias("b"))))).otherwise(acc["out"])
+        return F.struct(F.struct(to.alias("at"), (~hit).alias("hit")).alias("state"), out.alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.aggregate(pairs, state, step, lambda acc: acc["out"]))
+    found = _folded(pieces, SPAN, F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit")), step, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.regexp_like(s, regex), found).otherwise(F.array().cast(SPAN))
 
 
 def _words_before(s: Column, offset: Column) -> Column:
@@ -175,41 +355,45 @@ def _words_before(s: Column, offset: Column) -> Column:
     return F.floor((F.length(head) - F.length(F.replace(head, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
+def detections(s: Column) -> Column:
+    """The detections of a spaced form that no other suppresses, in order of their start."""
     table = rules()
-    keywords = sorted({k for _, k, _, _ in table})
-    gate = None
-    for k in keywords:
-        hit = F.col("_s").contains(f" {k} ")
-        gate = hit if gate is None else gate | hit
-    array = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f" {k} ").alias("keyword"), F.lit(rx).alias("regex"), F.lit(p).alias("priority")) for label, k, rx, p in table])
-    kind = "array<struct<label:string,priority:int,a:int,b:int>>"
-    s = F.col("_s")
-    df = docs.select(F.col(id_col).alias("doc_id"), spaced_words(F.col(text_col)).alias("_s"))
-    df = df.withColumn("n_words", F.floor((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("long"))
-    found = F.flatten(F.transform(
-        F.filter(array, lambda r: s.contains(r["keyword"])),
-        lambda r: F.transform(_hits(s, r["regex"]), lambda h: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), h["a"].alias("a"), h["b"].alias("b"))),
-    ))
-    df = df.withColumn("_found", F.when(gate, F.array_sort(found, lambda x, y: F.when(x["a"] != y["a"], x["a"] - y["a"]).otherwise(y["b"] - x["b"]))).otherwise(F.array().cast(kind)))
-    # one pass in order of the start: for each priority, how far detections above it reach
+    groups: dict[str, list] = {}
+    for i, (label, keyword, regex, priority) in enumerate(table):
+        groups.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(i).alias("rule")))
+    by_word = F.create_map(*[x for k, rs in groups.items() for x in (F.lit(k), F.array(*rs))])
+    words = F.split(F.replace(F.trim(s), F.lit("  "), F.lit(" ")), " ")
+    there = F.array_intersect(F.array(*map(F.lit, groups)), words)
+    kind = "array<struct<label:string,priority:int,rule:int,a:int,b:int>>"
+    tried = F.flatten(F.transform(there, lambda k: F.element_at(by_word, k)))
+    found = F.flatten(F.transform(tried, lambda r: F.transform(_hits(s, r["regex"]), lambda h: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["rule"].alias("rule"), h["a"].alias("a"), h["b"].alias("b")))))
+    # by start, the longer first, then by priority and place in the list: whatever contains a detection
+    # and outranks it stands before it
+    less = lambda x, y, f, down=False: F.when(x[f] != y[f], (y[f] - x[f]) if down else (x[f] - y[f]))
+    ordered = F.array_sort(found, lambda x, y: F.coalesce(less(x, y, "a"), less(x, y, "b", True), less(x, y, "priority", True), x["rule"] - y["rule"]))
     tops = sorted(CONFIDENCE)
-    zero = F.struct(*[F.lit(-1).alias(f"m{p}") for p in tops], F.array().cast(kind).alias("kept"))
+    # for each priority, how far detections of it or above it reach
+    start = F.struct(*[F.lit(-1).alias(f"m{p}") for p in tops])
+
+    def step(acc: Column, d: Column) -> Column:
+        state = acc["state"]
+        reach = F.element_at(F.array(*[state[f"m{p}"] for p in tops]), d["priority"] + 1)
+        wider = F.struct(*[F.greatest(state[f"m{p}"], F.when(d["priority"] >= p, d["b"]).otherwise(F.lit(-1))).alias(f"m{p}") for p in tops])
+        return F.struct(wider.alias("state"), F.when(reach < d["b"], F.concat(acc["out"], F.array(d))).otherwise(acc["out"]).alias("out"))
 
-    # detections with the same start and end as a higher one lie inside it too, so reach is taken first
-    def widen(acc, d):
-        reach = {p: F.greatest(acc[f"m{p}"], F.when(d["priority"] >= p, d["b"]).otherwise(F.lit(-1))) for p in tops}
-        return F.struct(*[reach[p].alias(f"m{p}") for p in tops], acc["kept"].alias("kept"))
+    kept = _folded(ordered, kind, start, step, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(there) == 0, F.array().cast(kind)).otherwise(kept)
 
-    def keep(acc, run):
-        wide = F.aggregate(run, acc, widen)
-        kept = F.filter(run, lambda d: F.lit(True) & F.coalesce(*[F.when(d["priority"] == p, (wide[f"m{p + 1}"] < d["b"]) if p + 1 in tops else F.lit(True)) for p in tops]))
-        return F.struct(*[wide[f"m{p}"].alias(f"m{p}") for p in tops], F.concat(acc["kept"], kept).alias("kept"))
 
-    starts = F.array_distinct(F.transform("_found", lambda d: d["a"]))
-    runs = F.transform(starts, lambda a: F.filter("_found", lambda d: d["a"] == a))
-    df = df.withColumn("_kept", F.when(F.size("_found") == 0, F.array().cast(kind)).otherwise(F.aggregate(runs, zero, keep, lambda acc: acc["kept"])))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections; and the
+    detections themselves (label, priority, rule, characters of the spaced form) if spans are
+    wanted."""
+    tops = sorted(CONFIDENCE)
+    s = F.col("_s")
+    df = docs.select(F.col(id_col).alias("doc_id"), spaced_words(F.col(text_col)).alias("_s"))
+    df = df.withColumn("n_words", F.floor((F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))) / 2).cast("long"))
+    df = df.withColumn("_kept", detections(s))
     base = [(label, _hits(s, F.lit(" " + "  ".join(words.split()) + " ")), s.contains(" " + "  ".join(words.split()) + " ")) for words, label in BASE.items()]
     for i, (_, hits, there) in enumerate(base):
         df = df.withColumn(f"_b{i}", F.when(there, F.transform(hits, lambda h: h["a"])).otherwise(F.array().cast("array<int>")))
@@ -225,7 +409,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_join(F.array_sort(F.array_distinct("_names")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("_names", F.transform("_kept", lambda d: d["label"])))), ",").alias("labels"),
         F.coalesce(F.array_max(F.concat(F.transform("_kept", lambda d: F.element_at(weight, d["priority"] + 1)), F.transform("_names", lambda _: F.lit(0.5)))), F.lit(0.0)).alias("score"),
-        F.size("_kept").cast("long").alias("n_detections"),
+        F.size("_kept").cast("long").alias("n_detections"), *([F.col("_kept").alias("detections")] if spans else []),
     )
 
 
@@ -247,8 +431,8 @@ bb AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) A
 h0 AS (SELECT doc_id, i, label, priority, regexp_extract_all(s, regex) AS m, string_split_regex(s, regex) AS g FROM s JOIN rules ON contains(s, keyword)),
 h1 AS (SELECT doc_id, i, label, priority, unnest(m) AS m, unnest(g[:len(m)]) AS g, generate_subscripts(m, 1) AS k FROM h0 WHERE len(m) > 0),
 h2 AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, i ORDER BY k) AS b FROM h1),
-h AS (SELECT doc_id, label, priority, b - length(m) AS a, b FROM h2),
-kept AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.priority > h.priority AND o.a <= h.a AND o.b >= h.b)),
+h AS (SELECT doc_id, i, label, priority, b - length(m) AS a, b FROM h2),
+kept AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.a <= h.a AND o.b >= h.b AND (o.priority > h.priority OR o.priority = h.priority AND (o.b - o.a > h.b - h.a OR o.b - o.a = h.b - h.a AND o.i < h.i)))),
 names AS (SELECT doc_id, label, 0.5 AS c, 0 AS d, 1 AS isbase FROM b UNION ALL SELECT doc_id, label, CASE priority {conf} END, 1, 0 FROM kept),
 agg AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (isbase = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c)::DOUBLE AS score, sum(d)::BIGINT AS n_detections FROM names GROUP BY doc_id)
 SELECT s.doc_id, ((length(s) - length(replace(s, ' ', ''))) // 2)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_detections, 0)::BIGINT AS n_detections
