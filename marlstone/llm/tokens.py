@@ -20,7 +20,8 @@ import numpy as np
 
 LETTER, DIGIT, OTHER = 1, 2, 3
 PIECE = 1 << 21  #: characters handled at once
-MEMORY = 200_000  #: distinct words remembered
+MEMORY = 400_000  #: distinct words remembered
+TOGETHER = 512  #: words given to the library as one text
 
 _CLASSES: np.ndarray | None = None
 _CODECS: dict[str, WordCodec] = {}
@@ -98,12 +99,14 @@ class WordCodec:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {v: k for k, v in self.vocab.items()} | {v: k for k, v in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.encode_words = encode_words
         if encode_words is None:
             from tokenizers import Tokenizer
 
-            library = Tokenizer.from_file(path)
-            encode_words = lambda words: [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-        self.encode_words = encode_words
+            self.library = Tokenizer.from_file(path)
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(max(self.tokens) + 1, bool)
+            self.ends[[k for k, t in self.tokens.items() if suffix and t.endswith(suffix)]] = True
         self.kind = np.dtype("<u2" if max(self.tokens) < 65536 else "<u4")
         self.known: dict[str, bytes] = {}
 
@@ -114,10 +117,24 @@ class WordCodec:
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            for w, ids in zip(new, self.encode_words(new)):
-                known[w] = np.array(ids, self.kind).tobytes()
+            known.update(zip(new, self._packed(new)))
         return [known[w] for w in words]
 
+    def _packed(self, words: list[str]) -> list[bytes]:
+        if self.encode_words is not None:
+            return [np.array(ids, self.kind).tobytes() for ids in self.encode_words(words)]
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            last = np.flatnonzero(self.ends[ids]) + 1  # the last token of each word
+            if len(last) != len(group) or last[-1] != len(ids):
+                out += [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(group, add_special_tokens=False)]
+                continue
+            raw, cuts = ids.tobytes(), (last * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
     def forget(self) -> None:
         """Let go of the words of a task that has ended."""
         self.known = {}
