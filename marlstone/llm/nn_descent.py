@@ -19,8 +19,9 @@ and where the audit asks for it: it compares fixed rows with all rows and takes
 links found for each row, apart for rows with few and with many of them; below ``RECALL`` the
 search is given up for the exact comparison.
 
-Cases: vectors that are null, empty or zero or hold null or non-finite components, or differ in
-length from most others, link with nothing; equal vectors link with cosine one; rows with one
+Cases: vectors that are null, empty or zero or hold null or non-finite components link with nothing;
+vectors of different lengths never link, and those of other lengths than the commonest are compared
+with all of their own length; equal vectors link with cosine one; rows with one
 vec_id are separate rows of one vector id; an empty table gives no row; extra columns are
 ignored.
 """
@@ -141,10 +142,10 @@ def _descend(graph: DataFrame, units_: DataFrame, least: float, threshold: float
             break
         both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         both = both.unionByName(both.select("u", F.col("u").alias("v")).distinct())
-        loaded = both.join(units_.select(F.col("row").alias("v"), "unit"), "v")
-        # a vector that very many have as neighbour is met in parts
-        wide = loaded.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("u")) / F.lit(4 * GROWN)))
-        wide = wide.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+        # a vector that very many have as neighbour is met in parts, told apart before vectors are loaded
+        sizes = both.groupBy("u").agg(F.ceil(F.count("*") / F.lit(4 * GROWN)).alias("parts"))
+        parted = both.join(sizes, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+        wide = parted.join(units_.select(F.col("row").alias("v"), "unit"), "v")
         found = wide.groupBy("u", "part").applyInPandas(local, "u long, v long, sim double")
         graph = materialise(_top(graph.unionByName(found), threshold), "graph")
         before, size = size, graph.count()
@@ -262,30 +263,35 @@ def _searched(live: DataFrame, buckets: DataFrame, threshold: float, rounds: int
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, rounds: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+    """vec_id, n_links, component_id, kept for every row, and the recall that the audit measured for
+    the whole table (1 where all vectors were compared)."""
     whole = materialise(units(vectors, id_col, vector_col), "units")
-    # vectors of another length than most link with nothing
-    length = whole.where("unit IS NOT NULL").groupBy(F.length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    played = F.length("unit") == (length["n"] if length else 0)
-    reps = whole.where(played).groupBy("unit").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.min("vec_id").alias("low_id"))
+    reps = whole.where("unit IS NOT NULL").groupBy("unit").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.min("vec_id").alias("low_id"))
     reps = materialise(reps, "distinct-units")
-    live = reps.select("row", "unit", "weight")
+    # the commonest length is searched; vectors of any other length are compared with all of theirs
+    length = reps.groupBy(F.length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    common = F.length("unit") == (length["n"] if length else 0)
+    live = reps.where(common).select("row", "unit", "weight")
+    odd = reps.where(~common).select("row", "unit", "weight", F.length("unit").cast("long").alias("root"))
     count = live.count()
     bits, tables = tables_for(count, threshold)
-    links = None
+    links, measured = None, 1.0
     if tables * (count / 2**bits) < count:
         buckets = _buckets(live, bits, tables)
         met = buckets.groupBy("root").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
         if met < float(count) ** 2:
             links = _searched(live, buckets, threshold, rounds)
-            if recall(live, _counts(links), threshold) < RECALL:
-                links = None
+            measured = recall(live, _counts(links), threshold)
+            if measured < RECALL:
+                links, measured = None, 1.0
     if links is None:
         links = _exact(live.withColumn("root", F.lit(0).cast("long")), threshold)
+    if not odd.isEmpty():
+        links = links.unionByName(_exact(odd, threshold))
     roots = connected_components(links.where("other IS NOT NULL"), "row", "other").withColumnRenamed("node", "row")
     lowest = roots.join(reps, "row").groupBy("root").agg(F.min("low_id").alias("component_id"))
     member = reps.join(roots.join(lowest, "root"), "row", "left").join(_counts(links), "row", "left")
     member = member.select("unit", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "low_id").alias("component_id"))
-    out = whole.select("vec_id", F.when(played, F.col("unit")).alias("unit")).join(member, "unit", "left")
+    out = whole.join(member, "unit", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("recall", F.lit(measured))
