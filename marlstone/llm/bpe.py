@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import release, ship_code, text_or_empty
+from .common import id_columns, ids_of, longs, release, ship_code, text_or_empty
 
 PREFIXES = 300_000  #: prefixes remembered
 PAIRS = 300_000  #: compatibility answers remembered
@@ -229,10 +229,10 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
                     decoded.append(hashlib.sha256(" ".join([as_text[k] for k in own]).encode("utf-8", "surrogatepass")).hexdigest())
                     words.append(n)
                     at += n
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": digests, "decoded_sha256": decoded, "n_words": words})
+            yield pd.DataFrame({"doc_id": longs(ids_of(pdf)), "n_tokens": counts, "ids_sha256": digests, "decoded_sha256": decoded, "n_words": words})
         coder.forget()
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(
+    return docs.select(*id_columns(id_col), text_or_empty(text_col).alias("text")).mapInPandas(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long"
     )

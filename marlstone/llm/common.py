@@ -7,6 +7,7 @@ import gc
 import hashlib
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,22 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def id_columns(id_col: str) -> list[Column]:
+    """An id for Python workers, where a null among longs would make all of them inexact: the id or 0,
+    and whether it is null.  ``ids_of`` gives them back."""
+    known = F.col(id_col).cast("long")
+    return [F.coalesce(known, F.lit(0)).alias("doc_id"), known.isNull().alias("no_id")]
+
+
+def ids_of(pdf: pd.DataFrame) -> list[int | None]:
+    return [None if null else name for name, null in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist())]
+
+
+def longs(values: list[int | None]):
+    """Longs, nulls among them, without a way through floats."""
+    return pd.array(values, "Int64")
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """One key, never null, for the rows with the same id and the same text: what an operator
     finds for a row follows from these two.  ``row_key_of`` is the same in Python."""

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code, text_or_empty
+from .common import id_columns, ids_of, longs, ship_code, text_or_empty
 
 WIDTH = 192
 ROWS = 1024  #: rows of samples in a frame at most
@@ -264,7 +264,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for name, text in zip(pdf["doc_id"], pdf["text"]):
+            for name, text in zip(ids_of(pdf), pdf["text"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 media = encode(payload_of(raw))
                 samples, hist, duration, count = [], np.zeros(BINS, np.int64), 0, 0
@@ -274,16 +274,16 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     duration += frame.delay_ms
                     count += 1
                 back = b"".join(samples)
-                row = (None if pd.isna(name) else int(name), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, hist.tolist())), count, duration)
+                row = (name, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, hist.tolist())), count, duration)
                 rows.append((*row, media) if with_media else row)
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            frame["doc_id"] = longs([r[0] for r in rows])
             yield frame
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long"
     if with_media:
         schema += ", media binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(*id_columns(id_col), text_or_empty(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def frame_columns(media: DataFrame, id_col: str, media_col: str) -> DataFrame:

@@ -25,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import tokens
-from .common import release, ship_code, text_or_empty
+from .common import id_columns, ids_of, longs, release, ship_code, text_or_empty
 
 WINDOW = 4096
 PROMPT = 16  #: tokens at a document's start that bear no loss
@@ -149,15 +148,15 @@ def pack(
             for k in done:
                 del held[k]
             frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            frame["doc_id"] = longs([r[0] for r in out])
             return frame
 
         for pdf in batches:
             for lo in range(0, len(pdf), WINDOW):
                 part = pdf.iloc[lo : lo + WINDOW]
                 places = []
-                for name, ids in zip(part["doc_id"], codec.encode(part["text"].tolist())):
-                    held[count] = (None if pd.isna(name) else int(name), np.append(ids, ids.dtype.type(end_id)))
+                for name, ids in zip(ids_of(part), codec.encode(part["text"].tolist())):
+                    held[count] = (name, np.append(ids, ids.dtype.type(end_id)))
                     places += packer.add(count, len(ids) + 1)
                     count += 1
                 places += packer.fill(last=False)
@@ -166,4 +165,4 @@ def pack(
         codec.forget()
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(*id_columns(id_col), text_or_empty(text_col).alias("text")).mapInPandas(run, SCHEMA)

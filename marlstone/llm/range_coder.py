@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise, release, ship_code, text_or_empty
+from .common import id_columns, ids_of, longs, materialise, release, ship_code, text_or_empty
 
-BLOCK = 2048
-LANES = 2048
+BLOCK = 1024
+LANES = 8192
 FILE_IDS = BLOCK * LANES
 MAGIC = b"MLTK2\n"
-NODES = 12  #: bits of a tree node's place in a lane's counters
-SLOTS = 11  #: bits of a context's place among a lane's guesses
+NODES = 11  #: bits of a tree node's place in a lane's counters
+SLOTS = 10  #: bits of a context's place among a lane's guesses
 DEEPEST = 28  #: bits of a code, at most
 LIMIT = 127  #: sightings after which a counter learns no slower
 ONE = 1 << 16
@@ -143,8 +143,10 @@ class Coder:
         mid = self.low + ((self.high - self.low) >> 16) * p
         if self.reading:
             bit = self.value <= mid
-        self.high = np.where(bit, mid, self.high)
-        self.low = np.where(bit, self.low, mid + 1)
+        yes = bit.view(np.int8).astype(np.int64)
+        self.high += (mid - self.high) * yes
+        mid += 1
+        self.low += (mid - self.low) * (1 - yes)
         who = np.flatnonzero((self.low ^ self.high) < (1 << 32))
         while len(who):
             low = self.low[who]
@@ -264,7 +266,7 @@ def _run(code: Code, sizes: np.ndarray, places: np.ndarray | None, coder: Coder)
         id1, id2 = np.maximum((guess1 >> 3) - 1, 0), np.maximum((guess2 >> 3) - 1, 0)
         way1[done], size1[done], luck1[done] = path[id1], length[id1], guess1 & 7
         way2[done], size2[done], luck2[done] = path[id2], length[id2], guess2 & 7
-        # after one id a guess counts once it was right
+        # after one id a guess counts once it was right, after two at once
         live[done] = (guess1 & 7 > 0) | (guess2 > 0) << 1
         node[done], depth[done] = 1, 0
         here += 1
@@ -359,11 +361,11 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
             return pd.DataFrame({"run": [part], "file": [number], "n_ids": [len(ids)], "documents": [zlib.compress(table)], "data": [write_file(ids)]})
 
         for pdf in frames:
-            at = 0
+            at, known = 0, ids_of(pdf)
             for batch in tokens.batches(pdf["text"].tolist(), tokens.PIECE * 2):
-                for name, ids in zip(pdf["doc_id"].iloc[at : at + len(batch)], codec.encode(batch)):
+                for name, ids in zip(known[at : at + len(batch)], codec.encode(batch)):
                     held.append(np.append(ids, ids.dtype.type(end_id)))
-                    names.append((pd.isna(name), 0 if pd.isna(name) else int(name), len(ids) + 1))
+                    names.append((name is None, name or 0, len(ids) + 1))
                     size += len(ids) + 1
                 at += len(batch)
                 if size >= FILE_IDS:
@@ -375,7 +377,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
         release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_col).alias("_tie"))
-    placed = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    placed = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select(*id_columns("doc_id"), "text")
     return materialise(placed.mapInPandas(run, "run int, file int, n_ids long, documents binary, data binary"), "tokens")
 
 
@@ -402,7 +404,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     rows.append((part, number, None if null else name, at, n, zlib.crc32(ids[at : at + n].tobytes())))
                     at += n
                 out = pd.DataFrame(rows, columns=["run", "file", "doc_id", "at", "n_tokens", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
+                out["doc_id"] = longs([r[2] for r in rows])
                 yield out
         release()
 

@@ -1,8 +1,8 @@
 """Sharding by a keyed permutation of global row numbers, with DataFrame functions only.
 
-Rows get their number in the order of (key, content hash).  A balanced Feistel network over
-Z_a x Z_b, with a * b just above the row count, permutes the numbers; values at or past the
-count walk the cycle on until they fall inside, so the result is a permutation of
+Rows get their number in the order of (key, content hash).  A Feistel network over Z_a x Z_b, with
+a * b as near above the row count as sides of a like size allow, permutes the numbers; values at or
+past the count walk the cycle on until they fall inside, so the result is a permutation of
 0..n-1.  Position p lies in shard ``p mod shards`` at slot ``p div shards``: shard counts
 differ by one at most, and shard and slot follow from the row number alone (and back, by
 ``row_number_at``).
@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 ROUNDS = 4
+TRIED = 8192  #: sides that are tried
 
 
 def _sides(n: int) -> tuple[int, int]:
-    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
-    return a, max(1, -(-max(n, 1) // a))
+    """Two sides, neither over about twice the other, whose product is n or least above it."""
+    n = max(n, 1)
+    root = math.isqrt(n - 1) + 1
+    return min(((a, -(-n // a)) for a in range(max(1, root // 2 + 1, root - TRIED), root + 1)), key=lambda x: (x[0] * x[1], -x[0]))
 
 
 def _round(half: Column, r: int, key: int, modulus: int) -> Column:
@@ -56,17 +59,15 @@ def _unfeistel(v: Column, a: int, b: int, key: int) -> Column:
 
 
 def _walk(v: Column, n: int, key: int, step) -> Column:
-    """Cycle walking.  At most a*b - n < sqrt(n) + 1 values lie outside, so a walk from inside
-    has at most that many steps more; past 64 such values the chance that a walk is longer
-    than 24 steps is below n * n**-12."""
+    """Cycle walking, to the end: a cycle visits each of the a * b - n values outside once at most, so
+    a walk from inside has no more steps than these."""
     a, b = _sides(n)
     outside = a * b - n
     first = step(v, a, b, key)
     if not outside:
         return first
-    more = outside if outside <= 64 else 24
     return F.when(first < n, first).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.lit(more)), first, lambda p, _: F.when(p < n, p).otherwise(step(p, a, b, key)))
+        F.aggregate(F.sequence(F.lit(1), F.lit(outside)), first, lambda p, _: F.when(p < n, p).otherwise(step(p, a, b, key)))
     )
 
 

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, materialise, release, row_key_from, row_key_of, shared_folder, ship_code
+from .common import forget, fresh, longs, materialise, release, row_key_from, row_key_of, shared_folder, ship_code
 
 CHUNK = 2 << 20  #: bytes of text in a chunk
 BUCKETS = 256  #: of ranks, at least
@@ -415,7 +415,7 @@ def _cut(c: Chunk, one, two, buckets: int, keyed: bool) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "key"])
     if not keyed:
         del out["key"]
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    out["doc_id"] = longs([r[0] for r in rows])
     return out
 
 
