@@ -138,7 +138,7 @@ def test_packing(docs, rows, empty):
 
 
 def test_packing_limits():
-    p = packing.Packer(limit=100, segments=3, loss=60)
+    p = packing.Packer(limit=100, segments=3, loss=60, prompt=1)
     places = []
     for k in range(40):
         places += p.add(k, 1 + k * 7 % 130)
@@ -222,19 +222,151 @@ def test_token_files(docs, rows, empty):
     assert range_coder.read_tokens(range_coder.write_tokens(empty)).count() == 0
 
 
-def test_token_blocks_round_trip_and_damage():
-    rng = np.random.default_rng(0)
-    for n in (1, 5, 4096, 4097, 30000):
-        ids = np.minimum(rng.zipf(1.3, n), 49407)
-        ids[n // 2 :] = ids[: n - n // 2]
-        data = range_coder.write_file(ids)
-        assert (range_coder.read_file(data) == ids).all()
-        if n == 30000:
-            assert len(data) < 1.8 * n
-            bad = bytearray(data)
-            bad[len(bad) // 2] ^= 16
-            with pytest.raises((ValueError, IndexError)):
+@pytest.mark.parametrize("n", [0, 1, 5, 2047, 2048, 2049, 30000])
+def test_token_blocks_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids in (np.minimum(rng.zipf(1.3, n), 49407), np.full(n, 7), rng.integers(0, 1 << 32, n), np.tile(rng.integers(0, 50000, 300), n // 300 + 1)[:n]):
+        assert (range_coder.read_file(range_coder.write_file(ids)) == ids).all()
+
+
+def test_token_blocks_beat_a_general_coder(rows):
+    """Against zstandard on the same blocks, for ids that recur."""
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, 60000), 49407)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    plain = sum(len(pack(ids[k : k + range_coder.BLOCK].astype("<u2").tobytes())) for k in range(0, len(ids), range_coder.BLOCK))
+    assert len(range_coder.write_file(ids)) < 0.9 * plain
+
+
+def test_order_one_and_two_predict():
+    """What follows from the last one or two ids costs next to nothing, though each id is as frequent."""
+    rng = np.random.default_rng(2)
+    order = rng.permutation(4096)
+    cycle = np.concatenate([order] * 16)[: 1 << 16]
+    free = rng.integers(0, 4096, 1 << 16)
+    size = {}
+    for name, ids in (("cycle", np.tile(order[:100], 655)), ("free", rng.integers(0, 100, 65500))):
+        size[name] = len(range_coder.write_file(ids))
+    assert size["cycle"] < 0.45 * size["free"]
+    assert (range_coder.read_file(range_coder.write_file(cycle)) == cycle).all() and (range_coder.read_file(range_coder.write_file(free)) == free).all()
+
+
+def test_damaged_blocks_are_lost_alone():
+    ids = np.minimum(np.random.default_rng(0).zipf(1.3, 30000), 49407)
+    data = range_coder.write_file(ids)
+    whole = range_coder.read_blocks(data)
+    for at in range(len(data) // 2, len(data), 1777):
+        bad = bytearray(data)
+        bad[at] ^= 16
+        got = range_coder.read_blocks(bytes(bad))
+        lost = [k for k, b in enumerate(got) if b is None]
+        assert len(lost) <= 1 and all((a == b).all() for k, (a, b) in enumerate(zip(got, whole)) if k not in lost)
+        if lost:
+            with pytest.raises(ValueError):
                 range_coder.read_file(bytes(bad))
+    for at in range(0, 400, 13):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            range_coder.read_blocks(bytes(bad))
+    for cut in (0, 3, 25, 300):
+        with pytest.raises(ValueError):
+            range_coder.read_blocks(data[:cut])
+    assert sum(b is None for b in range_coder.read_blocks(data[:-100])) in (1, 2)
+    for wrong in ([-1], [1 << 32]):
+        with pytest.raises(ValueError):
+            range_coder.write_file(np.array(wrong))
+
+
+def _decoded(data):
+    """The format read decision by decision with plain integers: an independent decoder."""
+    import struct as st
+
+    at = len(range_coder.MAGIC)
+    count, total, size = st.unpack_from("<IQI", data, at)
+    at += 16
+    raw = zlib.decompress(data[at : at + size])
+    n = len(raw) // 5
+    symbols = sorted(zip(raw[4 * n :], st.unpack_from(f"<{n}I", raw)))
+    codes, value, before = {}, 0, symbols[0][0]
+    for length, symbol in symbols:
+        value <<= length - before
+        before = length
+        codes[length, value] = (symbol, len(codes))
+        value += 1
+    ways = {place: (length, path) for (length, path), (_, place) in codes.items()}
+    at += size
+    heads = [st.unpack_from("<III", data, at + 12 * k) for k in range(count)]
+    at += 12 * count + 4
+    out = []
+    for ids, words, _ in heads:
+        body = list(st.unpack_from(f"<{words // 2}H", data, at)) + [0] * 8
+        at += words
+        low, high, pos = 0, range_coder.MASK, 3
+        code = body[0] << 32 | body[1] << 16 | body[2]
+        nodes, guess, trust = {}, [{}, {}], [[32768] * 8, [49152] * 8]
+        weights = [[45000, 30000, 30000] for _ in range(16)]
+        last = [0, 0]
+        slots = [0, 0]
+        for _ in range(ids):
+            known = [guess[k].get(slots[k], 0) for k in (0, 1)] if _ else [0, 0]
+            luck = [g & 7 for g in known]
+            live = [luck[0] > 0, known[1] > 0]
+            node, depth = 1, 0
+            while True:
+                place = node * 40503 >> 2 & (1 << range_coder.NODES) - 1
+                odds, seen = nodes.get(place, (1 << 21, 0))
+                p0 = min(max(odds >> 6, 32), 65504)
+                p = p0
+                some = any(live)
+                if some:
+                    x, bits = [int(range_coder.STRETCH[p0 >> 4])], [0, 0]
+                    for k in (0, 1):
+                        length, path = ways[max((known[k] >> 3) - 1, 0)]
+                        bits[k] = path >> (length - 1 - depth) & 1 if live[k] else 0
+                        x.append(int(range_coder.STRETCH[trust[k][luck[k]] >> 4]) * (2 * bits[k] - 1) if live[k] else 0)
+                    w = weights[(live[1] * (1 + min(luck[1], 2))) * 4 + live[0] * (1 + min(luck[0], 2))]
+                    p = int(range_coder.SQUASH[min(max((sum(a * b for a, b in zip(w, x)) >> 16) + 2048, 1), 4095)])
+                mid = low + (high - low >> 16) * p
+                y = int(code <= mid)
+                low, high = (low, mid) if y else (mid + 1, high)
+                while (low ^ high) < 1 << 32:
+                    low, high = low << 16 & range_coder.MASK, (high << 16 & range_coder.MASK) | 0xFFFF
+                    code = (code << 16 & range_coder.MASK) | body[min(pos, len(body) - 1)]
+                    pos += 1
+                if some:
+                    err = ((y << 16) - p) * 10
+                    for k in range(3):
+                        w[k] += x[k] * err >> 20
+                    for k in (0, 1):
+                        if live[k]:
+                            right = bits[k] == y
+                            trust[k][luck[k]] += (right * 65535) - trust[k][luck[k]] >> 5
+                            live[k] = right
+                nodes[place] = (odds + ((y * ((1 << 22) - 1) - odds) * int(range_coder.RATE[seen]) >> 16), min(seen + 1, range_coder.LIMIT))
+                node, depth = node << 1 | y, depth + 1
+                if (depth, node - (1 << depth)) in codes:
+                    break
+            symbol, found = codes[depth, node - (1 << depth)]
+            out.append(symbol)
+            for k in (0, 1):
+                g = guess[k].get(slots[k], 0)
+                if g >> 3 == found + 1:
+                    guess[k][slots[k]] = g + (g & 7 < 7)
+                else:
+                    guess[k][slots[k]] = found + 1 << 3 if g & 7 == 0 else (g & ~7) | (g & 7) >> 1
+            last = [found + 1, last[0]]
+            a = last[0] * 40503
+            slots = [a >> 3 & (1 << range_coder.SLOTS) - 1, (a ^ last[1] * 210077) >> 4 & (1 << range_coder.SLOTS) - 1]
+    return out
+
+
+def test_token_file_by_a_plain_decoder():
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([np.minimum(rng.zipf(1.4, 1500), 3000), np.tile(rng.integers(0, 900, 60), 15), rng.integers(0, 50, 700)])
+    assert _decoded(range_coder.write_file(ids)) == ids.tolist()
 
 
 def test_sharding(docs, rows, empty):
@@ -453,3 +585,134 @@ def test_gif_rules():
 
 def test_all_registered():
     assert {k.split("_")[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_equal_hashes_do_not_join_words(spark):
+    """Thue-Morse words and their complements, which polynomial hashes confuse."""
+    lib = library()
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [t for n in (512, 1024, 2048, 4096) for w in (word[:n],) for t in (w, w.translate(str.maketrans("ab", "ba")))]
+    for codec in (tokens.WordCodec(tokens.default_vocabulary()), bpe.codec(tokens.default_vocabulary())):
+        assert [x.tolist() for x in codec.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.round_trip(df).collect()}
+    assert got == {k: hashlib.sha256(" ".join(map(str, lib.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for k, t in enumerate(texts)}
+
+
+def test_license_labels_by_brute_force(spark):
+    """Every label and detection of made-up notices, against Python's own regexes and a plain search for
+    containing detections."""
+    import re
+
+    rules = license_scan.rules()
+    rng = np.random.default_rng(4)
+    bits = ["Licensed under the", "GNU General Public License", "version 3", "Apache License, Version 2.0", "MIT License", "Creative Commons Attribution", "Share-Alike", "NonCommercial", "4.0", "all rights reserved", "CC BY-SA", "cc by", "SPDX-License-Identifier: MIT", "without warranty of any kind", "BSD 3-Clause", "words", "é", "(c) 2020 Copyright", "no derivatives", "public domain", "Mozilla Public License 2.0", "licence"]
+    texts = [" ".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(1, 14))) for _ in range(150)] + [None, "", "Creative Commons Attribution Share Alike", "license " * 700, "Creative Commons Attribution-NonCommercial"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df, spans=True).collect()}
+    for k, t in enumerate(texts):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        spaced = "".join(f" {w} " for w in words)
+        found = [(label, p, i, m.start(), m.end()) for i, (label, word, rx, p) in enumerate(rules) if word in words for m in re.finditer(rx, spaced)]
+        kept = [d for d in found if not any(o[3] <= d[3] and o[4] >= d[4] and (o[1] > d[1] or o[1] == d[1] and (o[4] - o[3] > d[4] - d[3] or o[3:] == d[3:] and o[2] < d[2])) for o in found)]
+        assert sorted((d["label"], d["priority"], d["rule"], d["a"], d["b"]) for d in got[k]["detections"]) == sorted(kept), t
+        assert got[k]["n_words"] == len(words)
+    assert got[len(texts) - 3]["labels"] == "cc-by-sa" and got[len(texts) - 1]["labels"] == "cc-by-nc" and got[len(texts) - 2]["n_detections"] == 700
+
+
+def test_feistel_by_brute_force(spark):
+    """The permutation again with plain integers, walked to the end."""
+    from pyspark.sql import functions as F
+
+    n = 97
+    a, b = sharding._sides(n)
+    hashed = {(h, r): v for h in range(max(a, b)) for r in range(sharding.ROUNDS) for v in [None]}
+    rows = spark.createDataFrame([(h, r) for h, r in hashed], "h long, r int")
+    for x in rows.select("h", "r", F.xxhash64("h", F.col("r"), F.lit(5)).alias("v")).collect():
+        hashed[x["h"], x["r"]] = x["v"]
+
+    def step(v):
+        left, right = divmod(v, b)
+        for r in range(sharding.ROUNDS):
+            if r % 2 == 0:
+                left = (left + hashed[right, r] % a) % a
+            else:
+                right = (right + hashed[left, r] % b) % b
+        return left * b + right
+
+    def walk(v):
+        v = step(v)
+        while v >= n:
+            v = step(v)
+        return v
+
+    got = {r["id"]: r["p"] for r in spark.range(n).select("id", sharding.permuted(F.col("id"), n, 5).alias("p")).collect()}
+    assert got == {v: walk(v) for v in range(n)} and sorted(got.values()) == list(range(n))
+    for size in (1, 2, 3, 10, 51282, 10**7 + 19):
+        x, y = sharding._sides(size)
+        assert 0 <= x * y - size and y <= 3 * x
+
+
+def test_packing_by_brute_force():
+    """Every choice of the packer, against a search over all items for the largest dot product."""
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        limit, seats, loss, prompt = 64, int(rng.integers(2, 7)), int(rng.integers(20, 65)), int(rng.integers(0, 9))
+        sizes = rng.integers(1, 90, rng.integers(1, 25)).tolist()
+        packer = packing.Packer(limit, seats, loss, prompt)
+        places = [x for k, n in enumerate(sizes) for x in packer.add(k, n)]
+        items = [list(x) for x in packer.pool]
+        places += list(packer.fill(last=False))
+        open_ = {}
+        for d, s, n, q, o in places:
+            open_.setdefault(q, []).append((d, s, n, o))
+        bears = lambda s, n: max(0, s + n - max(s, prompt))
+        for q, pieces in sorted(open_.items()):
+            assert sum(n for _, _, n, _ in pieces) <= limit and len(pieces) <= seats and sum(bears(s, n) for _, s, n, _ in pieces) <= loss
+            assert [o for *_, o in pieces] == np.cumsum([0, *[n for _, _, n, _ in pieces]])[:-1].tolist()
+            if pieces[0][1:3] and any([d, s] == x[:2] for d, s, *_ in pieces for x in items):  # one that fill() made
+                room, left, ears = limit, seats, loss
+                for d, s, n, _ in pieces:
+                    fit = [x for x in items if x[2] <= room and bears(x[1], x[2]) <= ears]
+                    best = max((x[2] * room / limit**2 + bears(x[1], x[2]) * ears / loss**2 for x in fit), default=None)
+                    mine = next(x for x in items if x[:2] == [d, s])
+                    if fit:
+                        assert abs(n * room / limit**2 + bears(s, n) * ears / loss**2 - best) < 1e-9 and n == mine[2]
+                    else:
+                        assert mine[2] == max(x[2] for x in items)
+                    room, left, ears = room - n, left - 1, ears - bears(s, n)
+                    mine[1] += n
+                    mine[2] -= n
+                    items = [x for x in items if x[2]]
+
+
+def test_vectors_of_several_lengths(spark):
+    """Rare lengths are compared among themselves."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(v) for v in rng.standard_normal(8)]) for k in range(20)] + [(50, [1.0, 2.0]), (51, [2.0, 4.0]), (52, [1.0, 2.1]), (53, [-1.0, 0.0]), (60, [1.0, 0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["recall"]) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k][:2] for k in (50, 51, 52, 53, 60)] == [(2, 50), (2, 50), (2, 50), (0, 53), (0, 60)] and got[0][2] == 1.0
+
+
+def test_toxic_dictionaries_are_trained():
+    """Both dictionaries come from zstandard's trainer, and held-out texts are told apart."""
+    rng = np.random.default_rng(6)
+    syllables = ["tha", "er", "on", "in", "re", "st", "nd", "ti", "ou", "es", "ing", "ea"]
+    word = lambda: "".join(syllables[k] for k in rng.integers(0, len(syllables), rng.integers(1, 4)))
+    bad = ["scoundrel", "wretched", "dimwit", "vermin", "buffoon"]
+
+    def text(toxic):
+        words = [word() for _ in range(120)]
+        for k in rng.integers(0, 120, 4) if toxic else ():
+            words[k] = bad[k % len(bad)]
+        return " ".join(words)
+
+    texts, labels = [text(k % 3 == 0) for k in range(600)], [int(k % 3 == 0) for k in range(600)]
+    model = toxicity.fit(texts, labels)
+    assert model.toxic and model.ordinary and any(w.encode() in model.toxic for w in bad) and not any(w.encode() in model.ordinary for w in bad)
+    wrong = sum((model.score(text(y)) >= 0.5) != y for y in [True, False] * 50)
+    assert wrong <= 4
+    assert toxicity.fit([], []).score("x") == 0.0 and toxicity.fit(["a"], [1]).score(None) == 0.0

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
+import pytest
 from marlstone.llm import common, simhash, suffix_dedup, toxicity
 
 
@@ -55,3 +56,32 @@ def test_odd_rows_simhash(spark):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+KINDS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, sf, stage):
+    assert stage(spark, spark.createDataFrame([], KINDS), sf).count() == 0
+
+
+def test_stages_on_repeated_rows_nulls_and_clashing_names(spark, sf):
+    shared = "a passage of well over fifty bytes that stands in several of these rows, as it is "
+    rows = [(1, shared + "one"), (2, shared + "two"), (2, shared + "three"), (2, shared + "three"), (None, shared + "four"), (None, shared + "four"), (2**63 - 1, shared + "five"), (5, None), (6, ""), (7, "quite another text")]
+    clash = ["n_removed", "_row_key", "_cut_key", "_kept_key", "_toxicity_score", "fp", "score", "key"]
+    df = spark.createDataFrame([(i, t, "en", "s", 3, *range(len(clash))) for i, t in rows], KINDS + "".join(f", {c} int" for c in clash))
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, df, sf)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    once = stages["simhash_dedup"](spark, df, sf)
+    assert once.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in once.collect()) == sorted(map(str, [1, 2, 2, None, 5, 7, 2**63 - 1]))
+    cut = stages["suffix_array_dedup"](spark, df, sf)
+    assert cut.columns == df.columns and cut.dtypes == df.dtypes
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_removed"]) for r in cut.collect()), key=str)
+    want = [(i is None, i or 0, t if i in (1, 5, 6, 7) else t[len(shared) :], 0) for i, t in rows]
+    assert got == sorted(want, key=str)
+    assert spark.catalog.listTables() == []
+    packed = stages["packing"](spark, df, sf)
+    assert packed.select("doc_id").distinct().count() == len({i for i, _ in rows})
