@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,17 +116,24 @@ def blocks(lines: list[str]) -> list[tuple[str, list[str]]]:
     return out
 
 
-def suppressed(boxes: list[tuple], limit: float) -> list[tuple]:
-    """Boxes (id, y1, x1, y2, x2) in order of preference that meet no kept one (SP02)."""
-    kept: list[tuple] = []
-    for b in boxes:
-        area = (b[3] - b[1]) * (b[4] - b[2])
-        for k in kept:
-            common = max(0, min(b[3], k[3]) - max(b[1], k[1])) * max(0, min(b[4], k[4]) - max(b[2], k[2]))
-            if common and common >= limit * (area + (k[3] - k[1]) * (k[4] - k[2]) - common):
-                break
-        else:
-            kept.append(b)
+def suppressed(boxes: list[tuple], limit: float, most: int | None = None) -> list[tuple]:
+    """Boxes (id, y1, x1, y2, x2) in order of preference that meet no kept one, to ``most`` of them
+    (SP02)."""
+    if not boxes:
+        return []
+    at = np.array([b[1:] for b in boxes], np.int64)
+    area = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
+    free = np.ones(len(boxes), bool)
+    kept = []
+    while len(kept) != most:
+        k = int(free.argmax())
+        if not free[k]:
+            break
+        kept.append(boxes[k])
+        sides = [np.minimum(at[:, i + 2], at[k, i + 2]) - np.maximum(at[:, i], at[k, i]) for i in (0, 1)]
+        common = np.clip(sides[0], 0, None) * np.clip(sides[1], 0, None)
+        free &= ~((common > 0) & (common >= limit * (area + area[k] - common)))
+        free[k] = False
     return kept
 
 
@@ -135,13 +143,15 @@ def per_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.Dat
 
 
 def rows_of(df: DataFrame, f: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """Any number of rows for each row, in Arrow batches."""
+    """Any number of rows for each row, in Arrow batches; a row is one dict, filled anew."""
     ship(df.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames):
         for pdf in frames:
-            yield pd.DataFrame([r for x in pdf.to_dict("records") for r in f(x)], columns=names)
+            columns = list(pdf.columns)
+            cells = [pdf[c].tolist() for c in columns]
+            yield pd.DataFrame([r for x in zip(*cells) for r in f(dict(zip(columns, x)))], columns=names)
 
     return df.mapInPandas(run, schema)
 
@@ -258,7 +268,7 @@ def fetch_pages(df: DataFrame, client: Callable[[list[int]], list[str]] | None =
 def nms(boxes: DataFrame, limit: float = 0.55, most: int = 60) -> DataFrame:
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        kept = suppressed(list(pdf[["box_id", "y1", "x1", "y2", "x2"]].itertuples(index=False, name=None)), limit)[:most]
+        kept = suppressed(list(pdf[["box_id", "y1", "x1", "y2", "x2"]].itertuples(index=False, name=None)), limit, most)
         return pd.DataFrame({"page": pdf["page"].iloc[0], "box_id": [k[0] for k in kept]})
 
     return per_group(boxes, ["page"], group, "page long, box_id long")
@@ -325,18 +335,47 @@ def _html(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.expr(f"concat('<table>', array_join(array_sort(collect_list({cells})), ''), '</table>')").alias("html"))
 
 
+# -- what must come out, as SQL of its own ---------------------------------------------------------
+
+LINES = "SELECT l_orderkey AS page_id, l_partkey, l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY concat('<tr><td rowspan=2>', l_partkey, '</td><td>', l_suppkey, '</td></tr><tr><td colspan=2>', l_returnflag, '</td></tr>')) - 1 AS i FROM @lineitem"
+GRID = f"SELECT page_id, CAST(0 AS BIGINT) AS table_no, CAST(2 * i + r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no, CASE WHEN c = 0 THEN CAST(l_partkey AS VARCHAR) WHEN r = 1 THEN l_returnflag WHEN c = 1 THEN CAST(l_suppkey AS VARCHAR) ELSE '' END AS text FROM ({LINES}) t CROSS JOIN (VALUES (0), (1)) a(r) CROSS JOIN (VALUES (0), (1), (2)) b(c)"
+COUNTS = "SELECT l_orderkey AS id, count(*) AS n FROM @lineitem GROUP BY l_orderkey"
+ORDERED = "SELECT CAST(page AS BIGINT) AS page, CAST(box_id AS BIGINT) AS box_id, CAST(y1 AS BIGINT) AS y1, CAST(x1 AS BIGINT) AS x1, CAST(y2 AS BIGINT) AS y2, CAST(x2 AS BIGINT) AS x2, row_number() OVER (PARTITION BY page ORDER BY {order}) AS i FROM @v_boxes"
+#: Greedy choice, box by box: a list of the kept ones goes along.
+NMS = f"""WITH RECURSIVE o AS ({ORDERED.format(order="score DESC, box_id")}),
+g(page, i, kept) AS (SELECT page, i, [struct_pack(b := box_id, y1 := y1, x1 := x1, y2 := y2, x2 := x2)] FROM o WHERE i = 1
+UNION ALL SELECT o.page, o.i, CASE WHEN len(kept) >= 60 OR len(list_filter(kept, lambda k: greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1)) * greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) > 0
+AND greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1)) * greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) >= 0.55 * ((k.y2 - k.y1) * (k.x2 - k.x1) + (o.y2 - o.y1) * (o.x2 - o.x1) - greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1)) * greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1))))) > 0
+THEN kept ELSE list_append(kept, struct_pack(b := o.box_id, y1 := o.y1, x1 := o.x1, y2 := o.y2, x2 := o.x2)) END FROM g JOIN o ON o.page = g.page AND o.i = g.i + 1)
+SELECT page, unnest(kept).b AS box_id FROM (SELECT page, arg_max(kept, i) AS kept FROM g GROUP BY page) e"""
+MERGED = f"""WITH RECURSIVE o AS ({ORDERED.format(order="y1, x1, box_id")}),
+g(page, i, box_id, line, a, b) AS (SELECT page, i, box_id, CAST(1 AS BIGINT), y1, y2 FROM o WHERE i = 1
+UNION ALL SELECT o.page, o.i, o.box_id, CASE WHEN abs(o.y1 - a) <= 3 AND abs(o.y2 - b) <= 3 THEN line ELSE line + 1 END, CASE WHEN abs(o.y1 - a) <= 3 AND abs(o.y2 - b) <= 3 THEN least(a, o.y1) ELSE o.y1 END, CASE WHEN abs(o.y1 - a) <= 3 AND abs(o.y2 - b) <= 3 THEN greatest(b, o.y2) ELSE o.y2 END FROM g JOIN o ON o.page = g.page AND o.i = g.i + 1)
+SELECT page, box_id, line FROM g"""
+NEAR = f"""WITH RECURSIVE o AS ({ORDERED.format(order="y1, x1, box_id")}),
+g(page, i, box_id, kept, y1, x1, y2, x2) AS (SELECT page, i, box_id, true, y1, x1, y2, x2 FROM o WHERE i = 1
+UNION ALL SELECT page, i, box_id, NOT same, CASE WHEN same THEN a ELSE y1 END, CASE WHEN same THEN b ELSE x1 END, CASE WHEN same THEN c ELSE y2 END, CASE WHEN same THEN e ELSE x2 END FROM
+(SELECT o.*, g.y1 AS a, g.x1 AS b, g.y2 AS c, g.x2 AS e, (abs(o.y1 - g.y1) <= 5 AND abs(o.x1 - g.x1) <= 5 AND abs(o.y2 - g.y2) <= 5 AND abs(o.x2 - g.x2) <= 5) OR (g.y1 <= o.y1 AND g.x1 <= o.x1 AND g.y2 >= o.y2 AND g.x2 >= o.x2) AS same FROM g JOIN o ON o.page = g.page AND o.i = g.i + 1) x)
+SELECT page, box_id FROM g WHERE kept"""
+SCOPES = """WITH RECURSIVE v AS (SELECT record_id AS doc_id, page, list_sort(list_distinct(list(scaffold_ref))) AS own FROM @v_relations GROUP BY record_id, page), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM v),
+g(doc_id, page, i, scope, reason, known) AS (SELECT doc_id, page, i, CAST(1 AS BIGINT), 'start', own FROM o WHERE i = 1
+UNION ALL SELECT doc_id, page, i, scope + CASE WHEN r = '' THEN 0 ELSE 1 END, r, CASE WHEN r = '' THEN list_sort(list_distinct(list_concat(known, own))) ELSE own END FROM
+(SELECT o.*, g.scope, g.known, CASE WHEN o.page > g.page + 1 THEN 'gap' WHEN len(g.known) > 0 AND len(o.own) > 0 AND NOT list_has_any(g.known, o.own) THEN 'no overlap' ELSE '' END AS r FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1) x)
+SELECT doc_id, page, scope, reason, array_to_string(known, ' ') AS known FROM g"""
+#: Every page of these has a line, a table of 2 + n lines, a line, a table of one line, and a line.
+BLOCKS = f"SELECT id AS doc_id, CAST(b AS BIGINT) AS block, CASE WHEN b IN (1, 3) THEN 'pipe_table' ELSE 'text' END AS kind, CAST(CASE WHEN b = 1 THEN 2 + n ELSE 1 END AS BIGINT) AS n_lines FROM ({COUNTS}) t CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(b)"
+
 frame = catalogue.frame
-frame("src08_html_tables")(lambda s, d: table_cells(_html(s, d)))
-frame("tx13_grid")(lambda s, d: table_cells(_html(s, d)).groupBy("page_id", "table_no").agg(F.max("row_no").alias("last_row"), F.max("col_no").alias("last_col")))
-frame("tx12_blocks")(lambda s, d: rows_of(catalogue.load(s, d, "v_tables").select("doc_id", "markdown"), lambda r: ((r["doc_id"], k, b[0], len(b[1])) for k, b in enumerate(blocks(r["markdown"].split("\n")))), "doc_id long, block long, kind string, n_lines long"))
+frame("src08_html_tables", lambda d: GRID)(lambda s, d: table_cells(_html(s, d)))
+frame("tx13_grid", lambda d: f"SELECT id AS page_id, CAST(0 AS BIGINT) AS table_no, CAST(2 * n - 1 AS BIGINT) AS last_row, CAST(2 AS BIGINT) AS last_col FROM ({COUNTS}) t")(lambda s, d: table_cells(_html(s, d)).groupBy("page_id", "table_no").agg(F.max("row_no").alias("last_row"), F.max("col_no").alias("last_col")))
+frame("tx12_blocks", lambda d: BLOCKS)(lambda s, d: rows_of(catalogue.load(s, d, "v_tables").select("doc_id", "markdown"), lambda r: ((r["doc_id"], k, b[0], len(b[1])) for k, b in enumerate(blocks(r["markdown"].split("\n")))), "doc_id long, block long, kind string, n_lines long"))
 frame("tx14_text_chunks")(lambda s, d: chunk_text(s.read.parquet(f"{d}/documents.parquet"), 1000))
 frame("tx17_page_chunks")(lambda s, d: page_chunks(catalogue.load(s, d, "v_tables").selectExpr("doc_id", "markdown AS text"), 400))
-frame("tx16_html_chunks")(lambda s, d: _html(s, d).selectExpr("page_id", "posexplode(regexp_extract_all(html, '(?is)<tr.*?</tr>', 0)) AS (i, tr)").groupBy("page_id", F.floor(F.col("i") / 12).alias("chunk")).agg(F.count("*").alias("n_rows")))
-frame("sp02_nms")(lambda s, d: nms(_boxes(s, d)))
-frame("wn03_scopes")(lambda s, d: scopes(catalogue.load(s, d, "v_relations").groupBy(F.col("record_id").alias("doc_id"), "page").agg(F.sort_array(F.collect_set("scaffold_ref")).alias("variables"))))
-frame("wn06_line_merge")(lambda s, d: merged_lines(_boxes(s, d)))
-frame("wn07_near_blocks")(lambda s, d: distinct_blocks(_boxes(s, d)))
-frame("ml01_text_task")(lambda s, d: run_task(s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS id", "text AS prompt")))
-frame("ml07_retry")(lambda s, d: run_task(s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS id", "lang AS prompt"), operation=lambda p: "{}" if p == "en" else "no json"))
-frame("ud01_resolver")(lambda s, d: resolve(catalogue.load(s, d, "v_resolved"), lambda raw: None))
-frame("src03_ocr_scan")(lambda s, d: fetch_pages(catalogue.load(s, d, "v_assay_long").selectExpr("CAST(doc_id AS BIGINT) doc_id", "page")))
+frame("tx16_html_chunks", lambda d: f"SELECT id AS page_id, CAST(c AS BIGINT) AS chunk, CAST(least(12, 2 * n - 12 * c) AS BIGINT) AS n_rows FROM (SELECT id, n, unnest(generate_series(0, (2 * n - 1) // 12)) AS c FROM ({COUNTS}) t) u")(lambda s, d: _html(s, d).selectExpr("page_id", "posexplode(regexp_extract_all(html, '(?is)<tr.*?</tr>', 0)) AS (i, tr)").groupBy("page_id", F.floor(F.col("i") / 12).alias("chunk")).agg(F.count("*").alias("n_rows")))
+frame("sp02_nms", lambda d: NMS)(lambda s, d: nms(_boxes(s, d)))
+frame("wn03_scopes", lambda d: SCOPES)(lambda s, d: scopes(catalogue.load(s, d, "v_relations").groupBy(F.col("record_id").alias("doc_id"), "page").agg(F.sort_array(F.collect_set("scaffold_ref")).alias("variables"))))
+frame("wn06_line_merge", lambda d: MERGED)(lambda s, d: merged_lines(_boxes(s, d)))
+frame("wn07_near_blocks", lambda d: NEAR)(lambda s, d: distinct_blocks(_boxes(s, d)))
+frame("ml01_text_task", lambda d: "SELECT doc_id AS id, true AS ok, CAST(1 AS BIGINT) AS attempts, concat('{\"length\": ', length(coalesce(text, '')), '}') AS payload, '' AS error_type, '' AS error FROM @documents")(lambda s, d: run_task(s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS id", "text AS prompt")))
+frame("ml07_retry", lambda d: "SELECT doc_id AS id, lang = 'en' AS ok, CAST(CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS BIGINT) AS attempts, CASE WHEN lang = 'en' THEN '{}' ELSE '' END AS payload, CASE WHEN lang = 'en' THEN '' ELSE 'contract' END AS error_type FROM @documents")(lambda s, d: run_task(s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id AS id", "lang AS prompt"), operation=lambda p: "{}" if p == "en" else "no json").drop("error"))
+frame("src03_ocr_scan", lambda d: "SELECT DISTINCT doc_id, page, concat('page ', page) AS text FROM @v_assay_long")(lambda s, d: fetch_pages(catalogue.load(s, d, "v_assay_long").selectExpr("CAST(doc_id AS BIGINT) doc_id", "page")))

@@ -12,7 +12,6 @@ from ..plans.views import ORD
 from ..sources import files
 from ..sources.shipping import scratch, written
 from ..streaming import state
-from . import ids, merge, tasks  # noqa: F401  their views are read here
 from .sequential import resolve, rows_of, run_task
 
 frame = catalogue.frame

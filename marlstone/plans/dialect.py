@@ -189,6 +189,7 @@ class Catalogue:
         self.views: dict[str, Text] = {}
         self.texts: dict[str, Text] = {}
         self.frames: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.stated: dict[str, Text] = {}
         self.sql: dict[str, str] = {}
 
     def view(self, name: str) -> Callable[[Text], Text]:
@@ -208,7 +209,7 @@ class Catalogue:
                 raise ValueError(f"{name} stands twice")
             self.frames[name] = f
             if oracle is not None:
-                self.sql[name] = self.expand(oracle)
+                self.stated[name] = oracle
             return f
 
         return put
@@ -241,7 +242,7 @@ class Catalogue:
         return made | self.frames
 
     def oracle_sql(self) -> dict[str, str]:
-        return {n: self.expand(t) for n, t in self.texts.items()} | self.sql
+        return {n: self.expand(t) for n, t in (self.texts | self.stated).items()} | self.sql
 
 
 catalogue = Catalogue()
