@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import ids, merge, pages, rules, sequential, shipments, spatial, tables, tasks  # noqa: F401
+from .operators import ids, merge, pages, rules, sequential, services, shipments, spatial, tables, tasks  # noqa: F401
 from .plans.dialect import catalogue
 
 

@@ -408,3 +408,88 @@ def planned(decisions: Iterable[dict], pages: Sequence[int]) -> dict[int, int |
             if d.get("use_context") is True and isinstance(source, int) and not isinstance(source, bool) and source in known and source < page:
                 out[page] = source
     return out
+
+
+# -- markdown, locks, steps ---------------------------------------------------------------------
+
+#: Signs that Markdown would read as marks.
+MARKS = re.compile(r"[\\`*_#|>\-$+]")
+
+
+def escaped(text: str) -> str:
+    """A text whose signs and numbered beginnings Markdown leaves alone (SNK09)."""
+    return re.sub(r"(\d+)\.", r"\1\\.", MARKS.sub(lambda m: "\\" + m[0], text))
+
+
+def markdown(blocks: Iterable[dict], footers: bool = False) -> str:
+    """Blocks as Markdown, in order (SNK09): titles with their level, tables and figures as they are
+    given, footers only if wanted, anything else escaped."""
+    out = []
+    for b in blocks:
+        kind, text = b.get("type"), b.get("text") or ""
+        if kind == "title":
+            out.append("\n" + "#" * min(6, max(1, int(b.get("level") or 1))) + " " + " ".join(text.split("\n")) + "\n")
+        elif kind == "table":
+            out.append(text + "\n")
+        elif kind == "figure":
+            out.append(f"![{b.get('name') or 'figure'}]({b.get('name') or 'figure'})\n")
+        elif kind == "footer":
+            out.append(text if footers else escaped(text) + "\n")
+        else:
+            out.append(escaped(text) + "\n")
+    return "".join(out)
+
+
+def leases(events: Iterable[tuple[float, str, str, str, float]], least: float = 60) -> list[bool]:
+    """Whether each lock event takes effect (SM06).  Events, by time: (time, "acquire" or "release",
+    task, token, seconds).  A lock is free if nobody holds it or its time is over; it is held for at
+    least ``least`` seconds, and given back only by the token that holds it (an empty token: by
+    anyone)."""
+    held: dict[str, tuple[str, float]] = {}
+    out = []
+    for at, what, task, token, seconds in events:
+        owner, until = held.get(task, ("", -math.inf))
+        free = at >= until
+        if what == "acquire":
+            out.append(free)
+            if free:
+                held[task] = (token, at + max(least, seconds))
+        else:
+            gives = not free and token in ("", owner)
+            out.append(gives)
+            if gives:
+                del held[task]
+    return out
+
+
+def interruptible(step: Callable[[], object], timeout: float = 0, heartbeat: float = 1.0, cancelled: Callable[[], bool] = lambda: False, beat: Callable[[float], None] = lambda seconds: None, clock=None, wait=None):
+    """(outcome, value) of a step that runs beside its watcher (SM09): done, failed, cancelled or timeout.
+    The watcher looks for an end or a cancel at least every heartbeat; a step that is given up may
+    finish later, unheard."""
+    import queue
+    import threading
+    import time
+
+    clock, results = clock or time.monotonic, queue.Queue(1)
+
+    def run() -> None:
+        try:
+            results.put(("done", step()))
+        except Exception as e:  # noqa: BLE001  the step's own failure is its outcome
+            results.put(("failed", f"{type(e).__name__}: {e}"))
+
+    threading.Thread(target=run, daemon=True).start()
+    began = last = clock()
+    while True:
+        try:
+            return results.get(timeout=min(heartbeat, 0.05) if wait is None else wait)
+        except queue.Empty:
+            pass
+        now = clock()
+        if cancelled():
+            return "cancelled", None
+        if timeout > 0 and now - began > timeout:
+            return "timeout", None
+        if now - last >= heartbeat:
+            beat(now - began)
+            last = now

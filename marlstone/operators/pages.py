@@ -37,7 +37,6 @@ add("jn11_missing_decisions", lambda d: "SELECT w.doc_id, w.page, CASE WHEN g.n
 add("jn12_work_list", lambda d: "SELECT c.doc_id, c.page, a.assay FROM (SELECT DISTINCT doc_id, page FROM @v_assay_long) c CROSS JOIN (SELECT DISTINCT concat('IC', CAST(r_regionkey AS STRING)) AS assay FROM @region) a")
 add("src01_page_text", lambda d: f"SELECT doc_id, page, trim({d.replace_all('text', r'\s+', ' ')}) AS text FROM @v_lines")
 add("src02_page_count", lambda d: "SELECT doc_id, count(*) AS n_pages FROM @v_lines GROUP BY doc_id")
-add("src13_page_subset", lambda d: "SELECT doc_id, page, text FROM @v_lines WHERE page IN (1, 3, 4)")
 add("src11_layout_blocks", lambda d: "SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY y1, x1, box_id) AS place FROM @v_boxes")
 add("so05_block_order", lambda d: "SELECT page, box_id, y1, x1, rank() OVER (PARTITION BY page ORDER BY y1, x1) AS place FROM @v_boxes")
 add("tx43_page_delta", lambda d: "SELECT doc_id, page, CASE WHEN sum(a) > 0 AND sum(b) = 0 THEN 'removed' WHEN sum(a) = 0 THEN 'added' ELSE 'same' END AS change FROM (SELECT doc_id, page, CASE WHEN flag = 'A' THEN 1 ELSE 0 END AS a, CASE WHEN flag = 'A' THEN 0 ELSE 1 END AS b FROM @v_assay_long) t GROUP BY doc_id, page")

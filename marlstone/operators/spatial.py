@@ -22,4 +22,3 @@ add("tx33_flat_formula", lambda d: f"SELECT k, CAST(i AS BIGINT) AS i, {d.extrac
 add("tx07_head_tail", lambda d: "SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 500), '[...]', right(text, 460)) ELSE text END AS text FROM @documents")
 add("tx06_budgeted_context", lambda d: "SELECT doc_id, page, substring(text, 1, CAST(least(length(text), 600 - before) AS INT)) AS text, length(text) > 600 - before AS cut FROM (SELECT doc_id, page, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM @v_lines) t WHERE before < 600")
 add("tx23_page_candidates", lambda d: f"SELECT DISTINCT doc_id, page, w FROM (SELECT doc_id, page, lower(text) AS x FROM @v_lines) l {d.each(d.extract_all('x', '[0-9]+'), 'w')} WHERE length(w) <= 6")
-add("src16_tanimoto", lambda d: f"SELECT a.k, round({d.size(d.common('a.s', 'b.s'))} * 1e0 / ({d.size('a.s')} + {d.size('b.s')} - {d.size(d.common('a.s', 'b.s'))}), 6) AS similarity FROM (SELECT p_partkey AS k, p_size AS z, {d.distinct(d.split('p_name', ' '))} AS s FROM @part) a JOIN (SELECT p_partkey AS k, p_size AS z, {d.distinct(d.split('p_name', ' '))} AS s FROM @part) b ON a.z = b.z AND b.k = a.k + 100")

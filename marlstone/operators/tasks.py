@@ -30,7 +30,6 @@ add("jn15_reconcile", lambda d: f"SELECT q.n, CASE WHEN t.task_id IS NULL THEN '
 add("snk04_audit_rows", lambda d: "SELECT event_id, event_type AS task_name, value > 50 AS ok, substring(props, 1, 2000) AS preview FROM @events")
 add("snk05_zip_first_wins", lambda d: "SELECT filename, task_id FROM (SELECT filename, task_id, row_number() OVER (PARTITION BY filename ORDER BY n) AS k FROM @v_tasks) t WHERE k = 1")
 add("snk06_metadata_report", lambda d: f"SELECT type, {d.join_rows("concat('- ', task_id, chr(10), '  unit: ', coalesce(nullif(error, ''), 'not specified'))", chr(10), 'n')} AS report FROM @v_tasks GROUP BY type")
-add("snk08_warnings", lambda d: "SELECT event_id, 'contract' AS scope, payload AS error FROM @v_decisions WHERE payload = '{}'")
 add("snk09_markdown", lambda d: f"SELECT doc_id, {d.join_rows(d.replace_all('x', '([*_#])', '~$1'), chr(10), 'line')} AS markdown FROM @v_table_lines GROUP BY doc_id")
 add("so03_top_k", lambda d: "SELECT page, box_id FROM (SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS n FROM @v_boxes WHERE score > 0.05) t WHERE n <= 5")
 
