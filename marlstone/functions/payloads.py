@@ -64,23 +64,26 @@ def structure_id(value) -> dict[str, str | None]:
 
 
 def unwrapped(text: str | None) -> str:
-    """The text that a fence, a JSON object or a Python literal holds: the first id key with a value,
-    else any value (the unwrapping step of ID01)."""
+    """The text that a fence, JSON or a Python literal holds (the unwrapping step of ID01): of an object
+    the first id key with a text, else any value; of a list its first text; "none" and "null" are no
+    texts.  A text that holds nothing is itself."""
     value = fenced((text or "").strip())
-    found = _object(value)
-    if found is None and value[:1] in "{[('\"":
+    found: object = None
+    for read in (json.loads, ast.literal_eval):
         try:
-            found = ast.literal_eval(value)
+            found = read(value)
+            break
         except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return value
+            continue
     if isinstance(found, dict):
-        for item in [found[k] for k in ID_KEYS if k in found] + list(found.values()):
-            if item is not None and str(item).strip():
-                return unwrapped(str(item)) if not isinstance(item, (dict, list)) else str(item)
-        return ""
-    if isinstance(found, (list, tuple)) and len(found) == 1 and isinstance(found[0], (str, int)):
-        return str(found[0])
-    return found if isinstance(found, str) else value
+        items = [found[k] for k in ID_KEYS if k in found] + list(found.values())
+    else:
+        items = list(found) if isinstance(found, (list, tuple)) else [found] if isinstance(found, str) else []
+    for item in items:
+        inner = "" if item is None else unwrapped(str(item))
+        if inner and inner.lower() not in ("none", "null"):
+            return inner
+    return value
 
 
 def repaired_molblock(raw: str | None) -> str:

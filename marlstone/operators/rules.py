@@ -228,7 +228,7 @@ golden_rows("id10_model_ids", ["s"], "id string, role string, source string, con
 
 golden_rows("id01_literal_unwrap", ["s"], "held string", [
     (("{'COMPOUND_ID': 'Example {k}'}",), ("Example {k}",)), (("['{k}']",), ("{k}",)), (("'{k}b'",), ("{k}b",)), (('{"other": "x{k}"}',), ("x{k}",)),
-    (('```\n{"id": null, "answer": "9"}\n```',), ("9",)), (("[1, 2]",), ("[1, 2]",)), (("{broken",), ("{broken",)), ((" plain {k} ",), ("plain {k}",)), ((None,), ("",)),
+    (('```\n{"id": null, "answer": "9"}\n```',), ("9",)), (("[null, 1, 2]",), ("1",)), (("{}",), ("{}",)), (('{"id": "None", "x": ["b{k}"]}',), ("b{k}",)), (("{broken",), ("{broken",)), ((" plain {k} ",), ("plain {k}",)), ((None,), ("",)),
 ], lambda s: (P.unwrapped(s),))
 
 golden_rows("tx28_molblock", ["s"], "molblock string", [

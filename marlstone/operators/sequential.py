@@ -172,24 +172,29 @@ def table_cells(pages: DataFrame) -> DataFrame:
     return rows_of(pages.select("page_id", "html"), cells, "page_id long, table_no long, row_no long, col_no long, text string")
 
 
+def page_parts(text: str, limit: int, most_rows: int) -> list[str]:
+    """A page's own chunks: prose packed, tables alone, long pipe tables in parts with their header
+    lines (TX15, TX16)."""
+    made = []
+    for kind, own in blocks(text.split("\n")):
+        if kind == "text":
+            made += pack_text("\n".join(own), limit)
+        elif kind == "html_table":
+            made.append("\n".join(own))
+        else:
+            top = own[:2] if len(own) > 1 and re.fullmatch(r"[|: -]+", own[1].strip()) else own[:1]
+            rest = own[len(top) :]
+            made += ["\n".join([*top, *rest[k : k + most_rows]]) for k in range(0, max(1, len(rest)), most_rows)]
+    return made
+
+
 def page_chunks(pages: DataFrame, limit: int = 12000, most_rows: int = 12) -> DataFrame:
-    """A page's chunks: tables alone with their header lines, prose packed, the page's head
-    before later chunks (TX15 to TX17)."""
+    """A page's chunks, with the page's head before the later ones where there is room (TX17)."""
 
     def chunks(r):
         lines = (r["text"] or "").split("\n")
         head = "\n".join(lines[:8])[:600]
-        made = []
-        for kind, own in blocks(lines):
-            if kind == "text":
-                made += pack_text("\n".join(own), limit)
-            elif kind == "html_table":
-                made.append("\n".join(own))
-            else:
-                top = own[:2] if len(own) > 1 and re.fullmatch(r"[|: -]+", own[1].strip()) else own[:1]
-                rest = own[len(top) :]
-                made += ["\n".join([*top, *rest[k : k + most_rows]]) for k in range(0, max(1, len(rest)), most_rows)]
-        for k, x in enumerate(made):
+        for k, x in enumerate(page_parts(r["text"] or "", limit, most_rows)):
             yield r["doc_id"], k, x if k == 0 or len(head) + 1 + len(x) > limit else f"{head}\n{x}"
 
     return rows_of(pages.select("doc_id", "text"), chunks, "doc_id long, chunk long, text string")

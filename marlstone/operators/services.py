@@ -14,9 +14,9 @@ from ..functions import chemistry as H
 from ..functions import payloads as P
 from ..plans.dialect import catalogue
 from ..sources.shipping import ship
-from . import ids
+from . import ids, merge
 from .rules import PAGE_CONTRACT, golden_rows, laid_out, rows_by
-from .sequential import rows_of, run_task
+from .sequential import pack_text, page_parts, rows_of, run_task
 
 frame = catalogue.frame
 
@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Raw answers and their normal forms (ID01 with its literal branch).
 LITERALS = [
     (("{'COMPOUND_ID': 'Example {k}'}",), ("Example {k}",)), (("['Compound  {k}a']",), ("Compound {k}a",)), (('```json\n{"id": "see Example 1 and No. {k}"}\n```',), ("No. {k}",)),
-    (("the answer was (Example {k}),",), ("Example {k}",)), (('{"answer": {"x": 1}}',), ("'x': 1",)), ((None,), ("",)), (("'IV'",), ("IV",)),
+    (("the answer was (Example {k}),",), ("Example {k}",)), (('{"answer": {"x": 1}}',), ("1",)), ((None,), ("",)), (("'IV'",), ("IV",)),
 ]
 
 
@@ -240,3 +240,74 @@ def _src16_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("p_partkey") % len(AGAINST)).cast("int") + 1
     molecules = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*[F.lit(m[0]) for m in AGAINST]), at).alias("smiles"))
     return searched(molecules, "CCO", top=10).select("id", "similarity")
+
+
+# -- chunks --------------------------------------------------------------------------------------
+
+golden_rows("tx14_pack_text", ["s", "most"], "chunks string", [
+    (("One two. Three four. Five", 14), ("One two.|Three four.|Five",)), (("One two. Three four. Five", 20), ("One two. Three four.|Five",)), (("short {k}", 40), ("short {k}",)),
+    (("aaaa bbbb; cccc dddd eeee", 10), ("aaaa bbbb;|cccc dddd|eeee",)), (("abcdefghijkl", 5), ("abcde|fghij|kl",)), (("", 5), ("",)),
+], lambda s, most: ("|".join(pack_text(s or "", most)),))
+
+golden_rows("tx17_assemble_page", ["s", "most"], "chunks string", [
+    (("head\n| a | b |\n|--|--|\n| 1 | 2 |\n| 3 | 4 |\n| 5 | 6 |\ntail", 200), ("head~| a | b |/|--|--|/| 1 | 2 |/| 3 | 4 |~| a | b |/|--|--|/| 5 | 6 |~tail",)), (("only text", 200), ("only text",)), (("<table>\n<tr></tr>\n</table>\nafter", 200), ("<table>/<tr></tr>/</table>~after",)),
+], lambda s, most: ("~".join(x.replace("\n", "/") for x in page_parts(s, most, 2)),))
+
+
+# -- text operators over cases of their own ------------------------------------------------------
+
+
+def golden_text(name: str, names: list[str], schema: str, cases: list[tuple], text, **tables) -> None:
+    """As golden(), for an operator that is one SQL text: it reads the cases as ``@cases`` and other inputs
+    from the tables given (functions of a session)."""
+    golden_rows(name, names, schema, cases, lambda *c: ())
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = {"cases": laid_out(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", names, cases)} | {n: make(spark) for n, make in tables.items()}
+
+        def source(n: str) -> DataFrame:
+            return inputs[n] if n in inputs else catalogue.run(spark, catalogue.views[n], source)
+
+        return catalogue.run(spark, text, source)
+
+    catalogue.frames[name] = query
+
+
+def _one(d, expression: str, column: str = "raw") -> str:
+    return f"SELECT k, {d.let(f"coalesce({column}, '')", 'c', expression)} AS out FROM @cases"
+
+
+golden_text("id01_normal_forms", ["raw"], "norm string", [
+    (("  Example   {k} ",), ("Example {k}",)), (("see Example 1 and Compound {k}",), ("Compound {k}",)), (("(12a)",), ("(12a)",)), (('{"COMPOUND_ID": null, "value": "No. {k}"}',), ("No. {k}",)),
+    (("12-b;",), ("12-b",)), (("the model returned label (7) here",), ("the model returned label (7) here",)), (("so ... (7) !",), ("(7)",)), (("",), ("",)), ((None,), ("",)), (("a long text without any identifier in it at all",), ("a long text without any identifier in it at all",)),
+], lambda d: f"SELECT k, norm FROM ({ids.normalised(d, 'SELECT k, raw FROM @cases', 'raw')}) n")
+
+golden_text("id02_concise_forms", ["raw"], "out boolean", [
+    (("12a",), (True,)), (("Example {k}",), (True,)), (("no digits here",), (True,)), (("two words or more than four 1",), (False,)), (("the answer 1",), (False,)), (("",), (False,)), (("ab efgh",), (False,)), (("abc efgh",), (True,)), (("(1) ",), (False,)), (("1/2",), (True,)),
+], lambda d: _one(d, ids.concise(d, "c")))
+
+golden_text("id03_alias_tokens", ["raw"], "out string", [
+    (("Example {k}",), ("example{k}",)), (("(No. 7-B)",), ("no7b",)), (("化合物 3",), ("化合物3",)), (("--",), ("",)), ((None,), ("",)),
+], lambda d: _one(d, ids.token(d, "c")))
+
+golden_text("id04_part_forms", ["norm"], "prefix string, core string", [
+    (("Example {k}",), ("Example", "{k}")), (("Compound IVa",), ("Compound", "IVa")), (("12a",), ("", "12a")), (("(7)",), ("", "7")), (("实施例 5",), ("实施例", "5")), (("alpha beta",), ("", "")), (("Formula 3-x",), ("Formula", "3-x")),
+], lambda d: f"SELECT k, prefix, core FROM ({ids.parted(d, 'SELECT k, norm FROM @cases')}) p")
+
+
+def _officials(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(["Example 1", "Compound 5", "12", "Example 12", "7b"])), "ord long, compound_id string")
+
+
+golden_text("id07_resolved_forms", ["raw_id"], "canonical string, source string", [
+    (("1",), ("Example 1", "deterministic_alias")), (("Example 1",), ("Example 1", "exact_match")), (("Ex. 5",), ("Compound 5", "deterministic_alias")), (("(12)",), ("Example 12", "deterministic_preferred")),
+    (("Example 12",), ("Example 12", "exact_match")), (("7B",), ("7b", "deterministic_alias")), (("No. 12",), ("", "unresolved")), (("nothing like it",), ("", "unresolved")), (("",), ("", "empty")), (("Formula 7b",), ("7b", "deterministic_alias")),
+], lambda d: "SELECT c.k, r.canonical, r.source FROM @cases c JOIN @v_resolved r ON r.raw = c.raw_id", v_structures=_officials, v_assay_long=lambda spark: spark.createDataFrame([(r,) for r in ("1", "Example 1", "Ex. 5", "(12)", "Example 12", "7B", "No. 12", "nothing like it", "", "Formula 7b")], "raw_id string"))
+
+golden_text("tx19_value_forms", ["value"], "number string, unit string", [
+    (("{k} nM",), ("{k}", "nM")), (("< {k}.5 µM",), ("<{k}.5", "µM")), (("++",), ("++", "")), (("1.2 x 10^-3 M",), ("1.2x10^-3", "M")), (("{k}%",), ("{k}", "%")), (("-4 mg/mL",), ("-4", "mg/mL")), (("4 5 nM",), ("4 5 nM", "")), (("",), ("", "")),
+], lambda d: f"SELECT k, {merge.value_of(d, 'value')} AS number, {merge.unit_of(d, 'value')} AS unit FROM @cases")
+
+golden_text("tx20_name_forms", ["assay", "unit"], "name string", [
+    (("IC50", "nM"), ("IC50 (nM)",)), (("IC50 (nM)", "nM"), ("IC50 (nM)",)), (("", "nM"), ("Assay (nM)",)), (("Ki{k}", ""), ("Ki{k}",)), (("  ", ""), ("Assay",)), (("IC50 (uM)", "nM"), ("IC50 (uM) (nM)",)),
+], lambda d: f"SELECT k, {merge.column_of(d, 'assay', 'unit')} AS name FROM @cases")
