@@ -6,6 +6,7 @@ import ctypes
 import gc
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,19 +39,44 @@ def release() -> None:
         trim(0)
 
 
+_WORKING: list[list[DataFrame]] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and no
     executor's loss can take it away."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _WORKING:
+        _WORKING[-1].append(out)
+    return out
+
+
+def finished(tag: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; the tables that were written on the way are deleted."""
+    _WORKING.append([])
+    try:
+        result = materialise(make(), tag)
+    finally:
+        made = _WORKING.pop()
+    for table in made:
+        if table is not result:
+            forget(table)
+    if _WORKING:
+        _WORKING[-1].append(result)
+    return result
 
 
 def forget(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing will read it again."""
     sc = df.sparkSession.sparkContext
-    for f in df.inputFiles()[:1]:  # an empty table has a file, too
+    try:
+        files = df.inputFiles()[:1]  # an empty table has a file, too
+    except Exception:  # noqa: BLE001  it has been deleted already
+        return
+    for f in files:
         path = sc._jvm.org.apache.hadoop.fs.Path(f).getParent()
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_code
+from .common import finished, materialise, ship_code
 from .components import connected_components, forest
 
 MARGIN = 0.1
@@ -265,6 +265,10 @@ def _searched(live: DataFrame, buckets: DataFrame, threshold: float, rounds: int
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, rounds: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row, and the recall that the audit measured for
     the whole table (1 where all vectors were compared)."""
+    return finished("near-vectors", lambda: _near_duplicates(vectors, threshold, rounds, id_col, vector_col))
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, rounds: int, id_col: str, vector_col: str) -> DataFrame:
     whole = materialise(units(vectors, id_col, vector_col), "units")
     reps = whole.where("unit IS NOT NULL").groupBy("unit").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.min("vec_id").alias("low_id"))
     reps = materialise(reps, "distinct-units")

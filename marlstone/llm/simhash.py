@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, materialise, release, row_key, ship_code
+from .common import finished, fresh, materialise, release, row_key, ship_code
 from .components import connected_components, forest
 
 TILE = 2048
