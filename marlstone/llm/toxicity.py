@@ -53,7 +53,7 @@ def windows(raw: bytes, size: int = 64, stride: int = 48) -> list[bytes]:
 def telling_beginnings(toxic: list[bytes], ordinary: list[bytes], ratio: float = 20.0, shortest: int = 4, longest: int = 12) -> list[bytes]:
     """The shortest beginnings of words (or whole words) whose share of toxic documents is
     ``ratio`` times their share of ordinary ones, the most frequent first."""
-    least = max(3, len(toxic) // 100)
+    least = max(3, len(toxic) // 50)
 
     def cut(w: bytes) -> Iterator[bytes]:
         return (w[:n] for n in range(shortest, min(len(w), longest) + 1))
@@ -149,7 +149,7 @@ def fit(texts: list[str | None], labels: list[int], size: int = SIZE) -> Model:
     base = trained([w for t in ordinary for w in windows(t, 128, 128)], size, 64, 8)
     begin = set(telling_beginnings(toxic, ordinary))
     telling = [b" %s " % w for t in toxic for w in WORD.findall(t) if any(w[:n] in begin for n in range(4, 13))]
-    model = Model(trained(telling, TOXIC_SIZE, 16, 6), base)
+    model = Model(trained(telling, TOXIC_SIZE, 32, 6), base)
     x = np.array([model.features(r) for r, u in zip(raw, half[1]) if u])
     model.weights = _logistic(x, y[half[1]])
     return model
