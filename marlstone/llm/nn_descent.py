@@ -14,8 +14,8 @@ The connected parts of lists and forests bound where links can be, so the links
 inside each part, exactly and in double precision, by tiles: a pair of tiles gives a count for each
 vector and a spanning forest of the links, never the pairs themselves.
 
-All vectors are compared with all, by the same tiles, where the groups would save no comparisons,
-and where the audit asks for it: it compares fixed rows with all rows and takes the mean share of
+All vectors are compared with all, by the same tiles, where the groups would compare several times
+as many pairs, and where the audit asks for it: it compares fixed rows with all rows and takes the mean share of
 links found for each row, apart for rows with few and with many of them; below ``RECALL`` the
 search is given up for the exact comparison.
 
@@ -48,6 +48,7 @@ SAMPLE = 1024  #: vectors of the audit, of either kind,
 ENOUGH = 32  #: and more until so many of them have links,
 AUDIT = 8192  #: or these are compared
 RECALL = 0.99
+WASTE = 4  #: times all pairs that the groups may compare; beyond it their signs tell vectors too little apart
 
 
 def unit(values) -> np.ndarray | None:
@@ -279,15 +280,14 @@ def _near_duplicates(vectors: DataFrame, threshold: float, rounds: int, id_col:
     odd = reps.where(~common).select("row", "unit", "weight", F.length("unit").cast("long").alias("root"))
     count = live.count()
     bits, tables = tables_for(count, threshold)
+    buckets = _buckets(live, bits, tables)
+    met = buckets.groupBy("root").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
     links, measured = None, 1.0
-    if tables * (count / 2**bits) < count:
-        buckets = _buckets(live, bits, tables)
-        met = buckets.groupBy("root").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
-        if met < float(count) ** 2:
-            links = _searched(live, buckets, threshold, rounds)
-            measured = recall(live, _counts(links), threshold)
-            if measured < RECALL:
-                links, measured = None, 1.0
+    if met <= WASTE * float(count) ** 2:
+        links = _searched(live, buckets, threshold, rounds)
+        measured = recall(live, _counts(links), threshold)
+        if measured < RECALL:
+            links, measured = None, 1.0
     if links is None:
         links = _exact(live.withColumn("root", F.lit(0).cast("long")), threshold)
     if not odd.isEmpty():
