@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import id_columns, ids_of, longs, release, ship_code, text_or_empty
 
+WORDS = 800_000  #: words remembered by a worker, from task to task
 PREFIXES = 300_000  #: prefixes remembered
+SHARED = 64  #: letters of a prefix that is remembered, at most
 PAIRS = 300_000  #: compatibility answers remembered
 
 
@@ -152,40 +154,54 @@ class PrefixEncoder:
 
     # -- encoding -------------------------------------------------------------------------
 
-    def _last(self, state: int, i: int, last: list[int]) -> int:
+    def _last(self, state: int, i: int, before) -> int:
+        """The token that ends the encoding of a prefix of length i; before(j) is that of length j."""
         for t in self.ending[state]:
             n = self.length[t]
-            if n == i or n < i and last[i - n] >= 0 and self.compatible(last[i - n], t):
+            if n == i:
                 return t
+            if n < i:
+                left = before(i - n)
+                if left >= 0 and self.compatible(left, t):
+                    return t
         return -1
 
     def encode_word(self, word: str) -> list[int]:
-        letters = self.letters
-        body = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        if word.isascii() and word.isprintable():  # these bytes' letters are themselves
+            body = word
+        else:
+            body = "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
         n = len(body)
+        if not n:
+            return []
         head = body[:-1] if self.suffix else body
         known = self.prefixes
         if len(known) > PREFIXES:
             known = self.prefixes = {"": (0, -1)}
-        last, state = [-1], 0
-        for i in range(1, len(head) + 1):
-            prefix = head[:i] if i <= 64 else None  # longer prefixes aren't shared
-            got = known.get(prefix) if prefix is not None else None
-            if got is None:
+        if len(head) > SHARED:  # prefixes of long words aren't shared
+            last, state = [-1], 0
+            before = last.__getitem__
+            for i, c in enumerate(head, 1):
+                state = self._step(state, c)
+                last.append(self._last(state, i, before))
+        else:
+            # with a prefix all shorter ones are known
+            i = len(head)
+            while head[:i] not in known:
+                i -= 1
+            state = known[head[:i]][0]
+            before = lambda j: known[head[:j]][1]
+            for i in range(i + 1, len(head) + 1):
                 state = self._step(state, head[i - 1])
-                got = (state, self._last(state, i, last))
-                if prefix is not None:
-                    known[prefix] = got
-            state = got[0]
-            last.append(got[1])
-        if self.suffix:
-            last.append(self._last(self._step(state, body[-1] + self.suffix), n, last))
+                known[head[:i]] = (state, self._last(state, i, before))
+        t = self._last(self._step(state, body[-1] + self.suffix), n, before) if self.suffix else before(n)
         out, i = [], n
-        while i > 0:
-            t = last[i]
+        while True:
             out.append(t)
             i -= self.length[t]
-        return out[::-1]
+            if i <= 0:
+                return out[::-1]
+            t = before(i)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return [self.encode_word(w) for w in words]
@@ -196,7 +212,7 @@ _CODECS: dict[str, tokens.WordCodec] = {}
 
 def codec(path: str) -> tokens.WordCodec:
     if path not in _CODECS:
-        _CODECS[path] = tokens.WordCodec(path, PrefixEncoder(path).encode_words)
+        _CODECS[path] = tokens.WordCodec(path, PrefixEncoder(path).encode_words, WORDS)
     return _CODECS[path]
 
 
@@ -230,7 +246,6 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
                     words.append(n)
                     at += n
             yield pd.DataFrame({"doc_id": longs(ids_of(pdf)), "n_tokens": counts, "ids_sha256": digests, "decoded_sha256": decoded, "n_words": words})
-        coder.forget()
         release()
 
     return docs.select(*id_columns(id_col), text_or_empty(text_col).alias("text")).mapInPandas(

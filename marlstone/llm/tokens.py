@@ -91,7 +91,8 @@ def cut_words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordCodec:
     """Encodes batches; remembers a bounded number of distinct words."""
 
-    def __init__(self, path: str, encode_words: Callable[[list[str]], list[list[int]]] | None = None):
+    def __init__(self, path: str, encode_words: Callable[[list[str]], list[list[int]]] | None = None, memory: int = MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -112,7 +113,7 @@ class WordCodec:
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Packed ids of distinct words."""
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known = {}
         known = self.known
         new = [w for w in words if w not in known]
