@@ -71,5 +71,4 @@ def _cells(d):
 add("src09_pipe_tables", lambda d: "SELECT doc_id, table_no, row_no, col_no, text FROM @v_cells")
 add("tx08_strip_tables", lambda d: "SELECT doc_id, line, CASE WHEN is_row OR is_rule THEN '[table]' ELSE x END AS x FROM (SELECT *, lag(is_row OR is_rule) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM @v_table_lines) t WHERE NOT ((is_row OR is_rule) AND coalesce(before, false))")
 add("tx10_line_predicates", lambda d: f"SELECT doc_id, line, is_row, is_rule, (length(x) - length(replace(x, '|', '')) >= 2 AND NOT {d.matches('x', '^(#|[*] )')}) AS is_table_line, {d.matches('x', '[0-9] *(nM|uM|%)')} AS has_value FROM @v_table_lines")
-add("tx11_block_validity", lambda d: "SELECT doc_id, island, n_lines, n_cells, (n_lines >= 2 AND agree >= greatest(2, floor(n_lines / 2)) AND (has_rule OR n_lines >= 3)) AS valid FROM (SELECT doc_id, island, sum(k) AS n_lines, max_by(cells, k * 1000 + cells) AS n_cells, max(k) AS agree, max(rule_) > 0 AS has_rule FROM (SELECT doc_id, island, length(x) - length(replace(x, '|', '')) - 1 AS cells, count(*) AS k, max(CASE WHEN is_rule THEN 1 ELSE 0 END) AS rule_ FROM @v_table_lines WHERE is_row GROUP BY doc_id, island, length(x) - length(replace(x, '|', '')) - 1) a GROUP BY doc_id, island) b")
 add("tx15_table_chunks", lambda d: "SELECT doc_id, table_no, row_no, CAST(floor((row_no - 2) / 12) AS BIGINT) AS chunk FROM (SELECT DISTINCT doc_id, table_no, row_no FROM @v_cells) t WHERE row_no >= 2")

@@ -7,10 +7,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as H
+from ..functions import columns as C
 from ..functions import payloads as P
 from ..plans.dialect import catalogue
 from ..sources.shipping import ship
@@ -311,3 +312,48 @@ golden_text("tx19_value_forms", ["value"], "number string, unit string", [
 golden_text("tx20_name_forms", ["assay", "unit"], "name string", [
     (("IC50", "nM"), ("IC50 (nM)",)), (("IC50 (nM)", "nM"), ("IC50 (nM)",)), (("", "nM"), ("Assay (nM)",)), (("Ki{k}", ""), ("Ki{k}",)), (("  ", ""), ("Assay",)), (("IC50 (uM)", "nM"), ("IC50 (uM) (nM)",)),
 ], lambda d: f"SELECT k, {merge.column_of(d, 'assay', 'unit')} AS name FROM @cases")
+
+
+# -- OCR jobs ------------------------------------------------------------------------------------
+
+ENDPOINTS = ("pdf-to-markdown", "image-to-markdown", "pdf-to-word", "image-to-word")
+
+
+def ocr_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(request, job_id, queued, status): requests for the same pages of the same content in the same way
+    are one job (ML13).  It is queued by its first request unless it is pending, running or completed;
+    an unknown endpoint fails.  requests: request, content (binary), document_key, endpoint, lang, page_start,
+    page_end, page_number_offset, return_raw; jobs: job_id, status."""
+    key = F.coalesce(F.nullif(F.trim(F.coalesce("document_key", F.lit(""))), F.lit("")), F.sha2("content", 256))
+    number = lambda c: F.col(c).cast("string")
+    job = C.hash_key(
+        document_key=C.quoted(key), endpoint=C.quoted(F.col("endpoint")), lang=C.quoted(F.col("lang")), page_end=number("page_end"), page_start=number("page_start"),
+        page_number_offset=number("page_number_offset"), return_raw=number("return_raw"),
+    )
+    named = requests.select("request", "endpoint", job.alias("job_id")).join(jobs.select("job_id", F.col("status").alias("stored")), "job_id", "left")
+    active = F.coalesce(F.col("stored").isin("pending", "running", "completed"), F.lit(False))
+    queued = ~active & (F.row_number().over(Window.partitionBy("job_id").orderBy("request")) == 1)
+    status = F.when(active, F.col("stored")).when(F.col("endpoint").isin(*ENDPOINTS), "pending").otherwise("failed")
+    return named.select("request", "job_id", queued.alias("queued"), status.alias("status"))
+
+
+JOBS = """WITH r AS (SELECT o_orderkey AS request, sha256(concat('{"document_key": "', CASE WHEN o_custkey % 2 = 0 THEN concat('d', o_custkey) ELSE sha256(CAST(o_custkey AS VARCHAR)) END, '", "endpoint": "', CASE WHEN o_custkey % 7 = 0 THEN 'fax' ELSE 'pdf-to-word' END, '", "lang": "en", "page_end": ', o_custkey % 3, ', "page_number_offset": 0, "page_start": 1, "return_raw": false}')) AS job_id, o_custkey AS c FROM @orders)
+SELECT request, job_id, c % 5 <> 0 AND request = min(request) OVER (PARTITION BY job_id) AS queued, CASE WHEN c % 5 = 0 THEN 'completed' WHEN c % 7 = 0 THEN 'failed' ELSE 'pending' END AS status FROM r"""
+
+
+@frame("ml13_ocr_jobs", lambda d: JOBS)
+def _ml13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("o_custkey")
+    requests = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request"), c.cast("string").cast("binary").alias("content"), F.when(c % 2 == 0, F.concat(F.lit(" d"), c.cast("string"))).alias("document_key"),
+        F.when(c % 7 == 0, "fax").otherwise("pdf-to-word").alias("endpoint"), F.lit("en").alias("lang"), F.lit(1).alias("page_start"), (c % 3).alias("page_end"), F.lit(0).alias("page_number_offset"), F.lit(False).alias("return_raw"))
+    none = spark.createDataFrame([], "job_id string, status string")
+    done = ocr_jobs(requests.where(c % 5 == 0), none).select("job_id", F.lit("completed").alias("status")).distinct()
+    late = ocr_jobs(requests.where(c % 5 == 1), none).select("job_id", F.lit("failed").alias("status")).distinct()
+    return ocr_jobs(requests, done.unionByName(late))
+
+
+golden_rows("tx11_block_validity", ["s"], "valid boolean", [
+    (("| a | b |\n|---|---|\n| 1 | 2 |",), (True,)), (("| a | b |",), (False,)), (("| a | b |\n| c | d |",), (False,)), (("| id | b |\n| c | d |\n| e | f |",), (True,)), (("| a | b |\n| 1 | 5 nM |\n| 2 | 6 nM |",), (True,)),
+    (("| a | b |\n| x | y |\n| z | w |",), (False,)), (("|---|---|\n| a | b | c |\n| d | e |",), (False,)), (("# a | b | c\n* d | e | f",), (False,)), (("| a |\n| b |\n| c |",), (False,)),
+], lambda s: (P.valid_block(s.split("\n")),))

@@ -47,7 +47,6 @@ def violations(d) -> str:
 
 add("ml03_contract", lambda d: f"SELECT event_id, {violations(d)} AS violations FROM @v_decisions")
 add("ml08_detection_batches", lambda d: "SELECT event_id, CAST(floor((row_number() OVER (PARTITION BY page_group ORDER BY event_id) - 1) / 6) AS BIGINT) AS batch FROM @v_decisions")
-add("ml13_job_dedupe", lambda d: f"SELECT key, first_id FROM (SELECT {d.sha256('coalesce(text, ' + d.lit('') + ')')} AS key, min(doc_id) AS first_id FROM @documents GROUP BY {d.sha256('coalesce(text, ' + d.lit('') + ')')}) t")
 add("fl08_routing", lambda d: "SELECT c.doc_id, c.page, a.assay FROM (SELECT DISTINCT doc_id, page FROM @v_assay_long) c JOIN (SELECT DISTINCT doc_id, assay FROM @v_assay_long WHERE flag = 'R') a ON a.doc_id = c.doc_id")
 add("fl09_value_validity", lambda d: f"SELECT event_id FROM @v_decisions WHERE lower({d.json('payload', 'confidence')}) IN ('low', 'medium', 'high') AND trim({d.json('payload', 'reason')}) <> '' AND {d.json('payload', 'has_structure')} = 'true'")
 add("fl10_page_support", lambda d: "SELECT DISTINCT a.doc_id, a.assay FROM @v_assay_long a WHERE NOT EXISTS (SELECT 1 FROM @v_assay_long m WHERE m.doc_id = a.doc_id AND m.assay = a.assay AND m.flag = 'R')")
