@@ -138,8 +138,32 @@ def suppressed(boxes: list[tuple], limit: float, most: int | None = None) -> lis
 
 
 def per_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f over each group of equal keys (not null), many groups to an Arrow batch: rows come sorted by
+    the keys, and a group that a batch cuts waits for its rest."""
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(f, schema)
+
+    def groups(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), bool)
+        change[:1] = True
+        for k in keys:
+            v = pdf[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    def run(frames):
+        held: pd.DataFrame | None = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            starts = groups(pdf)
+            if len(starts):
+                done = [f(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+                held = pdf.iloc[starts[-1] :]
+                if done:
+                    yield pd.concat(done, ignore_index=True)
+        if held is not None and len(held):
+            yield f(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def rows_of(df: DataFrame, f: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:

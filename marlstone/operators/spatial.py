@@ -17,7 +17,7 @@ add("sp09_contact_sheet", lambda d: "SELECT page, i, CAST(floor(i / 4) AS BIGINT
 add("fl01_raw_detections", lambda d: "SELECT page, box_id FROM @v_boxes WHERE y2 - y1 >= 18 AND x2 - x1 >= 18 AND (y2 - y1) * (x2 - x1) >= 600 AND (y2 - y1) * (x2 - x1) <= 0.92 * 700 * 500")
 add("so06_candidate_order", lambda d: "SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY (y2 - y1) * (x2 - x1) DESC, score DESC, box_id) AS place FROM @v_boxes")
 add("wn05_reading_rows", lambda d: "SELECT page, box_id, sum(CASE WHEN gap >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y1, box_id ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT page, box_id, y1, y1 - lag(y1) OVER (PARTITION BY page ORDER BY y1, box_id) AS gap FROM @v_boxes) t")
-add("tx34_coordinates", lambda d: "SELECT page, box_id, round((x1 - min(x1) OVER (PARTITION BY page)) / greatest(max(x1) OVER (PARTITION BY page) - min(x1) OVER (PARTITION BY page), 1e-6), 6) AS x, round((max(y1) OVER (PARTITION BY page) - y1) / greatest(max(y1) OVER (PARTITION BY page) - min(y1) OVER (PARTITION BY page), 1e-6), 6) AS y FROM @v_boxes")
+add("tx34_coordinates", lambda d: "SELECT page, box_id, round((x1 - min(x1) OVER (PARTITION BY page)) / greatest(max(x1) OVER (PARTITION BY page) - min(x1) OVER (PARTITION BY page), 1e-6), 10) AS x, round((max(y1) OVER (PARTITION BY page) - y1) / greatest(max(y1) OVER (PARTITION BY page) - min(y1) OVER (PARTITION BY page), 1e-6), 10) AS y FROM @v_boxes")
 add("tx33_flat_formula", lambda d: f"SELECT k, CAST(i AS BIGINT) AS i, {d.extract('t', '^[A-Z][a-z]?', 0)} AS element, coalesce(TRY_CAST({d.extract('t', '[0-9]+$', 0)} AS BIGINT), 1) AS n FROM (SELECT p_partkey AS k, concat('C', CAST(p_size AS STRING), 'H', CAST(p_partkey % 30 AS STRING), 'OCl2') AS f FROM @part) p {d.each_at(d.extract_all('f', '[A-Z][a-z]?[0-9]*', 0), 'i', 't')}")
 add("tx07_head_tail", lambda d: "SELECT doc_id, CASE WHEN length(text) > 1000 THEN concat(substring(text, 1, 500), '[...]', right(text, 460)) ELSE text END AS text FROM @documents")
 add("tx06_budgeted_context", lambda d: "SELECT doc_id, page, substring(text, 1, CAST(least(length(text), 600 - before) AS INT)) AS text, length(text) > 600 - before AS cut FROM (SELECT doc_id, page, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM @v_lines) t WHERE before < 600")

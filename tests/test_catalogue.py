@@ -249,3 +249,18 @@ def test_molecules():
         with pytest.raises(ValueError):
             chemistry.graph(broken)
     assert chemistry.flipped("[C@H][C@@H]", [0, 1]) == "[C@@H][C@H]"
+
+
+def test_groups_that_batches_cut(spark):
+    """Groups larger and smaller than an Arrow batch are each met once, whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        df = spark.range(300).selectExpr("id", "CASE WHEN id < 90 THEN 0 ELSE id % 40 END AS a", "id % 2 AS b")
+        got = sequential.per_group(df, ["a", "b"], lambda pdf: pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "n": [len(pdf)], "s": [pdf["id"].sum()]}), "a long, b long, n long, s long").collect()
+        want = df.groupBy("a", "b").agg({"id": "sum", "*": "count"}).collect()
+        assert sorted((r["a"], r["b"], r["n"], r["s"]) for r in got) == sorted((r["a"], r["b"], r["count(1)"], r["sum(id)"]) for r in want)
+        assert sequential.per_group(df.limit(0), ["a"], lambda pdf: pdf[["a"]], "a long").count() == 0
+    finally:
+        spark.conf.set(key, before)
