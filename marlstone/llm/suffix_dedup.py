@@ -17,7 +17,8 @@ bounds on large inputs:
   doubling ends.
 
 Sorting is by range: Spark deals (rank, ...) by the top bits of the rank to buckets, and a bucket
-is sorted and reranked in numpy.  Documents are grouped in chunks; a chunk sends each rank once,
+is sorted and reranked in numpy.  A rank with very many names would fill a bucket: such ranks, which a
+sample of the chunks tells, are dealt by rank and name, as is all of round 2.  Documents are grouped in chunks; a chunk sends each rank once,
 with its smallest document, and gets back two bits for it, so a string in a third of all
 documents is one entry for each chunk, never one for each document.  Chunks are a bucketed table
 in the shared folder, so they are never shuffled again.
@@ -45,6 +46,8 @@ from .common import forget, fresh, longs, materialise, release, row_key_from, ro
 CHUNK = 2 << 20  #: bytes of text in a chunk
 BUCKETS = 256  #: of ranks, at least
 ENTRIES = 1 << 20  #: of a bucket, about
+MANY = ENTRIES // 8  #: entries of a rank that is dealt by its names
+EVERY = 16  #: chunks, of which one is asked for such ranks
 LAST = (1 << 63) - 1  #: the place of a null id in the order
 PAD = 256
 
@@ -167,23 +170,51 @@ class Entries:
         self.group[order] = np.cumsum(head) - 1  # entry of each position
         self.rank, self.name, self.low = rank[head], name[head], ids[head]
 
-    def dealt(self, buckets: int) -> Iterator[tuple[int, bytes, int]]:
-        """(bucket, packed entries, how many), by the top bits of the rank."""
+    def deal(self, deal: Deal) -> tuple[np.ndarray, np.ndarray]:
+        """(entries in order of their bucket, where each bucket starts)."""
+        bucket = deal.bucket(self.rank, self.name)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(deal.count + 1))
+
+    def dealt(self, deal: Deal) -> Iterator[tuple[int, bytes, int]]:
+        """(bucket, packed entries, how many)."""
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        bucket = _bucket(self.rank, buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
+        order, cuts = self.deal(deal)
+        rank, name, smallest = self.rank[order], self.name[order], self.low[order]
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             lo, hi = int(cuts[b]), int(cuts[b + 1])
-            if hi > lo:
-                base = int(self.low[lo:hi].min())
-                low = (self.low[lo:hi] - base).astype("<u8")
-                top = (self.rank[lo:hi] >> np.uint64(48)).astype("<u2")
-                planes = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8).T).tobytes()
-                body = pack(top.tobytes() + planes) + b""
-                fixed = _bytes48(self.rank[lo:hi]) + _bytes48(self.name[lo:hi])
-                yield b, np.int64(base).tobytes() + np.uint32(len(body)).tobytes() + body + fixed, hi - lo
+            base = int(smallest[lo:hi].min())
+            low = (smallest[lo:hi] - base).astype("<u8")
+            top = (rank[lo:hi] >> np.uint64(48)).astype("<u2")
+            planes = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8).T).tobytes()
+            body = pack(top.tobytes() + planes) + b""
+            fixed = _bytes48(rank[lo:hi]) + _bytes48(name[lo:hi])
+            yield b, np.int64(base).tobytes() + np.uint32(len(body)).tobytes() + body + fixed, hi - lo
+
+
+class Deal:
+    """Which bucket an entry goes to: by the top bits of its rank, so that all names of a rank meet;
+    for the hot ranks, which have several names for certain, by rank and name in buckets of their own;
+    by rank and name for all, where names needn't meet."""
+
+    def __init__(self, buckets: int, hot: np.ndarray | None = None, spread: int = 0, pairs: bool = False):
+        self.plain = buckets
+        self.hot = np.zeros(0, np.uint64) if hot is None else np.sort(hot)
+        self.spread = spread if len(self.hot) else 0
+        self.pairs = pairs
+        self.count = buckets + self.spread
+
+    def bucket(self, rank: np.ndarray, name: np.ndarray) -> np.ndarray:
+        if self.pairs:
+            return _bucket(_mix(rank ^ _mix(name)), self.plain)
+        out = _bucket(rank, self.plain)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, rank), len(self.hot) - 1)
+            which = np.flatnonzero(self.hot[at] == rank)
+            out[which] = self.plain + _bucket(_mix(rank[which] ^ _mix(name[which])), self.spread)
+        return out
 
 
 def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
@@ -201,9 +232,10 @@ def _unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _from48(rest[: 6 * n], n) | top << np.uint64(48), _from48(rest[6 * n :], n), low
 
 
-def rerank(rank: np.ndarray, name: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rerank(rank: np.ndarray, name: np.ndarray, low: np.ndarray, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted-and-grouped entries: settled (the same pair stands in a smaller document), and
-    open (others share the first rank, and this entry is the first of its pair)."""
+    open (others share the first rank, as they do for certain if ``shared``, and this entry is the
+    first of its pair)."""
     order = np.lexsort((low, name, rank))
     r, m, d = rank[order], name[order], low[order]
     new_rank = np.ones(len(r), bool)
@@ -216,16 +248,16 @@ def rerank(rank: np.ndarray, name: np.ndarray, low: np.ndarray) -> tuple[np.ndar
     pairs_in_group = np.bincount(group[new_pair], minlength=int(group[-1]) + 1 if len(group) else 0)
     settled, waiting = np.zeros(len(r), bool), np.zeros(len(r), bool)
     settled[order] = d > lowest
-    waiting[order] = (d == lowest) & (pairs_in_group[group] > 1)
+    waiting[order] = (d == lowest) & (shared | (pairs_in_group[group] > 1))
     return settled, waiting
 
 
-def _answers(entries: DataFrame, two: bool) -> DataFrame:
+def _answers(entries: DataFrame, two: bool, plain: int) -> DataFrame:
     """(chunk, bucket, bits): for each entry sent, whether it is settled, and whether it is open."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(bytes(e), int(n)) for e, n in zip(pdf["entries"], pdf["n"])]
-        settled, waiting = rerank(*(np.concatenate(x) for x in zip(*parts)))
+        settled, waiting = rerank(*(np.concatenate(x) for x in zip(*parts)), shared=bool(pdf["bucket"].iloc[0] >= plain))
         rows, at = [], 0
         for chunk, n in zip(pdf["chunk"], pdf["n"]):
             s, w = settled[at : at + n], waiting[at : at + n]
@@ -304,15 +336,15 @@ class Chunk:
         self.owner = self.ids[self.who]
         self.first = Entries(np.concatenate([k[0] for k in keys]), np.concatenate([k[1] for k in keys]), self.owner)
 
-    def answered(self, answers, buckets: int, entries: Entries) -> tuple[np.ndarray, np.ndarray]:
+    def answered(self, answers, deal: Deal, entries: Entries) -> tuple[np.ndarray, np.ndarray]:
         """(settled, open) of the entries, from the answers' bits."""
         settled, waiting = np.zeros(len(entries.rank), bool), np.zeros(len(entries.rank), bool)
-        cuts = np.searchsorted(_bucket(entries.rank, buckets), np.arange(buckets + 1))
+        order, cuts = entries.deal(deal)
         for x in answers if isinstance(answers, (list, np.ndarray)) else ():
-            lo, hi = cuts[x["bucket"]], cuts[x["bucket"] + 1]
+            which = order[cuts[x["bucket"]] : cuts[x["bucket"] + 1]]
             for target, bits in ((settled, x["settled"]), (waiting, x["waiting"])):
                 if bits:
-                    target[lo:hi] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=hi - lo)
+                    target[which] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), count=len(which))
         return settled, waiting
 
     def second(self, settled: np.ndarray, waiting: np.ndarray):
@@ -334,8 +366,28 @@ class Chunk:
         return gone, place, Entries(np.concatenate(rank), np.concatenate(name), np.concatenate(owner)), np.concatenate(owner)
 
 
+def _hot_ranks(chunks: DataFrame, threshold: int, many: int, every: int) -> tuple[np.ndarray, int]:
+    """Ranks with about ``many`` entries or more, and how many entries these have together, by one chunk
+    in ``every``.  A rank is taken for hot only if a chunk holds several names of it, so whatever the
+    sample misses costs balance and nothing else."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                rank, names = np.unique(Chunk(row, threshold).first.rank, return_counts=True)
+                wide = np.flatnonzero(names > 1)
+                yield pd.DataFrame({"rank": rank[wide].view(np.int64), "n": names[wide]})
+        release()
+
+    sample = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(every)) == 0).mapInPandas(run, "rank long, n long")
+    # at most one rank for each ``many`` entries of the sample
+    found = sample.groupBy("rank").agg((F.sum("n") * every).alias("n")).where(F.col("n") >= many).collect()
+    return np.array([r["rank"] for r in found], np.int64).view(np.uint64), sum(r["n"] for r in found)
+
+
 def removals(
-    docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, wanted: Callable[[DataFrame], DataFrame] = lambda cut: cut
+    docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, wanted: Callable[[DataFrame], DataFrame] = lambda cut: cut,
+    many: int = MANY, every: int = EVERY,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row, and if keyed its
     row_key; or what is wanted of these.  That is written to the shared folder, and the tables that
@@ -349,16 +401,18 @@ def removals(
     chunks, name = _chunks(docs.select(F.coalesce(known, F.lit(LAST)).alias("doc_id"), known.isNull().alias("null"), F.col(text_col).alias("text")))
     total = chunks.agg(F.count("*")).first()[0] * CHUNK
     buckets = max(BUCKETS, total // 13 // ENTRIES)
+    hot, weight = _hot_ranks(chunks, threshold, many, every)
+    deal, pairs = Deal(buckets, hot, 1 + 2 * weight // ENTRIES), Deal(buckets, pairs=True)
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
                 e = Chunk(row, threshold).first
-                yield pd.DataFrame([(row.chunk, *x) for x in e.dealt(buckets)], columns=["chunk", "bucket", "entries", "n"])
+                yield pd.DataFrame([(row.chunk, *x) for x in e.dealt(deal)], columns=["chunk", "bucket", "entries", "n"])
         release()
 
     sent = "chunk long, bucket int, entries binary, n int"
-    one = materialise(_answers(chunks.mapInPandas(first, sent), True), "round-1")
+    one = materialise(_answers(chunks.mapInPandas(first, sent), True, buckets), "round-1")
     given = lambda answers, name: answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "settled", "waiting")).alias(name))
     opened = chunks.join(given(one, "one"), "chunk", "left")
 
@@ -366,16 +420,16 @@ def removals(
         for pdf in frames:
             for row in pdf.itertuples():
                 c = Chunk(row, threshold)
-                e = c.second(*c.answered(row.one, buckets, c.first))[2]
-                yield pd.DataFrame([(row.chunk, *x) for x in e.dealt(buckets)], columns=["chunk", "bucket", "entries", "n"])
+                e = c.second(*c.answered(row.one, deal, c.first))[2]
+                yield pd.DataFrame([(row.chunk, *x) for x in e.dealt(pairs)], columns=["chunk", "bucket", "entries", "n"])
         release()
 
-    two = materialise(_answers(opened.mapInPandas(second, sent), False), "round-2")
+    two = materialise(_answers(opened.mapInPandas(second, sent), False, buckets), "round-2")
 
     def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
-                yield _cut(Chunk(row, threshold), row.one, row.two, buckets, keyed)
+                yield _cut(Chunk(row, threshold), row.one, row.two, deal, pairs, keyed)
         release()
 
     out = opened.join(given(two, "two"), "chunk", "left").mapInPandas(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + ", key string" * keyed)
@@ -386,9 +440,9 @@ def removals(
     return out
 
 
-def _cut(c: Chunk, one, two, buckets: int, keyed: bool) -> pd.DataFrame:
-    gone, place, entries, owner = c.second(*c.answered(one, buckets, c.first))
-    settled = c.answered(two, buckets, entries)[0]
+def _cut(c: Chunk, one, two, deal: Deal, pairs: Deal, keyed: bool) -> pd.DataFrame:
+    gone, place, entries, owner = c.second(*c.answered(one, deal, c.first))
+    settled = c.answered(two, pairs, entries)[0]
     window_gone = settled[entries.group] | (owner > entries.low[entries.group]) if len(owner) else np.zeros(0, bool)
     rows = []
     at = seen = 0

@@ -716,3 +716,21 @@ def test_toxic_dictionaries_are_trained():
     wrong = sum((model.score(text(y)) >= 0.5) != y for y in [True, False] * 50)
     assert wrong <= 4
     assert toxicity.fit([], []).score("x") == 0.0 and toxicity.fit(["a"], [1]).score(None) == 0.0
+
+
+def test_hot_ranks_are_dealt_by_their_names(spark):
+    """Every rank with two names in some chunk taken for hot: the same bytes go."""
+    rng = np.random.default_rng(12)
+    line = "a line that stands in every document and is longer than fifty bytes by some "
+    rows = [(k, "".join(chr(97 + c) for c in rng.integers(0, 4, 40)) + line + "".join(chr(97 + c) for c in rng.integers(0, 4, 60))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {many: sorted(map(tuple, suffix_dedup.removals(df, many=many, every=1).collect())) for many in (2, 1 << 40)}
+    assert got[2] == got[1 << 40] and sum(r[2] > 0 for r in got[2]) == 199
+    chunks, name = suffix_dedup._chunks(df.selectExpr("doc_id", "false AS null", "text"))
+    hot, weight = suffix_dedup._hot_ranks(chunks, 50, 2, 1)
+    spark.sql(f"DROP TABLE {name}")
+    assert len(hot) and weight > len(hot)
+    deal = suffix_dedup.Deal(256, hot, 3)
+    names = np.arange(1000, dtype=np.uint64)
+    assert len(set(deal.bucket(np.full(1000, hot[0]), names).tolist())) == 3 and set(deal.bucket(np.full(1000, hot[0] ^ np.uint64(1)), names).tolist()) != {256}
+    assert len(set(suffix_dedup.Deal(256, pairs=True).bucket(np.full(1000, hot[0]), names).tolist())) > 200
