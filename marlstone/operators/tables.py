@@ -188,7 +188,7 @@ def assembly_blockers(relations: DataFrame, candidates: DataFrame) -> DataFrame:
         (F.col("review_status") != "ready", F.lit("visual_review_not_ready")),
         (there & F.col("scaffold_kind").isNull(), F.lit("scaffold_candidate_not_found")), (F.col("lost"), F.lit("fragment_candidate_not_found")),
         (F.col("scaffold_kind") != "markush", F.lit("scaffold_candidate_not_markush")), (F.col("generic"), F.lit("fragment_ref_points_to_markush_scaffold")),
-        (F.col("textual"), F.lit("text_substituent_requires_molnextr_structure_evidence")),
+        (F.col("textual"), F.lit("text_substituent_requires_structure_evidence")),
     ]
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), r) for c, r in checks]))
     # several fragments without a fault are an assembly that isn't made
@@ -212,7 +212,7 @@ def _assembly_sql(d) -> str:
         ("v = 1 AND t.pos IS NOT NULL", "'ambiguous_compound_variable_mapping'"), ("f = 2", "'duplicate_fragment_ref_for_distinct_positions'"), ("assembly_status <> 'ready'", "'relationship_not_ready:partial'"),
         ("pose_consistency <> 'consistent'", "'pose_not_consistent:unknown'"), ("review_status = 'uncertain'", "'visual_review_not_ready'"), ("scaffold_ref <> '' AND s.ref IS NULL", "'scaffold_candidate_not_found'"),
         ("f > 0 AND c.ref IS NULL", "'fragment_candidate_not_found'"), ("s.structure_type <> 'markush'", "'scaffold_candidate_not_markush'"), ("f > 0 AND c.structure_type = 'markush'", "'fragment_ref_points_to_markush_scaffold'"),
-        ("f > 0 AND c.structure_type = 'text_substituent'", "'text_substituent_requires_molnextr_structure_evidence'"),
+        ("f > 0 AND c.structure_type = 'text_substituent'", "'text_substituent_requires_structure_evidence'"),
     ]
     parts = ", ".join(f"CASE WHEN {c} THEN {r} END" for c, r in checks)
     return f"WITH r AS ({rows}), t AS ({twice}) SELECT record_id, CASE WHEN joined = '' AND f > 1 THEN 'multi_substituent_rdkit_assembly_not_implemented' ELSE joined END AS reasons FROM (SELECT r.record_id, f, concat_ws('; ', {parts}) AS joined FROM r LEFT JOIN t ON t.compound_id = r.compound_id AND t.pos = r.pos LEFT JOIN @v_candidates s ON s.ref = r.scaffold_ref LEFT JOIN @v_candidates c ON c.ref = r.frag) x"
