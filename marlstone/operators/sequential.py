@@ -11,6 +11,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import numpy as np
@@ -118,10 +119,14 @@ def blocks(lines: list[str]) -> list[tuple[str, list[str]]]:
 
 def suppressed(boxes: list[tuple], limit: float, most: int | None = None) -> list[tuple]:
     """Boxes (id, y1, x1, y2, x2) in order of preference that meet no kept one, to ``most`` of them
-    (SP02)."""
+    (SP02).  The limit is the decimal number that it is written as, and shares are compared as whole
+    numbers: 0.55 of an area of 100 is 55, which a product of floats exceeds."""
     if not boxes:
         return []
-    at = np.array([b[1:] for b in boxes], np.int64)
+    share, whole = Fraction(str(limit)).as_integer_ratio()
+    at = np.array([b[1:] for b in boxes], object)
+    if 16 * max(abs(x) for x in at.flat) ** 2 * max(share, whole) < 1 << 63:
+        at = at.astype(np.int64)
     area = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
     free = np.ones(len(boxes), bool)
     kept = []
@@ -132,7 +137,7 @@ def suppressed(boxes: list[tuple], limit: float, most: int | None = None) -> lis
         kept.append(boxes[k])
         sides = [np.minimum(at[:, i + 2], at[k, i + 2]) - np.maximum(at[:, i], at[k, i]) for i in (0, 1)]
         common = np.clip(sides[0], 0, None) * np.clip(sides[1], 0, None)
-        free &= ~((common > 0) & (common >= limit * (area + area[k] - common)))
+        free &= ~((common > 0) & (common * whole >= (area + area[k] - common) * share)).astype(bool)
         free[k] = False
     return kept
 

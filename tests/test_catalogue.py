@@ -111,6 +111,18 @@ def test_suppression_leaves_no_conflict():
     assert kept and all(sequential.suppressed([a, b], 0.55) == [a, b] for a in kept for b in kept if a[0] < b[0])
 
 
+def test_suppression_at_the_limit_itself(spark, duck):
+    """Boxes that share exactly 0.55 of their union, by hand, in the SQL, and with sides of a billion."""
+    pairs = [(10, 20, 10, 11), (23, 80, 23, 44), (1, 20, 1, 11), (1, 20, 1, 10), (23, 80, 23, 43), (10**9, 20 * 10**8, 10**9, 11 * 10**8)]
+    want = [[1], [1], [1], [1, 2], [1, 2], [1]]
+    assert [[b[0] for b in sequential.suppressed([(1, 0, 0, a, b), (2, 0, 0, c, d)], 0.55)] for a, b, c, d in pairs] == want
+    rows = [(p, n, 0, 0, y, x, float(-n)) for p, (a, b, c, d) in enumerate(pairs) for n, y, x in ((1, a, b), (2, c, d))]
+    boxes = spark.createDataFrame(rows, "page long, box_id long, y1 long, x1 long, y2 long, x2 long, score double")
+    duck.register("pairs", boxes.toPandas())
+    sql = sequential.NMS.replace("@v_boxes", "pairs")
+    assert canon(sequential.nms(boxes).toPandas()) == canon(duck.execute(sql).df()) == canon(pd.DataFrame([(p, n) for p, own in enumerate(want) for n in own], columns=["page", "box_id"]))
+
+
 def test_tasks_retry_and_type_errors(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "id long, prompt string")
 
