@@ -16,12 +16,15 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import catalogue
 from ..sources.shipping import ship
 
+LETTERS = 1 << 22  #: letters of text in a batch that goes back, about
 
 def pack_text(text: str, limit: int) -> list[str]:
     """Greedy chunks of at most ``limit`` characters: sentences, then clauses, then words; a
@@ -310,21 +313,59 @@ def nms(boxes: DataFrame, limit: float = 0.55, most: int = 60) -> DataFrame:
 
 def scopes(contexts: DataFrame) -> DataFrame:
     """Table scopes of (doc_id, page, variables array): a new scope at a gap of pages or where no
-    variable is shared with the current one (WN03)."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, scope, last, known = [], 0, None, set()
-        for r in pdf.sort_values("page").itertuples():
-            own = set(r.variables)
-            reason = "start" if last is None else "gap" if r.page > last + 1 else "no overlap" if known and own and not known & own else ""
-            if reason:
-                scope, known = scope + 1, set()
-            known |= own
-            last = r.page
-            rows.append((r.doc_id, r.page, scope, reason, " ".join(sorted(known))))
-        return pd.DataFrame(rows, columns=["doc_id", "page", "scope", "reason", "known"])
-
-    return per_group(contexts, ["doc_id"], group, "doc_id long, page long, scope long, reason string, known string")
+    variable is shared with the current one (WN03).  Rows come sorted; what is known of the current
+    scope goes along from row to row and from batch to batch, so documents of any number and length
+    pass without being gathered."""
+    ship(contexts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, doc, last, scope, known, text = False, None, None, 0, set(), ""
+        for batch in batches:
+            lists = batch.column(2)
+            values = lists.flatten().to_pylist()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            some_null = None in values
+            numbers, reasons, texts = [], [], []
+            given = at = letters = 0
+
+            def part(given: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = [c.slice(given, len(texts)) for c in batch.columns[:2]]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(reasons, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "page", "scope", "reason", "known"])
+
+            for d, page, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes):
+                own = values[at : at + n]
+                at += n
+                if some_null:
+                    own = [v for v in own if v is not None]
+                if not begun or d != doc:
+                    begun, doc, scope, reason = True, d, 1, "start"
+                elif page is not None and last is not None and page > last + 1:
+                    scope, reason = scope + 1, "gap"
+                elif known and own and known.isdisjoint(own):
+                    scope, reason = scope + 1, "no overlap"
+                else:
+                    reason = ""
+                if reason:
+                    known, text = set(own), None
+                elif not known.issuperset(own):
+                    known.update(own)
+                    text = None
+                if text is None:
+                    text = " ".join(sorted(known))
+                last = page
+                numbers.append(scope)
+                reasons.append(reason)
+                texts.append(text)
+                letters += len(text)
+                if letters > LETTERS:
+                    yield part(given)
+                    given += len(texts)
+                    numbers, reasons, texts, letters = [], [], [], 0
+            if texts:
+                yield part(given)
+
+    rows = contexts.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), "variables")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("page")).mapInArrow(run, "doc_id long, page long, scope long, reason string, known string")
 
 
 def merged_lines(boxes: DataFrame, tolerance: int = 3) -> DataFrame:

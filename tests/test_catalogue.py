@@ -5,6 +5,7 @@ import hashlib
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone import catalog
 from marlstone.functions import chemistry, columns, payloads, raster
@@ -123,6 +124,27 @@ def test_suppression_at_the_limit_itself(spark, duck):
     assert canon(sequential.nms(boxes).toPandas()) == canon(duck.execute(sql).df()) == canon(pd.DataFrame([(p, n) for p, own in enumerate(want) for n in own], columns=["page", "box_id"]))
 
 
+def test_scopes_over_batches(spark, duck, monkeypatch):
+    """Documents longer than a batch, empty and absent lists, gaps, by the SQL; and never a data frame a
+    document."""
+    monkeypatch.setattr(sequential, "per_group", None)
+    monkeypatch.setattr(sequential, "LETTERS", 100)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        rows = [(d, p * (1 + (p + d) % 11 // 10), f"v{(p // 3 + k * d) % 9}" if p % 5 else None) for d in range(40) for p in range(1, 60 if d % 13 == 0 else 4) for k in range(1 + p % 2)]
+        df = spark.createDataFrame(rows, "record_id long, page long, scaffold_ref string")
+        duck.register("relations", df.toPandas())
+        got = sequential.scopes(df.selectExpr("record_id AS doc_id", "page", "scaffold_ref").groupBy("doc_id", "page").agg(F.collect_set("scaffold_ref").alias("variables"))).toPandas()
+        sql = sequential.SCOPES.replace("@v_relations", "relations").replace("list(scaffold_ref)", "coalesce(list(scaffold_ref) FILTER (scaffold_ref IS NOT NULL), [])")
+        assert canon(got) == canon(duck.execute(sql).df()) and set(got["reason"]) == {"start", "gap", "no overlap", ""}
+        odd = spark.createDataFrame([(1, 1, ["a", None]), (1, None, ["b"]), (1, 2, None), (None, 5, ["c"])], "doc_id long, page long, variables array<string>")
+        assert canon(sequential.scopes(odd).toPandas()) == canon(pd.DataFrame([(1, 1, 1, "start", "a"), (1, 2, 1, "", "a"), (1, None, 2, "no overlap", "b"), (None, 5, 1, "start", "c")], columns=got.columns))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_tasks_retry_and_type_errors(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "id long, prompt string")
 
