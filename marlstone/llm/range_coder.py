@@ -9,7 +9,9 @@ with a counter for each degree of past success.  They are added in the logistic
 weights that learn from every decision, and the mixed probability drives a binary range coder.
 All arithmetic is on integers, so any machine reads what any other wrote.
 
-Blocks run in lockstep: each step codes one decision of up to ``LANES`` blocks by numpy operations.
+Two forms give the same bytes.  write_file() and read_file() run blocks in lockstep: each step codes one
+decision of up to ``LANES`` blocks by numpy operations.  The tables' files are coded by RangeCoder.java on
+the executors' JVMs, block after block, whose model then stays in the processor's cache.
 
 A file is: magic, number of blocks and ids, the table, for each block its count, size and crc32,
 a crc32 of all that, then the payloads.  A dataset holds one file in each row, written in ascending
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import jvm, tokens
 from .common import id_columns, ids_of, longs, materialise, release, ship_code, text_or_empty
 
 BLOCK = 1024
@@ -98,13 +100,19 @@ class Code:
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Code, np.ndarray]:
         """The code made for some ids, and the places of these."""
-        symbols, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        if ids.max() < 1 << 20:  # few enough to be counted
+            counts = np.bincount(ids)
+            symbols, number = np.flatnonzero(counts), ids
+            counts = counts[symbols]
+        else:
+            symbols, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
         if len(symbols) == 1:  # a tree needs two leaves
             symbols, counts = np.append(symbols, symbols[0] ^ 1), np.append(counts, 1)
         lengths = code_lengths(counts)
         code = cls(symbols, lengths)
-        place = np.empty(len(symbols), np.int64)
-        place[np.lexsort((symbols, lengths))] = np.arange(len(symbols))
+        order = np.lexsort((symbols, lengths))
+        place = np.empty(int(symbols.max()) + 1 if number is ids else len(symbols), np.int32)
+        place[symbols[order] if number is ids else order] = np.arange(len(symbols))
         return code, place[number]
 
     def table(self) -> bytes:
@@ -114,7 +122,11 @@ class Code:
     def read(cls, table: bytes) -> Code:
         raw = zlib.decompress(table)
         n = len(raw) // 5
-        return cls(np.frombuffer(raw, "<u4", n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64))
+        lengths = np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64)
+        # every path ends at one symbol
+        if not n or lengths.min() < 1 or lengths.max() > DEEPEST or (1 << DEEPEST - lengths).sum() != 1 << DEEPEST:
+            raise ValueError("the file's head is damaged")
+        return cls(np.frombuffer(raw, "<u4", n).astype(np.int64), lengths)
 
 
 class Coder:
@@ -183,7 +195,7 @@ def _run(code: Code, sizes: np.ndarray, places: np.ndarray | None, coder: Coder)
     """Code the blocks of these sizes; gives the places of their ids, one block after the other."""
     lanes = len(sizes)
     writing = places is not None
-    out = places if writing else np.zeros(int(sizes.sum()), np.int64)
+    out = places.astype(np.int64) if writing else np.zeros(int(sizes.sum()), np.int64)
     path, length, stop, shift = code.path, code.length, code.stop, code.shift
     # what the lanes have learned: counters (22 bits of probability, 8 of sightings), guesses (place + 1
     # and three bits of success) after one and two ids, trust in them, and weights
@@ -341,6 +353,12 @@ def read_file(data: bytes) -> np.ndarray:
     return np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
 
 
+def _on_jvm(spark: SparkSession, what: str) -> str:
+    """Write (of a code's table and the ids' places) or Read (of a file), as a function of Spark's."""
+    settings = np.concatenate([[BLOCK, DEEPEST, NODES, SLOTS, LIMIT], STRETCH, SQUASH, RATE]).astype("<i4").tobytes()
+    return jvm.register(spark, f"marlstone_token_file_{what.lower()}", "RangeCoder.java", f"marlstone.RangeCoder${what}", MAGIC, settings)
+
+
 def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written dataset: (run, file, n_ids, documents, data), runs in ascending doc_id order."""
     ship_code(docs.sparkSession)
@@ -358,7 +376,8 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
         def close() -> pd.DataFrame:
             ids = np.concatenate(held)
             table = b"".join(struct.pack("<?qI", *x) for x in names)
-            return pd.DataFrame({"run": [part], "file": [number], "n_ids": [len(ids)], "documents": [zlib.compress(table)], "data": [write_file(ids)]})
+            code, places = Code.of(ids)
+            return pd.DataFrame({"run": [part], "file": [number], "n_ids": [len(ids)], "documents": [zlib.compress(table)], "code": [code.table()], "places": [places.astype("<i4").tobytes()]})
 
         for pdf in frames:
             at, known = 0, ids_of(pdf)
@@ -373,12 +392,13 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
                     held, names, size, number = [], [], 0, number + 1
         if held:
             yield close()
-        codec.forget()
-        release()
+        release()  # the codec keeps its words for the worker's next task
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_col).alias("_tie"))
     placed = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select(*id_columns("doc_id"), "text")
-    return materialise(placed.mapInPandas(run, "run int, file int, n_ids long, documents binary, data binary"), "tokens")
+    coded = placed.mapInPandas(run, "run int, file int, n_ids long, documents binary, code binary, places binary")
+    data = F.call_udf(_on_jvm(docs.sparkSession, "Write"), "code", "places").alias("data")
+    return materialise(coded.select("run", "file", "n_ids", "documents", data), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -396,17 +416,17 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part, number, table, data in zip(pdf["run"], pdf["file"], pdf["documents"], pdf["data"]):
-                ids = read_file(bytes(data)).astype("<u4")
+            for part, number, table, ids in zip(pdf["run"], pdf["file"], pdf["documents"], pdf["ids"]):
                 entries = list(struct.iter_unpack("<?qI", zlib.decompress(bytes(table))))
                 rows, at = [], 0
                 for null, name, n in entries:
-                    rows.append((part, number, None if null else name, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+                    rows.append((part, number, None if null else name, at, n, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + n)])))
                     at += n
                 out = pd.DataFrame(rows, columns=["run", "file", "doc_id", "at", "n_tokens", "ids_crc32"])
                 out["doc_id"] = longs([r[2] for r in rows])
                 yield out
         release()
 
-    found = files.select("run", "file", "documents", "data").mapInPandas(run, "run int, file int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    ids = F.call_udf(_on_jvm(files.sparkSession, "Read"), "data").alias("ids")
+    found = files.select("run", "file", "documents", ids).mapInPandas(run, "run int, file int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(places, ["run", "file"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -62,7 +62,7 @@ def normalised(text: str) -> str:
 
 def cut_words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word in an array of code points that ends with white space."""
-    kind = char_classes()[cp]
+    kind = char_classes().take(cp)
     before = np.empty_like(kind)
     before[0] = 0
     before[1:] = kind[:-1]
@@ -115,11 +115,13 @@ class WordCodec:
         """Packed ids of distinct words."""
         if len(self.known) > self.memory:
             self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
+        out = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(out) if x is None]
         if new:
-            known.update(zip(new, self._packed(new)))
-        return [known[w] for w in words]
+            unknown = [words[k] for k in new]
+            for k, w, x in zip(new, unknown, self._packed(unknown)):
+                out[k] = self.known[w] = x
+        return out
 
     def _packed(self, words: list[str]) -> list[bytes]:
         if self.encode_words is not None:
@@ -160,23 +162,27 @@ class WordCodec:
         counts = np.diff(np.concatenate([[0], np.searchsorted(starts, bounds)]))
         if len(starts):
             cp = cp[starts[0] :]
-            place = np.arange(starts[0], starts[0] + len(cp)) - np.repeat(starts, np.diff(np.append(starts, starts[0] + len(cp))))
+            begins = starts - starts[0]
+            span = np.diff(np.append(begins, len(cp)))
+            place = np.arange(len(cp)) - np.repeat(begins, span)
+            inside = char_classes().take(cp) != 0
             power = np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
             power[0] = 1
             power = np.multiply.accumulate(power)
             mixed = (cp.astype(np.uint64) + np.uint64(0x51ED2701)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(29)
-            mixed *= power[place]
-            mixed *= char_classes()[cp] != 0  # white space between words counts nothing
-            hashes = np.add.reduceat(mixed, starts - starts[0])
+            mixed *= power.take(place)
+            mixed *= inside  # white space between words counts nothing
+            hashes = np.add.reduceat(mixed, begins)
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(0xD6E8FEB86659FD93)
             _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
             # a group's words are compared with its first one; those that differ stand alone
-            inside = char_classes()[cp] != 0
-            at = np.repeat(starts[first][number] - starts[0], np.diff(np.append(starts, starts[0] + len(cp)))) + place
-            unlike = inside & (cp[np.minimum(at, len(cp) - 1)] != cp)
-            wrong = np.add.reduceat(unlike, starts - starts[0]).astype(bool) | (ends - starts != (ends - starts)[first][number])
+            place += np.repeat(begins[first][number], span)
+            unlike = inside & (cp.take(place, mode="clip") != cp)
+            wrong = ends - starts != (ends - starts)[first][number]
+            if unlike.any():
+                wrong |= np.logical_or.reduceat(unlike, begins)
             words = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
             if wrong.any():
                 own: dict[str, int] = {}
@@ -212,7 +218,7 @@ class WordCodec:
             begin = np.cumsum(sizes) - sizes
             n = sizes[number]
             past = np.cumsum(n)
-            ids = flat[np.repeat(begin[number] - (past - n), n) + np.arange(past[-1])]
+            ids = flat.take(np.repeat(begin[number] - (past - n), n) + np.arange(past[-1]))
             ends = np.concatenate([[0], past])[np.cumsum(per_text)]
             out += np.split(ids, ends[:-1])
         return out
